@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and read again.
+
+Every stage but the last returns the columns of documents.  A stage begins by dropping the scratch tables
+of the stage before it, whose result has been written by then.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +10,50 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credence.llm import byte_bpe, exact_dedup
+from credence.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
 from credence.llm.common import release, scratch_root, table
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or with a score below the calibrated bound, go."""
+    release()
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    return language_id.predict(docs, model, lang="__lang", score="__score", rejected="__rejected").filter("NOT __rejected").select(*docs.columns)
+
+
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup: of equal texts one row stays."""
+    """Exact dedup: of texts equal but for white space, the longest stays."""
     release()
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents, the one with the smallest id stays."""
+    release()
+    return ngram_join.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: all documents, in the order of the schedule; files and rows follow it."""
+    release()
+    return mixing.mix(docs).orderBy("position").select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token counts and digests of the documents that are left."""
+    """Byte-level BPE: token counts and digests of every document that is left."""
     release()
-    return byte_bpe.round_trip(docs).drop("text")
+    return byte_bpe.round_trip(docs).select(*[c for c in docs.columns if c != "text"], "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("exact_dedup", copies), ("byte_bpe", tokens)]
+STAGES = [
+    ("language_id", languages),
+    ("exact_dedup", copies),
+    ("near_duplicates", near_copies),
+    ("source_mixing", mixture),
+    ("byte_bpe", tokens),
+]
 
+#: No SQL states a trained model or a tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

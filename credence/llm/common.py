@@ -71,6 +71,31 @@ def _remove_own_root() -> None:
         shutil.rmtree(_own_root, ignore_errors=True)
 
 
+#: Bits in one of Spark's bitmaps, and the most bitmaps in a filter: 16 MB whatever the input.
+BITMAP_BITS, MOST_BITMAPS = 32768, 4096
+
+
+def bitmap_filter(hashes: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(chunk, bits): a bitmap of the hashes in ``column``, about 12 bits for each but never more than
+    MOST_BITMAPS chunks; and the number of bits.  It lets through every hash it was made of, and a few
+    others (all, once there are far too many: then it saves nothing, and results are the same)."""
+    n, chunks = hashes.count(), 1
+    while chunks < MOST_BITMAPS and chunks * BITMAP_BITS < 12 * n:
+        chunks *= 2
+    at = F.pmod(F.col(column), F.lit(chunks * BITMAP_BITS))
+    rows = hashes.select(F.floor(at / BITMAP_BITS).cast("int").alias("chunk"), (at % BITMAP_BITS).alias("bit"))
+    return rows.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")), chunks * BITMAP_BITS
+
+
+def passes_filter(df: DataFrame, hashed, bitmap: DataFrame, n_bits: int, out: str) -> DataFrame:
+    """Add ``out``: whether the filter lets the row's hash through.  The bitmap has a fixed bound, so it
+    is broadcast."""
+    at = F.pmod(hashed, F.lit(n_bits))
+    low = df.withColumn("__at", at).join(F.broadcast(bitmap.select(F.col("chunk").alias("__chunk"), "bits")), F.floor(F.col("__at") / BITMAP_BITS).cast("int") == F.col("__chunk"), "left")
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(bits, cast((__at % {BITMAP_BITS}) div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1")
+    return low.withColumn(out, F.coalesce(bit == 1, F.lit(False))).drop("__at", "__chunk", "bits")
+
+
 def prefix_cell(md5_col, bits: int):
     """The first ``bits`` (at most 16) of an md5 string, as an int: ranges of the md5 order."""
     return F.floor(F.conv(F.substring(md5_col, 1, 4), 16, 10).cast("long") / F.lit(1 << (16 - bits))).cast("int")

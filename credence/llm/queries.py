@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from credence.llm import byte_bpe, exact_dedup, sharding, url_filter
+from credence.llm import byte_bpe, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, sharding, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+        "op2_license_scan": license_scan.op2_license_scan,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_language_id": language_id.op4_language_id,
+        "op5_source_mixing": mixing.op5_source_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_exact_topk": topk_search.op8_exact_topk,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_html_extract": html_extract.op10_html_extract,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -24,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": url_filter.oracle(),
         "op6_sharding": sharding.ORACLE,
+        "op8_exact_topk": topk_search.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
     }
