@@ -3,8 +3,8 @@
 Texts are equal when they are identical after white space is deleted.  A round takes the next digit (some
 bytes, four times as many as the round before) of every open document, splits each group by it, and sets
 aside groups of one row and groups whose text ends here: those are equal byte for byte, and no digest
-takes part in the decision.  Only rows that share every byte so far go on to the next round, so after the
-first round little text moves.  A group of copies of any size is counted before the shuffle, and the
+takes part in the decision.  Only rows that share every byte so far go on to the next round, so only texts
+that share their first digit with another move at all.  A group of copies of any size is counted before the shuffle, and the
 join that hands rows their group can be split where one group is large.
 
 Defined cases: null counts as empty, and all empty texts are one group; equal rows stay separate rows, of
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm.common import SPACES, materialize, release, table
+from credence.llm.common import SPACES, bitmap_filter, materialize, passes_filter, release, table
 
 #: Bytes of the first digit; each later digit has GROWTH times as many.
 FIRST_DIGIT, GROWTH = 48, 4
@@ -42,7 +42,18 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ca
         groups = keyed.groupBy("gid", "digit", "more").agg(F.count(F.lit(1)).alias("size"), best.alias("best")).filter("size > 1")
         groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), f"radix-groups-{start}")
         right = groups.select(F.col("gid").alias("g"), F.col("digit").alias("d"), F.col("more").alias("m"), "size", "best", "next")
+        single = None
+        if not start:
+            # Rows whose first digit is their own need not move: a bitmap of the digits that occur twice
+            # lets every other row through, and equality is still decided on the bytes.
+            key = F.xxhash64("digit", "more")
+            bitmap, n_bits = bitmap_filter(groups.select(key.alias("h")), "h")
+            tried = passes_filter(keyed, key, bitmap, n_bits, "may")
+            keyed, single = tried.filter("may").drop("may"), tried.filter("NOT may").drop("may")
+        right = right.hint("merge")
         joined = keyed.join(right, (F.col("gid") == F.col("g")) & (F.col("digit") == F.col("d")) & (F.col("more") == F.col("m")), "left")
+        if single is not None:
+            joined = joined.unionByName(single, allowMissingColumns=True)
         goes_on = F.col("more") & F.col("size").isNotNull()
         points = F.char_length("text")
         first = F.col("size").isNull() | ((-points == F.col("best.less")) & F.col("id").eqNullSafe(F.col("best.id")))
