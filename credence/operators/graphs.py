@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,20 @@ from credence.functions.lattice import clash
 _own: list[str] = []
 
 
+@atexit.register
+def _remove_own() -> None:
+    for path in _own:
+        shutil.rmtree(path, ignore_errors=True)
+
+
+def _drop(df: DataFrame) -> None:
+    """Delete a table of ``_cut`` that nothing reads any more."""
+    path = getattr(df, "_table", None)
+    if path:
+        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared checkpoint folder; a folder of our own in local mode."""
     spark: SparkSession = df.sparkSession
@@ -25,7 +41,9 @@ def _cut(df: DataFrame) -> DataFrame:
         root = _own[0]
     path = f"{root}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
 
 
 def _mark(df: DataFrame):
@@ -52,6 +70,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) ->
         after = _cut(folded.select("node", F.when(F.col("anchored"), F.col("own")).otherwise(F.col("rank")).alias("rank"), "anchored", "returned"))
         if _mark(after.select("node", "rank")) == _mark(now.select("node", "rank")):
             return after.select("node", "rank")
+        _drop(now)
         now = after
     raise RuntimeError("the rank of some node still rises at the bound")
 
@@ -69,6 +88,7 @@ def propagate_clash(nodes: DataFrame, edges: DataFrame, rounds: int | None = Non
         after = _cut(joined.select("node", rank.cast("int").alias("rank"), "anchored", "returned"))
         if _mark(after.select("node", "rank")) == _mark(now.select("node", "rank")):
             return after.select("node", "rank")
+        _drop(now)
         now = after
     raise RuntimeError("the rank of some node still rises at the bound")
 
@@ -79,8 +99,12 @@ def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
     fresh = seen
     while fresh.limit(1).count():
         step = edges.join(fresh.select(F.col("node").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("node")).distinct()
-        fresh = _cut(step.join(seen, "node", "left_anti"))
-        seen = _cut(seen.unionByName(fresh))
+        last, fresh = fresh, _cut(step.join(seen, "node", "left_anti"))
+        if last is not seen:
+            _drop(last)
+        wider = _cut(seen.unionByName(fresh))
+        _drop(seen)
+        seen = wider
     return seen
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.identity import fingerprint
 from credence.functions.lattice import RANK
-from credence.operators.graphs import _cut
+from credence.operators.graphs import _cut, _drop
 from credence.operators.rules import apply_rules
 from credence.sources.python_code import MARKER_MODULES, flow_rows, module_of, parsed
 
@@ -118,7 +118,9 @@ def flow(files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: t
         known = told
         given = told.join(seeds.select(F.col("qualname").alias("callee"), "path"), "callee").groupBy("path").agg(F.collect_list(F.struct("callee", "param", "rank")).alias("meets"))
         again = ready.join(dirty, "path", "left_semi").join(given, "path", "left").select("path", "source", "seeds", "meets").mapInArrow(run, FLOW)
-        now = _cut(now.join(dirty, "path", "left_anti").unionByName(again))
+        after = _cut(now.join(dirty, "path", "left_anti").unionByName(again))
+        _drop(now)
+        now = after
     return now, False
 
 
