@@ -47,6 +47,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours, in whatever store it is."""
+    try:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    except Exception:  # noqa: BLE001  the session may be gone; leftovers only cost disk
+        pass
+
+
 def release(df: DataFrame | None = None) -> None:
     """Delete one scratch table, or all of them; call it once nothing lazy reads them any more."""
     wanted = getattr(df, "_scratch_path", None) if df is not None else None
@@ -56,11 +65,7 @@ def release(df: DataFrame | None = None) -> None:
         spark, path = item
         if wanted in (None, path):
             _live.remove(item)
-            try:
-                jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-                jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-            except Exception:  # noqa: BLE001  the session may be gone; leftovers only cost disk
-                pass
+            remove(spark, path)
 
 
 @atexit.register
