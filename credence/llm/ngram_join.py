@@ -8,8 +8,9 @@ passages that many documents share stay out of prefixes.
 Grouping.  Documents with equal sets have equal prefixes and sizes; they are collapsed into one node
 before anything is joined, whatever their number.  Nodes that share prefix tokens are candidates; they are
 first linked to a centre per token, verified, and collapsed into components.  From then on a token counts
-only where it joins different components, and pairs of groups are filtered (by size) before they are
-expanded into their members and verified against whole sets.  Cheap rounds run first; the last round
+only where it joins different components, and pairs of groups are filtered by size before they are
+expanded into their members; a pair is verified against whole sets if its sizes and the number of prefix
+tokens it shares allow the threshold.  Cheap rounds run first; the last round
 expands every group pair that is left, so no link between different components is missed, while pairs
 inside one component are never made.
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import BITMAP_BITS, bitmap_filter, materialize, release, table
+from credence.llm.common import bitmap_filter, materialize, passes_filter, release, table
 
 WORDS = 5
 #: Tokens that are moved to the end of the order; a bound on what is broadcast (16 bytes each).
@@ -253,25 +254,19 @@ def _shared(key, group):
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, tokens) of the documents in ``ids`` and perhaps some others."""
+    """(id, tokens) of the documents in ``ids`` and perhaps a few others; the rest never leaves the scan."""
     bitmap, n_bits = bitmap_filter(ids.select(F.xxhash64("id").alias("h")), "h")
-    found = {r["chunk"]: bytes(r["bits"]) for r in bitmap.collect()}  # 16 MB at most
-    sent = docs.sparkSession.sparkContext.broadcast(b"".join(found.get(k, bytes(BITMAP_BITS // 8)) for k in range(n_bits // BITMAP_BITS)))
-    at = F.pmod(F.xxhash64("id"), F.lit(n_bits))
+    picked = passes_filter(docs, F.xxhash64("id"), bitmap, n_bits, "may").filter("may").select("id", "text")
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        bits = np.frombuffer(sent.value, "u1")
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            pick = np.flatnonzero((bits[place // 8] >> (place % 8).astype("u1")) & 1)
-            for k in range(0, len(pick), 64):
-                part = pick[k : k + 64].tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part, pa.int64())), pa.array([shingles(batch.column(1)[i].as_py()).tobytes() for i in part], pa.binary())], names=["id", "tokens"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(v.as_py()).tobytes() for v in part.column(1)], pa.binary())], names=["id", "tokens"])
 
-    return docs.select("id", "text", at.alias("at")).mapInArrow(run, "id long, tokens binary")
+    return picked.mapInArrow(run, "id long, tokens binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -355,9 +350,7 @@ def _near(rows: DataFrame) -> DataFrame:
     comps = None
     scratch = [stats, nodes, live]
     if live.limit(1).count():
-        sets = materialize(_sets(rows, live.select("id").distinct()), "shingle-sets")
-        scratch.append(sets)
-        comps = _resolve(live, sets)
+        comps = _resolve(live, rows)
     nodes_comp = nodes.select("sig", "sig2", "n", F.col("id").alias("node"))
     if comps is not None:
         nodes_comp = nodes_comp.join(comps.withColumnRenamed("id", "cid"), F.col("node") == F.col("cid"), "left").select("sig", "sig2", "n", F.coalesce("comp", "node").alias("comp"))
@@ -371,42 +364,71 @@ def _near(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _fits(a: str = "na", b: str = "nb"):
+def _rest(n: str):
+    """Tokens of a set behind its prefix."""
+    return F.ceil(3 * F.col(n) / 4) - 1
+
+
+def _may_reach(shared: str):
+    """Of two sets, the one whose prefix ends earlier has all its common tokens up to that end among the
+    ``shared`` prefix tokens, so the overlap is at most ``shared`` plus the tokens behind a prefix."""
+    return 7 * (F.col(shared) + F.greatest(_rest("na"), _rest("nb"))) >= 3 * (F.col("na") + F.col("nb"))
+
+
+def _fits():
     """Sizes that can reach the threshold."""
-    return (4 * F.least(F.col(a), F.col(b))) >= (3 * F.greatest(F.col(a), F.col(b)))
+    return (4 * F.least("na", "nb")) >= (3 * F.greatest("na", "nb"))
+
 
+def _centre_pairs(own: DataFrame) -> DataFrame:
+    """One member of each group on a token against the token's centre; a node keeps the three centres
+    that share most tokens with it.  What is left out here waits for the last round."""
+    groups = own.groupBy("token", "comp").agg(F.min(F.struct("id", "n")).alias("m"), F.first("mid").alias("mid"))
+    pairs = groups.filter(F.col("mid.comp") != F.col("comp")).select(F.col("m.id").alias("a"), F.col("m.n").alias("na"), F.col("mid.id").alias("b"), F.col("mid.n").alias("nb"))
+    pairs = pairs.filter(_fits()).groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(_may_reach("shared"))
+    best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    return pairs.withColumn("k", F.row_number().over(best)).filter("k <= 3").select("a", "b")
 
-def _resolve(live: DataFrame, sets: DataFrame) -> DataFrame | None:
+
+def _all_pairs(own: DataFrame) -> DataFrame:
+    """Every pair of members of different groups that the sizes and the shared prefix tokens allow."""
+    groups = own.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left = groups.select("token", F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    right = groups.select(F.col("token").alias("t"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    fit = (F.col("ca") < F.col("cb")) & (4 * F.col("ha") >= 3 * F.col("lb")) & (4 * F.col("hb") >= 3 * F.col("la"))
+    met = left.join(right, (F.col("token") == F.col("t")) & fit).select("token", "ca", "cb")
+    one = own.select(F.col("token").alias("t1"), F.col("comp").alias("c1"), F.col("id").alias("a"), F.col("n").alias("na"))
+    two = own.select(F.col("token").alias("t2"), F.col("comp").alias("c2"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = met.join(one, (F.col("token") == F.col("t1")) & (F.col("ca") == F.col("c1"))).join(two, (F.col("token") == F.col("t2")) & (F.col("cb") == F.col("c2")) & _fits())
+    return pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(_may_reach("shared")).select("a", "b")
+
+
+def _resolve(live: DataFrame, rows: DataFrame) -> DataFrame | None:
     """Components of the nodes in ``live`` (token, id, n): cheap rounds, then all that is left."""
-    edges, comps = None, None
+    edges, comps, found = None, None, None
     for step in ("centre", "centre", "all"):
+        if step == "centre" and found is not None and not found.limit(1).count():
+            continue
         if comps is None:
             own = live.withColumn("comp", F.col("id"))
         else:
             c = comps.select(F.col("id").alias("cid"), "comp")
             own = live.join(c, F.col("id") == F.col("cid"), "left").select("token", "id", "n", F.coalesce("comp", "id").alias("comp"))
         mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "n", "comp")).alias("mid")).filter("lo < hi")
-        own = materialize(own.join(mixed.select(F.col("token").alias("t"), "mid"), F.col("token") == F.col("t")).select("token", "id", "n", "comp", "mid"), "group-postings")
-        if step == "centre":
-            # One member of each group on a token against the token's centre; a node keeps the three
-            # centres that share most tokens with it - the rest waits for the last round.
-            groups = own.groupBy("token", "comp").agg(F.min(F.struct("id", "n")).alias("m"), F.first("mid").alias("mid"))
-            pairs = groups.filter(F.col("mid.comp") != F.col("comp")).select(F.col("m.id").alias("a"), F.col("m.n").alias("na"), F.col("mid.id").alias("b"), F.col("mid.n").alias("nb"))
-            pairs = pairs.filter(_fits()).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-            best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
-            pairs = pairs.withColumn("k", F.row_number().over(best)).filter("k <= 3").select("a", "b")
-        else:
-            groups = own.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-            left = groups.select("token", F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-            right = groups.select(F.col("token").alias("t"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-            fit = (F.col("ca") < F.col("cb")) & (4 * F.col("ha") >= 3 * F.col("lb")) & (4 * F.col("hb") >= 3 * F.col("la"))
-            met = left.join(right, (F.col("token") == F.col("t")) & fit).select("token", "ca", "cb")
-            one = own.select(F.col("token").alias("t1"), F.col("comp").alias("c1"), F.col("id").alias("a"), F.col("n").alias("na"))
-            two = own.select(F.col("token").alias("t2"), F.col("comp").alias("c2"), F.col("id").alias("b"), F.col("n").alias("nb"))
-            pairs = met.join(one, (F.col("token") == F.col("t1")) & (F.col("ca") == F.col("c1"))).join(two, (F.col("token") == F.col("t2")) & (F.col("cb") == F.col("c2")) & _fits())
-            pairs = pairs.select("a", "b").distinct()
-        found = materialize(_links(pairs, sets), "links")
+        own = own.join(mixed.select(F.col("token").alias("t"), "mid"), F.col("token") == F.col("t")).select("token", "id", "n", "comp", "mid")
+        if step == "all":
+            own = materialize(own, "group-postings")
+        pairs = materialize((_centre_pairs if step == "centre" else _all_pairs)(own), "pairs")
         release(own)
+        if not pairs.limit(1).count():
+            found = pairs
+            continue
+        sets = materialize(_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "shingle-sets")
+        found = materialize(_links(pairs, sets), "links")
+        release(sets)
+        release(pairs)
+        if not found.limit(1).count():
+            continue
         edges = found if edges is None else materialize(edges.unionByName(found), "links")
         if comps is not None:
             release(comps)
