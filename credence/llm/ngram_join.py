@@ -167,12 +167,18 @@ def _stats(batches: Iterator) -> Iterator:
         yield counted()
 
 
+def prefix_lengths(n: int) -> tuple[int, int]:
+    """How many tokens a set of ``n`` shows to larger sets, and to smaller ones: a set that is at least as
+    large as this one shares 6/7 of its tokens, a smaller one 3/4."""
+    return n - -(-6 * n // 7) + 1, n - -(-3 * n // 4) + 1
+
+
 def prefix(tokens, hot, rank):
-    """(rare, frequent) tokens of the prefix."""
+    """(rare, frequent) tokens of the prefix, in order."""
     import numpy as np
 
     n = len(tokens)
-    length = n - -(-3 * n // 4) + 1
+    length = prefix_lengths(n)[1]
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
         is_hot = hot[at] == tokens
@@ -215,15 +221,17 @@ def _postings(sent, buckets: int):
                 s = shingles(text.as_py())
                 if not len(s):
                     continue
-                sig = signature(s)[0]
+                sig = signature(s)[0] & ~1  # the lowest bit marks the tokens that larger sets must meet
                 if sig in seen:
                     continue
                 seen.add(sig)
                 cold, late = prefix(s, hot, rank)
-                if len(cold):
-                    cold_parts.append((cold, sig))
-                if len(late):
-                    hot_parts.append((late, sig))
+                first = prefix_lengths(len(s))[0]
+                for parts, own, shown in ((cold_parts, cold, min(first, len(cold))), (hot_parts, late, max(0, first - len(cold)))):
+                    if shown:
+                        parts.append((own[:shown], sig | 1))
+                    if shown < len(own):
+                        parts.append((own[shown:], sig))
                 size += len(cold) + len(late)
                 if size >= FLUSH:
                     yield packed()
@@ -246,7 +254,7 @@ def _shared(key, group):
     first = np.ones(len(t), bool)
     first[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
     t, s = t[first], s[first]
-    if key[0].as_py() >= 0 and len(t):
+    if key[0].as_py() >= 0 and len(t):  # a set holds a token once, so its rows differ in the token
         same = np.concatenate([[False], t[1:] == t[:-1], [False]])
         keep = same[1:] | same[:-1]
         t, s = t[keep], s[keep]
@@ -346,7 +354,8 @@ def _near(rows: DataFrame) -> DataFrame:
         buckets *= 2
     packed = rows.select("text").mapInArrow(_postings(sent, buckets), "bucket long, tokens binary, sigs binary")
     shared = packed.groupBy("bucket").applyInArrow(_shared, "token long, sig long")
-    live = materialize(shared.join(nodes.select(F.col("sig").alias("s"), "id", "n"), F.col("sig") == F.col("s")).select("token", "id", "n"), "shingle-live")
+    marked = shared.withColumn("shown", F.col("sig").bitwiseAND(F.lit(1)) == 1).withColumn("sig", F.col("sig").bitwiseAND(F.lit(-2)))
+    live = materialize(marked.join(nodes.select(F.col("sig").bitwiseAND(F.lit(-2)).alias("s"), "id", "n"), F.col("sig") == F.col("s")).select("token", "id", "n", "shown"), "shingle-live")
     comps = None
     scratch = [stats, nodes, live]
     if live.limit(1).count():
@@ -391,20 +400,28 @@ def _centre_pairs(own: DataFrame) -> DataFrame:
 
 
 def _all_pairs(own: DataFrame) -> DataFrame:
-    """Every pair of members of different groups that the sizes and the shared prefix tokens allow."""
-    groups = own.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    left = groups.select("token", F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    right = groups.select(F.col("token").alias("t"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    fit = (F.col("ca") < F.col("cb")) & (4 * F.col("ha") >= 3 * F.col("lb")) & (4 * F.col("hb") >= 3 * F.col("la"))
-    met = left.join(right, (F.col("token") == F.col("t")) & fit).select("token", "ca", "cb")
-    one = own.select(F.col("token").alias("t1"), F.col("comp").alias("c1"), F.col("id").alias("a"), F.col("n").alias("na"))
-    two = own.select(F.col("token").alias("t2"), F.col("comp").alias("c2"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = met.join(one, (F.col("token") == F.col("t1")) & (F.col("ca") == F.col("c1"))).join(two, (F.col("token") == F.col("t2")) & (F.col("cb") == F.col("c2")) & _fits())
-    return pairs.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("shared")).filter(_may_reach("shared")).select("a", "b")
+    """Every pair of members of different groups that the sizes and the shared prefix tokens allow.
+
+    The smaller of two similar sets has a common token among its ``shown`` ones (both have, if they are
+    as large), and the larger has it in its prefix; such pairs are then held against both whole prefixes.
+    """
+    small = own.filter("shown").groupBy("token", "comp").agg(F.min("n").alias("la"), F.max("n").alias("ha")).withColumnRenamed("comp", "ca")
+    large = own.groupBy(F.col("token").alias("t"), F.col("comp").alias("cb")).agg(F.min("n").alias("lb"), F.max("n").alias("hb"))
+    fit = (F.col("ca") != F.col("cb")) & (F.col("la") <= F.col("hb")) & (4 * F.col("ha") >= 3 * F.col("lb"))
+    met = small.join(large, (F.col("token") == F.col("t")) & fit).select("token", "ca", "cb")
+    one = own.filter("shown").select(F.col("token").alias("t1"), F.col("comp").alias("c1"), F.col("id").alias("a"), F.col("n").alias("na"))
+    two = own.select(F.col("token").alias("t2"), F.col("comp").alias("c2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shown").alias("sb"))
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & F.col("sb") & (F.col("a") < F.col("b")))
+    pairs = met.join(one, (F.col("token") == F.col("t1")) & (F.col("ca") == F.col("c1"))).join(two, (F.col("token") == F.col("t2")) & (F.col("cb") == F.col("c2")) & order & _fits())
+    pairs = pairs.select("a", "na", "b", "nb").distinct()
+    # A prefix is as long as its set at most; only the tokens that other groups share are left of it.
+    prefixes = own.groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    both = pairs.join(prefixes.select(F.col("id").alias("ia"), F.col("tokens").alias("ta")), F.col("a") == F.col("ia")).join(prefixes.select(F.col("id").alias("ib"), F.col("tokens").alias("tb")), F.col("b") == F.col("ib"))
+    return both.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).filter(_may_reach("shared")).select("a", "b")
 
 
 def _resolve(live: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """Components of the nodes in ``live`` (token, id, n): cheap rounds, then all that is left."""
+    """Components of the nodes in ``live`` (token, id, n, shown): cheap rounds, then all that is left."""
     edges, comps, found = None, None, None
     for step in ("centre", "centre", "all"):
         if step == "centre" and found is not None and not found.limit(1).count():
@@ -413,9 +430,9 @@ def _resolve(live: DataFrame, rows: DataFrame) -> DataFrame | None:
             own = live.withColumn("comp", F.col("id"))
         else:
             c = comps.select(F.col("id").alias("cid"), "comp")
-            own = live.join(c, F.col("id") == F.col("cid"), "left").select("token", "id", "n", F.coalesce("comp", "id").alias("comp"))
+            own = live.join(c, F.col("id") == F.col("cid"), "left").select("token", "id", "n", "shown", F.coalesce("comp", "id").alias("comp"))
         mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("id", "n", "comp")).alias("mid")).filter("lo < hi")
-        own = own.join(mixed.select(F.col("token").alias("t"), "mid"), F.col("token") == F.col("t")).select("token", "id", "n", "comp", "mid")
+        own = own.join(mixed.select(F.col("token").alias("t"), "mid"), F.col("token") == F.col("t")).select("token", "id", "n", "shown", "comp", "mid")
         if step == "all":
             own = materialize(own, "group-postings")
         pairs = materialize((_centre_pairs if step == "centre" else _all_pairs)(own), "pairs")
