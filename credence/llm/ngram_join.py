@@ -36,10 +36,10 @@ WORDS = 5
 #: Tokens that are moved to the end of the order; a bound on what is broadcast (16 bytes each).
 HOT_TOKENS = 1 << 17
 #: A token is frequent from this many documents on.
-HOT_FROM = 24
+HOT_FROM = 6
 #: Shingles a task holds before it counts or sends them.
 FLUSH = 1 << 21
-PIECE = 1 << 22
+PIECE = 1 << 18
 #: Postings per bucket that the number of buckets aims at.
 BUCKET_POSTINGS = 300_000
 
@@ -136,16 +136,16 @@ def signature(tokens) -> tuple[int, int]:
 
 
 def _stats(batches: Iterator) -> Iterator:
-    """Per document: size and signature; per FLUSH shingles: those of three documents or more."""
+    """Per document: size and signature; per FLUSH shingles: those of two different sets or more."""
     import numpy as np
     import pyarrow as pa
 
     names = ["id", "n", "sig", "sig2", "hot", "hot_n"]
-    held, size = [], 0
+    held, size, seen = [], 0, set()
 
     def counted():
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= 3
+        often = n >= 2
         hot, hot_n = tokens[often].view("i8"), n[often]
         none = pa.nulls(len(hot), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(hot), pa.array(hot_n.astype("i8"))], names=names)
@@ -156,11 +156,13 @@ def _stats(batches: Iterator) -> Iterator:
             s = shingles(text.as_py())
             x, y = signature(s)
             n.append(len(s)), a.append(x), b.append(y)
-            held.append(s)
-            size += len(s)
+            if (x, y) not in seen:  # copies say nothing about the order of tokens
+                seen.add((x, y))
+                held.append(s)
+                size += len(s)
             if size >= FLUSH:
                 yield counted()
-                held, size = [], 0
+                held, size, seen = [], 0, set()
         none = pa.nulls(len(n), pa.int64())
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none], names=names)
     if held:
