@@ -408,13 +408,15 @@ def _all_pairs(own: DataFrame) -> DataFrame:
     as large), and the larger has it in its prefix; such pairs are then held against both whole prefixes.
     """
     small = own.filter("shown").groupBy("token", "comp").agg(F.min("n").alias("la"), F.max("n").alias("ha")).withColumnRenamed("comp", "ca")
-    large = own.groupBy(F.col("token").alias("t"), F.col("comp").alias("cb")).agg(F.min("n").alias("lb"), F.max("n").alias("hb"))
+    large = own.groupBy(F.col("token").alias("t"), F.col("comp").alias("cb")).agg(F.min("n").alias("lb"), F.max("n").alias("hb"), F.max(F.when(F.col("shown"), F.col("n"))).alias("eb"))
     fit = (F.col("ca") != F.col("cb")) & (F.col("la") <= F.col("hb")) & (4 * F.col("ha") >= 3 * F.col("lb"))
-    met = small.join(large, (F.col("token") == F.col("t")) & fit).select("token", "ca", "cb")
+    met = small.join(large, (F.col("token") == F.col("t")) & fit).select("token", "ca", "cb", "lb", "hb", "eb")
     one = own.filter("shown").select(F.col("token").alias("t1"), F.col("comp").alias("c1"), F.col("id").alias("a"), F.col("n").alias("na"))
     two = own.select(F.col("token").alias("t2"), F.col("comp").alias("c2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shown").alias("sb"))
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & F.col("sb") & (F.col("a") < F.col("b")))
-    pairs = met.join(one, (F.col("token") == F.col("t1")) & (F.col("ca") == F.col("c1"))).join(two, (F.col("token") == F.col("t2")) & (F.col("cb") == F.col("c2")) & order & _fits())
+    # A member is expanded only if some member of the other group is larger, or as large and shows the token.
+    reach = (4 * F.col("na") >= 3 * F.col("lb")) & ((F.col("na") < F.col("hb")) | (F.col("na") == F.col("eb")))
+    pairs = met.join(one, (F.col("token") == F.col("t1")) & (F.col("ca") == F.col("c1")) & reach).join(two, (F.col("token") == F.col("t2")) & (F.col("cb") == F.col("c2")) & order & _fits())
     pairs = pairs.select("a", "na", "b", "nb").distinct()
     # A prefix is as long as its set at most; only the tokens that other groups share are left of it.
     prefixes = own.groupBy("id").agg(F.collect_list("token").alias("tokens"))
