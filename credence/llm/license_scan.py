@@ -10,6 +10,9 @@ A file named like LICENSE or COPYING licenses its directory.  Directories, not f
 their ancestors: each directory takes the license of the nearest one, and files then join their directory.
 A directory with any number of files is one row until the last join, which can split a large directory.
 
+A copyright notice is also tried without its years and holder.  Licensed texts often carry such a notice,
+so reserved rights count only where no license reaches the threshold.
+
 Defined cases: null and empty texts have no license of their own; of equal scores the first name in the
 alphabet wins; several license files in one directory: the best score, then the smallest path; a null path
 is outside every directory; other columns pass through.
@@ -55,9 +58,16 @@ TEMPLATES = (
     ("CC0-1.0", "dedicated to the public domain under cc0 1.0 universal"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
     ("Proprietary", "copyright all rights reserved no part may be reproduced without written permission"),
+    ("Proprietary", "copyright all rights reserved"),
+    ("Proprietary", "all rights reserved"),
 )
 
+#: Reserves rights and grants none.
+RESERVED = "Proprietary"
+
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: A notice with its years and holder, which are words of no template.
+_NOTICE = re.compile(r"(?:\bcopyright\b|\(c\)|\u00a9)[^\n]{0,120}?\ball\s+rights\s+reserved\b")
 
 
 def words(text: str) -> list[str]:
@@ -107,10 +117,12 @@ class Scanner:
         if self.anchor.search(low) is None:
             return None, 0.0
         passages = dict.fromkeys(p for p in (low, *re.split(r"\n\s*\n", low), *low.split("\n"), *re.split(r"(?<=[.!?])\s", low)) if self.anchor.search(p))
+        if _NOTICE.search(low):
+            passages["copyright all rights reserved"] = None
         found = [s for s in map(self.score, passages) if s and s[0] >= self.threshold]
         if not found:
             return None, 0.0
-        value, name = min((-round(s, 9), n) for s, n in found)
+        _, value, name = min((n == RESERVED, -round(s, 9), n) for s, n in found)
         return name, -value
 
 
