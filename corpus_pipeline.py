@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from credence.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
 from credence.llm.common import release, remove, scratch_root, table
@@ -39,10 +40,25 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).orderBy("position").select(*docs.columns)
 
 
+def written_order(docs: DataFrame, out: str = "position") -> DataFrame:
+    """Add each row's place, from 0 without gaps, in the order that a stage wrote: by number of the part
+    file, then by row in it.  Readers take the files in an order of their own, so the names tell it."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # One row for each file.
+    sizes = {r["__file"]: r["n"] for r in rows.groupBy("__file").agg((F.max("__row") + 1).alias("n")).collect()}
+    starts, at = [], 0
+    for file in sorted(sizes, key=lambda f: (int(f.split("-")[1]), f)):
+        starts.append((file, at))
+        at += sizes[file]
+    plan = docs.sparkSession.createDataFrame(starts, "__name string, __start long")
+    return rows.join(F.broadcast(plan), F.col("__file") == F.col("__name")).select(*docs.columns, (F.col("__start") + F.col("__row")).alias(out))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token counts and digests of every document that is left."""
+    """Byte-level BPE: token counts and digests of every document that is left, with its ``position`` in
+    the order that the stage before wrote, which is the schedule."""
     release()
-    return byte_bpe.round_trip(docs).select(*[c for c in docs.columns if c != "text"], "n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.round_trip(written_order(docs)).select(*[c for c in docs.columns if c != "text"], "position", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

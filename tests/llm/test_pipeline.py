@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from credence.llm import byte_bpe, language_id
+from credence.llm import byte_bpe, language_id, mixing
 from credence.llm.common import SPACES
 from test_llm import DOC, brute_components, near_texts, prose
 
@@ -43,3 +43,20 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert after.columns == docs.columns
         docs = after
     assert "text" not in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns
+
+
+def test_the_schedule_is_in_the_result(spark, tmp_path):
+    rows = [(i, f"text {i} " + "word " * (i % 50), "en", "big" if i < 400 else f"s{i % 4}", 1) for i in range(600)]
+    given = str(tmp_path / "given")
+    spark.createDataFrame(rows, DOC).repartition(7).write.parquet(given)
+    docs = spark.read.parquet(given)
+    want = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    path = str(tmp_path / "mixed")
+    corpus_pipeline.mixture(spark, docs, "").write.parquet(path)
+    got = {r.doc_id: (r.position, r.source) for r in corpus_pipeline.tokens(spark, spark.read.parquet(path), "").collect()}
+    assert {i: at for i, (at, _) in got.items()} == want and sorted(want.values()) == list(range(600))
+    shares = mixing.tempered({"big": 400, **dict.fromkeys("0123", 50)})
+    taken = sum(source == "big" for at, source in got.values() if at < 96)
+    assert abs(taken - 96 * shares["big"] / sum(shares.values())) <= 1
+    without = {r.doc_id: r.position for r in corpus_pipeline.tokens(spark, docs, "").collect()}
+    assert without != want and sorted(without.values()) == list(range(600))
