@@ -20,7 +20,8 @@ from credence.operators.rules import apply_rules
 from credence.sources.python_code import MARKER_MODULES, flow_rows, module_of, parsed
 
 BATCH_ROWS = 64
-MOST_ROUNDS = 40
+#: How often a parameter's rank can rise.
+RISES = 7
 
 ENTITY = (
     "path string, module string, qualname string, owner string, line_start int, line_end int, params array<string>, "
@@ -76,8 +77,15 @@ def seed(entities: DataFrame, untrusted: tuple[str, ...] = ()) -> DataFrame:
     return folded.select("qualname", "path", own("body").alias("body"), own("ret").alias("ret"), source.alias("source"), "params")
 
 
-def flow(files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES) -> tuple[DataFrame, bool]:
-    """Return ranks and argument ranks of every function, and whether the rounds reached the fixed point."""
+def flow(files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES, rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """Return ranks and argument ranks of every function, and whether the rounds reached the fixed point.
+
+    Known ranks only rise, so the default bound - as often as all parameters can rise, and one more - is
+    enough.  Past a bound, what any function returns is UNKNOWN_RAW at least, of no known callee.
+    """
+    if rounds is None:
+        cells = seeds.agg(F.sum(F.greatest(F.size("params"), F.lit(0)))).first()[0]
+        rounds = RISES * max(1, cells or 0) + 1
     refs = facts.select("path", F.explode("references").alias("qualname")).join(seeds.select("qualname", "body", "ret", "params"), "qualname")
     own = seeds.select("path", "qualname", "body", "ret", "params")
     env = refs.select("path", "qualname", "body", "ret", "params").unionByName(own).distinct().groupBy("path").agg(F.collect_list(F.struct("qualname", "body", "ret", "params")).alias("seeds"))
@@ -105,23 +113,26 @@ def flow(files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: t
     none = F.array().cast("array<struct<callee:string,param:string,rank:int>>")
     now = _cut(ready.withColumn("meets", none).select("path", "source", "seeds", "meets").mapInArrow(run, FLOW))
     known = None
-    for _ in range(MOST_ROUNDS):
+    for done in range(rounds + 1):
         told = now.select(F.explode("meets").alias("m")).select("m.*").groupBy("callee", "param").agg(F.max("rank").alias("rank"))
         if known is not None:
             told = told.unionByName(known).groupBy("callee", "param").agg(F.max("rank").alias("rank"))
         told = _cut(told)
         fresh = told if known is None else told.join(known, ["callee", "param", "rank"], "left_anti")
-        dirty = fresh.join(seeds.select(F.col("qualname").alias("callee"), "path", "body"), "callee").filter("rank > body").select("path").distinct()
-        dirty = _cut(dirty)
-        if not dirty.limit(1).count():
+        risen = _cut(fresh.join(seeds.select(F.col("qualname").alias("callee"), "path", "body"), "callee").filter("rank > body").select("path", F.col("callee").alias("qualname")).distinct())
+        if not risen.limit(1).count():
             return now, True
+        if done == rounds:
+            break
+        dirty = risen.select("path").distinct()
         known = told
         given = told.join(seeds.select(F.col("qualname").alias("callee"), "path"), "callee").groupBy("path").agg(F.collect_list(F.struct("callee", "param", "rank")).alias("meets"))
         again = ready.join(dirty, "path", "left_semi").join(given, "path", "left").select("path", "source", "seeds", "meets").mapInArrow(run, FLOW)
         after = _cut(now.join(dirty, "path", "left_anti").unionByName(again))
         _drop(now)
         now = after
-    return now, False
+    ret = F.when(F.col("ret").isNotNull(), F.greatest("ret", F.lit(RANK["UNKNOWN_RAW"]))).cast("int")
+    return now.withColumn("ret", ret).withColumn("ret_callee", F.lit(None).cast("string")), False
 
 
 def scan(files: DataFrame, untrusted: tuple[str, ...] = (), marker_modules: tuple[str, ...] = MARKER_MODULES, rules: tuple[str, ...] | None = None) -> dict[str, DataFrame]:

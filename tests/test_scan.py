@@ -4,7 +4,7 @@ import pytest
 
 from credence.functions.flow import Flow
 from credence.operators import findings as fo
-from credence.plans.scan import scan
+from credence.plans.scan import extract, flow, scan, seed
 from credence.sources.python_code import Source, module_of
 
 HEAD = "from credence.markers import trusted, external_boundary, trust_boundary\nimport os, shlex, html, json\n@external_boundary\ndef raw(p):\n    return p\n"
@@ -52,6 +52,27 @@ def test_a_project(spark):
     assert (gate.verdict, gate.would_trip_at, gate.exit_class) == ("FAILED", "ERROR", 1)
 
 
+def chain(n):
+    body = "".join(f"@trusted\ndef f{i}(c):\n    f{i + 1}(c)\n    return c\n" for i in range(n))
+    return [("src/chain.py", HEAD + body + f"@trusted\ndef f{n}(c):\n    os.system(c)\ndef go():\n    f0(raw(1))\n")]
+
+
+def test_a_chain_of_more_than_40_calls(spark):
+    found = scan(spark.createDataFrame(chain(42), "path string, source string"), rules=("PY-WL-108",))["findings"].collect()
+    assert [(r.rule_id, r.qualname) for r in found] == [("PY-WL-108", "chain.f42")]
+
+
+def test_functions_past_the_bound_return_unknown(spark):
+    files = spark.createDataFrame(chain(4), "path string, source string")
+    facts = extract(files)
+    seeds = seed(facts.selectExpr("explode(entities) AS e").select("e.*"))
+    out, settled = flow(files, facts, seeds, rounds=2)
+    ret = {r.qualname: r.ret for r in out.collect()}
+    assert not settled and [ret[f"chain.f{i}"] for i in range(5)] == [6, 6, 6, 6, None]
+    out, settled = flow(files, facts, seeds)
+    assert settled and {r.ret for r in out.collect() if r.qualname in ("chain.f0", "chain.f3")} == {5}
+
+
 def test_undecodable_source_is_a_finding(spark):
     df = spark.createDataFrame([("a.py", bytearray(b"\xff\xfe"))], "path string, source binary")
     assert [r.rule_id for r in scan(df)["findings"].collect()] == ["WLN-ENGINE-FILE-FAILED"]
