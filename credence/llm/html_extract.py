@@ -6,7 +6,10 @@ ratio is its text per node, fused with its punctuation per node and damped by it
 Ratios are smoothed over the paths below the same container, weighted by their text; a container is
 content if its smoothed ratio reaches a share of the page's best.  Paths that pass through a menu,
 header, footer, sidebar, notice, advert, form, comment list or hidden element never count, and an
-``article`` or ``main`` element, where there is one, bounds the search.
+``article`` or ``main`` element, where there is one, bounds the search.  A class or id names a role by a
+whole word or by the last part of a hyphenated one ("left-sidebar"); another part ("search-page") only
+lowers the ratio of the path.  An element that is so named is kept if it holds the page's only ``article``
+or ``main`` element, or, where the role is but a word's last part ("has-sidebar"), most of the text.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; unclosed and stray tags
 are repaired as browsers commonly do; character references are decoded, unknown ones stay as they are;
@@ -47,6 +50,11 @@ _CLOSES = {
 _BARRIER = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select",), "body": ()}
 _CLOSES_P = _BLOCK - {"li", "dd", "dt", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "legend", "summary", "html", "body"}
 
+#: What a path's ratio is multiplied by if a part of some word names a role.
+PART = 0.5
+#: How an element names a role: not at all, by a part, by the last part of a word, by a whole word.
+NO_ROLE, SOME_PART, LAST_PART, WHOLE_WORD = range(4)
+
 #: Words of class, id or role that name something other than content.
 _ROLE = re.compile(
     r"^(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|sponsor|sponsored|promo|promotion|promoted|banner|"
@@ -64,36 +72,44 @@ _PUNCT = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 _WORDS = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _role(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(step of the path, is it dropped with all below, is it marked as the main content)."""
+def _named(word: str) -> int:
+    if _ROLE.match(word):
+        return WHOLE_WORD
+    parts = word.split("-")
+    if _ROLE.match(parts[-1]):
+        return LAST_PART
+    return SOME_PART if any(_ROLE.match(p) for p in parts) else NO_ROLE
+
+
+def _role(tag: str, attrs: str) -> tuple[str, bool, bool, int]:
+    """(step of the path, is it dropped with all below, is it marked as the main content, how it names a role)."""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return tag, tag in _DROP_TAGS, tag in ("article", "main")
+        return tag, tag in _DROP_TAGS, tag in ("article", "main"), NO_ROLE
     found = {k.lower(): html_lib.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     words = [w.lower() for w in _WORDS.split(names) if w]
-    drop = tag in _DROP_TAGS
-    for w in words:
-        drop = drop or bool(_ROLE.match(w)) or any(_ROLE.match(p) for p in w.split("-"))
     style = found.get("style", "").replace(" ", "").lower()
-    drop = drop or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+    drop = tag in _DROP_TAGS or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+    named = max((_named(w) for w in words), default=NO_ROLE)
     if tag in ("html", "body", "article", "main"):
-        drop = False  # layout classes of the whole page say nothing about its text
+        drop, named = False, NO_ROLE  # layout classes of the whole page say nothing about its text
     main = tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody"
-    return f"{tag}.{'.'.join(words)}" if words else tag, drop, main
+    return f"{tag}.{'.'.join(words)}" if words else tag, drop, main, named
 
 
 class _Run:
     """Text of one block with one path."""
 
-    __slots__ = ("path", "container", "parts", "links", "drop", "main", "nodes")
+    __slots__ = ("path", "container", "parts", "links", "drop", "main", "nodes", "roles", "part")
 
-    def __init__(self, path, container, drop, main):
-        self.path, self.container, self.drop, self.main = path, container, drop, main
+    def __init__(self, path, container, drop, main, roles, part):
+        self.path, self.container, self.drop, self.main, self.roles, self.part = path, container, drop, main, roles, part
         self.parts, self.links, self.nodes = [], 0, 0
 
 
 def _scan(page: str) -> list[_Run]:
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, step, dropped, inside main content
+    stack: list[tuple[str, str, bool, bool, tuple[int, int] | None, bool]] = []  # tag, step, dropped, inside main content, (number, how) if it names a role, by a part
+    blocks = 0
     runs: list[_Run] = []
     fresh, at, size = True, 0, len(page)
 
@@ -111,10 +127,10 @@ def _scan(page: str) -> list[_Run]:
             depth = max((i for i, s in enumerate(stack) if s[0] in _BLOCK), default=-1)
             held = max((i for i, s in enumerate(stack) if s[0] in _CONTAINER), default=-1)
             path = "/".join(s[1] for s in stack[: depth + 1])
-            runs.append(_Run(path, "/".join(s[1] for s in stack[: held + 1]), any(s[2] for s in stack), any(s[3] for s in stack)))
+            runs.append(_Run(path, "/".join(s[1] for s in stack[: held + 1]), any(s[2] for s in stack), any(s[3] for s in stack), tuple(s[4] for s in stack if s[4]), any(s[5] for s in stack)))
             fresh = False
         run = runs[-1]
-        if any(s[2] for s in stack) and not run.drop:
+        if any(s[2] for s in stack) and not run.drop or any(s[4] and s[4] not in run.roles for s in stack):
             return  # an inline element that is hidden or a control
         run.parts.append(value)
         run.nodes += 1
@@ -166,9 +182,13 @@ def _scan(page: str) -> list[_Run]:
                 del stack[open_at:]
         if tag in _VOID:
             continue
-        step, drop, main = _role(tag, found[3] or "")
+        step, drop, main, named = _role(tag, found[3] or "")
+        block = None
+        if named >= LAST_PART and not drop and tag != "header":
+            blocks += 1
+            block = (blocks, named)
         if tag == "header" and any(s[0] in ("article", "main") for s in stack):
-            drop = bool(drop and "." in step and any(_ROLE.match(p) for w in step.split(".")[1:] for p in w.split("-") if p != "header"))
+            drop = drop or any(_named(w) >= LAST_PART and w.rpartition("-")[2] != "header" for w in step.split(".")[1:])
         elif tag == "header":
             drop = True
         if tag in _RAW:
@@ -177,10 +197,35 @@ def _scan(page: str) -> list[_Run]:
             continue
         if (found[3] or "").endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append((tag, step, drop, main))
+        stack.append((tag, step, drop, main, block, named == SOME_PART))
+    _drop_roles(runs)
     return runs
 
 
+def _drop_roles(runs: list[_Run]) -> None:
+    """Drop the blocks that name a role, but for those whose loss would be the page's."""
+    seen = [r for r in runs if not r.drop]
+    size = {id(r): len("".join(r.parts)) for r in seen if r.roles or r.main}
+    if not any(r.roles for r in seen):
+        return
+    kept: set[tuple[int, int]] = set()
+    total = sum(size[id(r)] if id(r) in size else len("".join(r.parts)) for r in seen)
+    inside: dict[tuple[int, int], list[_Run]] = {}
+    for r in seen:
+        for block in r.roles:
+            inside.setdefault(block, []).append(r)
+    marked = any(r.main and not r.roles for r in seen)
+    for block in sorted(inside):  # an outer block before those in it
+        held = inside[block]
+        sole = not marked and any(r.main for r in held)
+        most = not marked and block[1] == LAST_PART and 2 * sum(size[id(r)] for r in held) > total
+        if sole or most:
+            kept.add(block)
+            marked = any(r.main and kept.issuperset(r.roles) for r in seen)
+    for r in seen:
+        r.drop = not kept.issuperset(r.roles)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -191,17 +236,17 @@ def main_text(page: str | None) -> str:
         merged = [(run, value) for run, value in merged if run.main]
     if not merged:
         return ""
-    paths: dict[str, list] = {}  # text, punctuation, nodes, link text, container
+    paths: dict[str, list] = {}  # text, punctuation, nodes, link text, container, factor
     for run, value in merged:
-        p = paths.setdefault(run.path, [0, 0, 0, 0, run.container])
+        p = paths.setdefault(run.path, [0, 0, 0, 0, run.container, PART if run.part else 1.0])
         p[0] += len(value)
         p[1] += len(_PUNCT.findall(value))
         p[2] += 1
         p[3] += min(run.links, len(value))
     held: dict[str, list] = {}
-    for chars, marks, nodes, links, container in paths.values():
+    for chars, marks, nodes, links, container, factor in paths.values():
         ratio = (chars - links) / nodes
-        fused = math.log1p(ratio) * (1 + math.log1p(marks / nodes)) * (1 - links / chars)
+        fused = math.log1p(ratio) * (1 + math.log1p(marks / nodes)) * (1 - links / chars) * factor
         h = held.setdefault(container, [0.0, 0])
         h[0] += fused * chars
         h[1] += chars
@@ -211,7 +256,7 @@ def main_text(page: str | None) -> str:
     best = max(weight.values())
     marked = any(run.main for run, _ in merged)
     keep = {c for c in weight if marked or weight[c] >= THRESHOLD * best}
-    links_only = {path for path, (chars, _, nodes, links, _) in paths.items() if links > LINK_SHARE * chars and not (marked and nodes < 3)}
+    links_only = {path for path, (chars, _, nodes, links, _, _) in paths.items() if links > LINK_SHARE * chars and not (marked and nodes < 3)}
     return "\n".join(value for run, value in merged if run.container in keep and run.path not in links_only)
 
 

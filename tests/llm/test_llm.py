@@ -362,3 +362,24 @@ def test_extract_frame(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         html_extract.extract(df.withColumn("text", F.lit("x")))
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "no-sidebar", "page-with-comments", "search-result-page", "content-side", "sidebar"])
+def test_html_wrappers_keep_their_article(wrapper):
+    page = f"<body><div class='{wrapper}'><article><p>The text, at length. And more.</p></article><div class=sidebar><article>A teaser.</article></div></div></body>"
+    assert html_extract.main_text(page) == "The text, at length. And more."
+
+
+@pytest.mark.parametrize("wrapper", ["has-sidebar", "page-with-comments", "search-result-page", "content-side"])
+def test_html_wrappers_keep_most_of_the_text(wrapper):
+    page = f"<body><div class='{wrapper}'><p>The text, at length. And more, and more.</p></div><div class='left-sidebar'>News.</div></body>"
+    assert html_extract.main_text(page) == "The text, at length. And more, and more."
+
+
+def test_html_roles_still_drop():
+    text = "The text, at length. And more, and more."
+    for named in ("comments", "left-sidebar", "cookie-notice"):
+        assert html_extract.main_text(f"<body><main><p>{text}</p></main><div class={named}><article>{'Me too, nice. ' * 20}</article></div></body>") == text
+    assert html_extract.main_text(f"<body><div><p>{text}</p></div><div class=comments><p>{'Me too, nice. ' * 20}</p></div></body>") == text
+    assert html_extract.main_text(f"<article><header class=page-nav>Menu.</header><header class=entry-header>Head.</header><p>{text} <span class=sr-only>skip</span></p></article>") == f"Head.\n{text}"
+    assert html_extract.main_text(f"<x-page class=has-sidebar><article><p>{text}</p></article></x-page>") == text
