@@ -285,12 +285,16 @@ a AS (SELECT qualname, max(kind = 'defect' AND state = 'active') AS act FROM s W
 t AS (SELECT e.*, CASE WHEN coalesce(act, false) THEN 'defect' WHEN m % 6 = 0 OR k9 % 8 IN (3, 4, 6) THEN 'unknown' ELSE 'clean' END AS verdict FROM e LEFT JOIN a USING (qualname))"""
 
 
-def _trust(spark, sf_dir):
+#: The same facts of all findings.
+TRUST_ALL_SQL = TRUST_SQL.replace("WHERE k % 40 = 0 ", "")
+
+
+def _trust(spark, sf_dir, whole=False):
     f = _suppressed(spark, sf_dir)
     o = _t(spark, sf_dir, "orders")
     m, c = F.col("o_custkey") % 50, F.col("o_orderkey") % 9
     entities = o.select(F.concat(F.lit("m"), m.cast("string"), F.lit(".C"), c.cast("string"), F.lit(".f")).alias("qualname"), (c % 8).cast("int").alias("declared_rank"), F.when(m % 6 != 0, F.lit(1)).alias("actual_rank")).distinct()
-    picked = f.filter("ordinal % 40 = 0")
+    picked = f if whole else f.filter("ordinal % 40 = 0")
     return fo.entity_trust(entities, picked), picked
 
 
@@ -311,6 +315,23 @@ def decorator_coverage(spark, sf_dir):
     return fo.decorator_coverage(*_trust(spark, sf_dir)).select("qualname", "finding_state", "active_findings", "suppressed_findings")
 
 
+@query(f"WITH {TRUST_ALL_SQL} SELECT qualname, verdict FROM t")
+def entity_trust_all(spark, sf_dir):
+    return _trust(spark, sf_dir, whole=True)[0].select("qualname", "verdict")
+
+
+@query(f"""WITH {TRUST_ALL_SQL} SELECT count(*) AS boundaries_total, count_if(verdict = 'clean') AS proven, count_if(verdict = 'defect') AS defect_total, count_if(verdict = 'unknown') AS unknown_total,
+round(100.0 * (count(*) - count_if(verdict = 'unknown')) / (count(*) + 7), 1)::DOUBLE AS coverage_pct FROM t""")
+def assurance_all(spark, sf_dir):
+    return fo.assurance(_trust(spark, sf_dir, whole=True)[0], 7)
+
+
+@query(f"""WITH {TRUST_ALL_SQL}, d AS (SELECT qualname, count_if(state = 'active') AS na, count_if(state <> 'active') AS ns FROM s WHERE kind = 'defect' GROUP BY 1)
+SELECT qualname, CASE WHEN coalesce(na, 0) > 0 THEN 'defect' WHEN coalesce(ns, 0) > 0 THEN 'suppressed' WHEN verdict = 'unknown' THEN 'unknown' ELSE 'clean' END AS finding_state, coalesce(na, 0) AS active_findings, coalesce(ns, 0) AS suppressed_findings FROM t LEFT JOIN d USING (qualname)""")
+def decorator_coverage_all(spark, sf_dir):
+    return fo.decorator_coverage(*_trust(spark, sf_dir, whole=True)).select("qualname", "finding_state", "active_findings", "suppressed_findings")
+
+
 @query(f"""SELECT cast(o_orderkey AS VARCHAR) AS fingerprint, date_diff('day', DATE '{TODAY}', o_orderdate::DATE)::INT AS days_left FROM orders WHERE o_orderkey % 6 = 0""")
 def waiver_debt(spark, sf_dir):
     return fo.waiver_debt(_stores(spark, sf_dir)[1], F.lit(TODAY).cast("date")).select("fingerprint", "days_left")

@@ -64,3 +64,25 @@ def test_graphs(spark):
     assert graphs.strongly_connected(edges) == [["d"], ["c"], ["a", "b"]]
     nexts = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "node string, next string")
     assert {(r.depth, r.node) for r in graphs.chain(spark.createDataFrame([("a",)], "node string"), nexts).collect()} == {(0, "a"), (1, "b"), (2, "c")}
+
+
+def test_rollups_of_all_findings(spark, tmp_path):
+    from datetime import datetime
+
+    from credence.plans import relational
+
+    rows = [(k, k * 7 % 60, datetime(1995 + k % 3, 1, 1)) for k in range(1, 400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    active, held, names = {}, {}, set()
+    for k, c, date in rows:
+        q = f"m{c % 50}.C{k % 9}.f"
+        names.add(q)
+        if k % 11 and k % 7:
+            into = held if k % 10 == 0 or k % 4 == 0 or (k % 6 == 0 and date >= datetime(1996, 1, 1)) else active
+            into[q] = into.get(q, 0) + 1
+    got = {r.qualname: (r.active_findings, r.suppressed_findings) for r in relational.decorator_coverage_all(spark, str(tmp_path)).collect()}
+    assert got == {q: (active.get(q, 0), held.get(q, 0)) for q in names}
+    verdicts = {r.qualname: r.verdict for r in relational.entity_trust_all(spark, str(tmp_path)).collect()}
+    assert {q for q, v in verdicts.items() if v == "defect"} == set(active) and set(verdicts) == names
+    total = relational.assurance_all(spark, str(tmp_path)).first()
+    assert (total.boundaries_total, total.defect_total) == (len(names), len(active))
