@@ -180,6 +180,17 @@ def explain_chain(spark, sf_dir):
     return graphs.chain(p.filter("p_partkey % 50 = 3").select(F.col("p_partkey").alias("node")), nexts, 6).drop("truncated")
 
 
+def explain_chain_all(spark, sf_dir):
+    """From every part, with the operator's own bound of hops; no SQL, a test walks by brute force."""
+    p = _t(spark, sf_dir, "part")
+    n = p.agg(F.count(F.lit(1)).alias("m"))
+    nexts = p.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("node"), ((F.col("p_partkey") * 7) % F.col("m")).alias("next"))
+    return graphs.chain(p.select(F.col("p_partkey").alias("node")), nexts)
+
+
+QUERIES["explain_chain_all"] = explain_chain_all
+
+
 @query(f"""WITH {FINDINGS_SQL}, {STATE_SQL} SELECT fingerprint, state AS suppression_state, CASE state WHEN 'waived' THEN 'w' || k WHEN 'judged' THEN 'j' || k END AS suppression_reason FROM s""")
 def suppression_resolve(spark, sf_dir):
     return _suppressed(spark, sf_dir).select("fingerprint", "suppression_state", "suppression_reason")

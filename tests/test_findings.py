@@ -86,3 +86,21 @@ def test_rollups_of_all_findings(spark, tmp_path):
     assert {q for q, v in verdicts.items() if v == "defect"} == set(active) and set(verdicts) == names
     total = relational.assurance_all(spark, str(tmp_path)).first()
     assert (total.boundaries_total, total.defect_total) == (len(names), len(active))
+
+
+def test_walks_from_every_part(spark, tmp_path):
+    from credence.plans import relational
+
+    n = 83
+    spark.createDataFrame([(k,) for k in range(1, n + 1)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    want = set()
+    for start in range(1, n + 1):
+        walk, more = [start], True
+        while more and len(walk) <= 20:
+            after = walk[-1] * 7 % n
+            more = 1 <= walk[-1] <= n and after not in walk
+            walk += [after] if more else []
+        cut = more and 1 <= walk[-1] <= n and walk[-1] * 7 % n not in walk
+        want |= {(start, depth, node, cut) for depth, node in enumerate(walk)}
+    got = [tuple(r) for r in relational.explain_chain_all(spark, str(tmp_path)).select("start", "depth", "node", "truncated").collect()]
+    assert set(got) == want and len(got) == len(want) and {c for *_, c in want} == {True, False} and max(d for _, d, *_ in want) == 20
