@@ -1,20 +1,29 @@
 """Operator 8: exact top-k inner-product search by pivot-table elimination.
 
-Vectors are scaled to integers and cut into blocks of similar rows.  For each block a table of distances
-to PIVOTS pivots is computed once.  By the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) for every
-pivot p; the largest of these lower bounds gives an upper bound on the inner product,
-q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2.  A task takes one block of queries and one group of candidate blocks,
-visits the blocks in the order of their bounds, drops the rows whose own bounds cannot reach a query's
-k-th score so far, and leaves a query out once no later block can reach it.  What is skipped is provably
-below the k-th score, so the result is exact; scores come from exact integer arithmetic.
+Vectors are scaled to integers and cut into blocks of rows with the same nearest pivot.  A table of
+distances to PIVOTS pivots is computed once.  By the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) for
+every pivot p; the largest of these lower bounds gives an upper bound on the inner product,
+q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2.
 
-Queries are a stated set (ids divisible by a number) against all rows: it is cut into blocks, and no task
-holds more than one block of queries and one group of candidates.
+1. Queries, in packs, meet the blocks' summaries (least and greatest distance to each pivot), not their
+   vectors.  The blocks with the best bounds are scored first, which gives each query a k-th score.
+2. The summaries are read again: only pairs of a pack and a block whose bound reaches the k-th score of
+   some query of the pack are left.
+3. Those blocks meet the packs.  Each query visits its blocks in the order of its own bounds, skips the rows
+   whose bounds cannot reach its k-th score so far, and stops at the first block that cannot.
+
+What is skipped is provably below the k-th score, so the result is exact.  Scores are integers: sums that
+fit a double's 53 bits are computed in doubles, larger ones in 64-bit integers, still larger ones in
+integers of any size; a score that no long can hold is an error.
+
+Queries are a stated set (ids divisible by a number) against all rows: it is cut into packs, and no task
+holds more than GROUP_BLOCKS blocks and one pack, or a chunk of summaries and a few packs.
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component takes no part; vectors
 are compared with those of the same length only; rows with equal ids are different candidates, and only
-the query's own row is left out; ties go to the smaller id; fewer than k candidates give all of them;
-an id that is null is a candidate but no query.
+the query's own row is left out; ties go to the smaller id, and a null id comes after the others; a null id
+is a candidate but no query; fewer than k candidates give all of them; an empty table gives none; ids that
+are no whole numbers are an error.
 """
 
 from __future__ import annotations
@@ -24,16 +33,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import materialize, table
+from credence.llm.common import materialize, table, worker_state
 
 SCALE = 64
-PIVOTS = 16
-#: Rows in a block, blocks in a group, rows in a block of queries.
-BLOCK, GROUP_BLOCKS, QUERY_BLOCK = 512, 64, 1024
+PIVOTS = 48
+#: Rows in a block, blocks that a task meets at once, bytes of rows that a task sorts into blocks at once.
+BLOCK, GROUP_BLOCKS, BUFFER_BYTES = 512, 64, 1 << 22
+#: Summaries in a chunk, packs that meet a chunk at once.
+CHUNK, PACKS = 1024, 8
+#: Blocks that are scored first, for each pack.
+FIRST = 8
 #: Rows from which the pivots are chosen: pivots only steer the elimination, any will do.
 PIVOT_SAMPLE = 2000
-#: Up to this magnitude, sums of products of integers are exact in doubles (for up to 2**12 components).
-EXACT = 1 << 20
 
 
 def _pivots(sample: list[list[float]], n: int):
@@ -56,16 +67,70 @@ def _pivots(sample: list[list[float]], n: int):
 
 
 def _distances(x, pivots):
+    """Distances to each pivot, from differences: no digits are lost between near vectors."""
     import numpy as np
 
     if pivots is None:
         return np.zeros((len(x), 1))
-    square = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * (x @ pivots.T)
-    return np.sqrt(np.maximum(square, 0))
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
+
+
+def exact_scores(q, x):
+    """Inner products of integer rows as int64."""
+    import numpy as np
+
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most < 2.0**53:
+        return (q @ x.T).astype("i8")
+    if most < 2.0**62 and max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) < 2.0**62:
+        return q.astype("i8") @ x.T.astype("i8")
+    a, b = ([[int(v) for v in row] for row in m.tolist()] for m in (q, x))
+    out = [[sum(map(int.__mul__, r, s)) for s in b] for r in a]
+    if any(not -(1 << 63) <= v < 1 << 63 for row in out for v in row):
+        raise OverflowError("a score is larger than a long")
+    return np.array(out, "i8").reshape(len(a), len(b))
+
+
+def _reach(norm, size, gap):
+    """Upper bounds on scores, with slack for rounding; what overflows bounds nothing."""
+    import numpy as np
+
+    bound = (norm + size - gap**2) / 2 + 1e-9 * (norm + size) + 1
+    return np.where(np.isnan(bound), np.inf, bound)
+
+
+def _gaps(dist, low, high):
+    """Least possible distances between rows with ``dist`` and rows with distances in [low, high]."""
+    import numpy as np
 
+    gap = np.zeros((len(dist), len(low)))
+    for p in range(dist.shape[1]):
+        d = dist[:, p][:, None]
+        np.maximum(gap, np.maximum(low[None, :, p] - d, d - high[None, :, p]), out=gap)
+    return np.nan_to_num(gap, nan=0.0)
 
-def _blocks(pivots, every: int):
-    """Arrow batches of (id, row, vector) -> packed blocks, each sorted by nearest pivot."""
+
+def _pack(x) -> bytes:
+    """Integers in the smallest type that holds them all, named by the first byte."""
+    import numpy as np
+
+    most = np.abs(x).max(initial=0)
+    kind = next((t for t, limit in (("1", 2**7), ("2", 2**15), ("4", 2**31)) if most < limit), "8")
+    return kind.encode() + x.astype("f8" if kind == "8" else f"i{kind}").tobytes()
+
+
+def _unpack(data: bytes, n: int):
+    import numpy as np
+
+    kind = chr(data[0])
+    return np.frombuffer(data, "f8" if kind == "8" else f"i{kind}", offset=1).astype("f8").reshape(n, -1)
+
+
+PARTS = "kind string, part long, length int, n int, ids binary, known binary, rows binary, vectors binary, dist binary, low binary, high binary, top double"
+
+
+def _parts(pivots, every: int):
+    """Arrow batches of (id, row, vector) -> blocks of rows and packs of queries."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -73,140 +138,207 @@ def _blocks(pivots, every: int):
 
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        worker_state("topk_search")
+        binary = ("ids", "known", "rows", "vectors", "dist", "low", "high")
+        schema = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("length", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in binary], ("top", pa.float64())])
+        made = TaskContext.get().partitionId() << 32
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+
+        def cut(length: int) -> Iterator:
+            nonlocal made
+            x, ids, known, rows = (np.concatenate(c) for c in zip(*held.pop(length)))
+            size.pop(length)
+            table_ = _distances(x, pivots.get(length))
+            order = np.lexsort([table_.min(1), table_.argmin(1)])
+            picks = [("block", order[a : a + BLOCK]) for a in range(0, len(order), BLOCK)]
+            asked = order[known[order] & (ids[order] % every == 0)]
+            picks += [("pack", asked)] if len(asked) else []
+            for kind, at in picks:
+                d = table_[at]
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {
+                            "kind": kind, "part": made, "length": length, "n": len(at), "ids": ids[at].tobytes(), "known": known[at].tobytes(), "rows": rows[at].tobytes(), "vectors": _pack(x[at]),
+                            "dist": d.tobytes(), "low": d.min(0).tobytes(), "high": d.max(0).tobytes(), "top": float((x[at] ** 2).sum(1).max()),
+                        }
+                    ],
+                    schema=schema,
+                )
+                made += 1
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows = batch.column(1).to_numpy(zero_copy_only=False)
+            known = np.asarray(batch.column(0).is_valid())
+            ids = np.where(known, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), 0).astype("i8")
+            rows = batch.column(1).to_numpy(zero_copy_only=False).astype("i8")
             lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype("f8")
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            lengths = np.diff(np.concatenate([[0], ends]))
-            for length in np.unique(lengths):
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            for length in map(int, np.unique(lengths)):
                 at = np.flatnonzero(lengths == length)
                 x = np.floor(SCALE * flat[(ends[at] - length)[:, None] + np.arange(length)[None, :]])
-                table_ = _distances(x, pivots.get(int(length)))
-                order = np.lexsort([table_.min(1), table_.argmin(1)])
-                for a in range(0, len(at), BLOCK):
-                    pick = order[a : a + BLOCK]
-                    own = [ids[i] for i in at[pick]]
-                    known = np.array([i is not None for i in own])
-                    values = np.array([0 if i is None else i for i in own], "i8")
-                    query = known & (values % every == 0)
-                    out = {
-                        "grp": part * (1 << 32) + made // GROUP_BLOCKS, "length": int(length), "n": len(pick),
-                        "ids": values.tobytes(), "known": known.tobytes(), "rows": rows[at[pick]].astype("i8").tobytes(), "query": query.tobytes(),
-                        "vectors": x[pick].tobytes(), "dist": table_[pick].tobytes(),
-                    }
-                    made += 1
-                    yield pa.RecordBatch.from_pylist([out], schema=_schema(pa))
-
-    def _schema(pa):
-        return pa.schema([("grp", pa.int64()), ("length", pa.int32()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("ids", "known", "rows", "query", "vectors", "dist")]])
+                held.setdefault(length, []).append((x, ids[at], known[at], rows[at]))
+                size[length] = size.get(length, 0) + x.nbytes
+            while sum(size.values()) > BUFFER_BYTES:  # the fullest first
+                yield from cut(max(size, key=size.get))
+        for length in list(held):
+            yield from cut(length)
 
     return run
 
 
-BLOCKS = "grp long, length int, n int, ids binary, known binary, rows binary, query binary, vectors binary, dist binary"
+def _bounds(keep):
+    """Packs of queries (right) against a chunk of summaries (left): rows (pack, block, value) by ``keep``."""
 
+    def run(key, left, right):
+        import numpy as np
+        import pyarrow as pa
 
-def _unpack(row: dict):
+        schema = pa.schema([("length", pa.int32()), ("pack", pa.int64()), ("block", pa.int64()), ("value", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        low, high = (np.stack([np.frombuffer(v, "f8") for v in left.column(c).to_pylist()]) for c in ("low", "high"))
+        top, parts, out = left.column("top").to_numpy(), left.column("part").to_numpy(), []
+        for row in right.to_pylist():
+            dist = np.frombuffer(row["dist"], "f8").reshape(row["n"], -1)
+            norm = (_unpack(row["vectors"], row["n"]) ** 2).sum(1)
+            bound = _reach(norm[:, None], top[None, :], _gaps(dist, low, high))
+            tau = np.full(row["n"], -np.inf) if row["tau"] is None else np.frombuffer(row["tau"], "f8")
+            at, value = keep(bound, tau)
+            out.append(pa.table([pa.array(np.full(len(at), v), t) for v, t in ((row["length"], pa.int32()), (row["part"], pa.int64()))] + [pa.array(parts[at]), pa.array(value.astype("f8"))], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _best_blocks(bound, tau):
+    """The FIRST blocks by their mean bound over the queries of the pack."""
     import numpy as np
 
-    n, length = row["n"], row["length"]
-    return {
-        "ids": np.frombuffer(row["ids"], "i8"), "known": np.frombuffer(row["known"], "?"), "rows": np.frombuffer(row["rows"], "i8"), "query": np.frombuffer(row["query"], "?"),
-        "x": np.frombuffer(row["vectors"], "f8").reshape(n, length), "dist": np.frombuffer(row["dist"], "f8").reshape(n, -1),
-    }
-
-
-def _queries_of(batches: Iterator) -> Iterator:
-    """The queries in each block, one row per query."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            b = _unpack(row)
-            pick = b["query"].nonzero()[0]
-            if len(pick):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["length"]] * len(pick), pa.int32()), pa.array(b["ids"][pick]), pa.array(b["rows"][pick]), pa.array([b["x"][i].tobytes() for i in pick], pa.binary()), pa.array([b["dist"][i].tobytes() for i in pick], pa.binary())],
-                    names=["length", "id", "row", "x", "dist"],
-                )
+    total = np.nan_to_num(bound, posinf=1e300).mean(0)
+    at = np.argsort(-total, kind="stable")[:FIRST]
+    return at, total[at]
+
+
+def _reaching_blocks(bound, tau):
+    import numpy as np
+
+    slack = (bound - tau[:, None]).max(0)
+    at = np.flatnonzero(~(slack < 0))
+    return at, np.nan_to_num(slack[at], posinf=1e300)
+
+
+class _Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, n: int, k: int):
+        import numpy as np
+
+        self.k = k
+        self.score, self.ids = np.zeros((n, k), "i8"), np.zeros((n, k), "i8")
+        self.known, self.valid = np.zeros((n, k), bool), np.zeros((n, k), bool)
+
+    def kth(self):
+        import numpy as np
+
+        return np.where(self.valid[:, -1], self.score[:, -1].astype("f8"), -np.inf)
+
+    def add(self, at, score, ids, known, valid):
+        """Scores (rows ``at`` times candidates) of candidates with ``ids``."""
+        import numpy as np
+
+        wide = lambda own, new: np.concatenate([own[at], np.broadcast_to(new, score.shape)], 1)
+        s, i, n, v = wide(self.score, score), wide(self.ids, ids), wide(self.known, known), wide(self.valid, valid)
+        order = np.lexsort([i, ~n, ~s, ~v], axis=1)[:, : self.k]
+        row = np.arange(len(at))[:, None]
+        self.score[at], self.ids[at], self.known[at], self.valid[at] = s[row, order], i[row, order], n[row, order], v[row, order]
+
 
+def _search(k: int, only_tau: bool):
+    """One pack of queries (right, one row) against a group of blocks (left)."""
 
-def _search(k: int):
     def run(key, left, right):
-        """One block of queries (right) against one group of candidate blocks (left)."""
         import numpy as np
         import pyarrow as pa
 
-        schema = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        worker_state("topk_search")
+        fields = [("pack", pa.int64()), ("tau", pa.binary())] if only_tau else [("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
+        schema = pa.schema(fields)
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        q = right.to_pydict()
-        nq = len(q["id"])
-        x = np.frombuffer(b"".join(q["x"]), "f8").reshape(nq, -1)
-        dist = np.frombuffer(b"".join(q["dist"]), "f8").reshape(nq, -1)
-        own, norm = np.array(q["row"], "i8"), (x**2).sum(1)
-        blocks = [_unpack(r) for r in left.to_pylist()]
-        limit = np.empty((nq, len(blocks)))
-        for j, b in enumerate(blocks):
-            low, high = b["dist"].min(0), b["dist"].max(0)
-            gap = np.maximum(np.maximum(low[None] - dist, dist - high[None]), 0).max(1)
-            # Slack for rounding: bounds are doubles, scores are integers.
-            limit[:, j] = (norm + (b["x"] ** 2).sum(1).max() - gap**2) / 2 * (1 + 1e-9) + 1
-        best = np.full((nq, k), -np.inf)  # scores so far, best first
-        best_id = np.zeros((nq, k), "i8")
-        valid = np.zeros((nq, k), bool)
-        for j in np.argsort(-limit.max(0), kind="stable"):
-            b = blocks[j]
-            live = np.flatnonzero(limit[:, j] >= best[:, -1])
-            if not len(live):
-                continue
-            size = (b["x"] ** 2).sum(1)
-            gap = np.zeros((len(live), len(size)))
-            for p in range(dist.shape[1]):
-                np.maximum(gap, np.abs(dist[live, p][:, None] - b["dist"][None, :, p]), out=gap)
-            bound = (norm[live][:, None] + size[None, :] - gap**2) / 2 * (1 + 1e-9) + 1
-            reach = bound >= best[live, -1][:, None]
-            columns = np.flatnonzero(reach.any(0) & b["known"])
-            if not len(columns):
-                continue
-            exact = max(np.abs(x).max(initial=0), np.abs(b["x"]).max(initial=0)) <= EXACT
-            score = x[live] @ b["x"][columns].T if exact else (x[live].astype("i8") @ b["x"][columns].astype("i8").T).astype("f8")
-            mine = own[live][:, None] == b["rows"][columns][None, :]
-            score = np.where(mine, -np.inf, score)
-            all_score = np.concatenate([best[live], score], 1)
-            all_id = np.concatenate([best_id[live], np.broadcast_to(b["ids"][columns], score.shape)], 1)
-            all_valid = np.concatenate([valid[live], ~mine], 1)
-            order = np.lexsort([all_id, -all_score], axis=1)[:, :k]
-            take = np.arange(len(live))[:, None]
-            best[live], best_id[live], valid[live] = all_score[take, order], all_id[take, order], all_valid[take, order]
-        r, c = np.nonzero(valid)
-        return pa.Table.from_arrays([pa.array(np.array(q["id"], "i8")[r]), pa.array(own[r]), pa.array(best_id[r, c]), pa.array(best[r, c].astype("i8"))], schema=schema)
+        q = right.slice(0, 1).to_pylist()[0]
+        nq = q["n"]
+        x, dist = _unpack(q["vectors"], nq), np.frombuffer(q["dist"], "f8").reshape(nq, -1)
+        own, norm = np.frombuffer(q["rows"], "i8"), (x**2).sum(1)
+        tau = np.full(nq, -np.inf) if q["tau"] is None else np.frombuffer(q["tau"], "f8")
+        blocks = left.to_pylist()
+        low, high = (np.stack([np.frombuffer(b[c], "f8") for b in blocks]) for c in ("low", "high"))
+        limit = _reach(norm[:, None], np.array([b["top"] for b in blocks])[None, :], _gaps(dist, low, high))
+        order = np.argsort(-limit, axis=1, kind="stable")
+        best = _Best(nq, k)
+        going = np.ones(nq, bool)
+        for step in range(len(blocks)):
+            here = order[:, step]
+            going &= limit[np.arange(nq), here] >= np.maximum(best.kth(), tau)
+            for j in np.unique(here[going]):
+                at = np.flatnonzero(going & (here == j))
+                b = blocks[j]
+                if "x" not in b:
+                    b["x"] = _unpack(b["vectors"], b["n"])
+                    b["size"] = (b["x"] ** 2).sum(1)
+                    b["d"] = np.frombuffer(b["dist"], "f8").reshape(b["n"], -1)
+                bound = _reach(norm[at][:, None], b["size"][None, :], _gaps(dist[at], b["d"], b["d"]))
+                columns = np.flatnonzero((bound >= np.maximum(best.kth(), tau)[at][:, None]).any(0))
+                if len(columns):
+                    rows = np.frombuffer(b["rows"], "i8")[columns]
+                    best.add(at, exact_scores(x[at], b["x"][columns]), np.frombuffer(b["ids"], "i8")[columns], np.frombuffer(b["known"], "?")[columns], own[at][:, None] != rows[None, :])
+        if only_tau:
+            return pa.table([pa.array([q["part"]], pa.int64()), pa.array([best.kth().tobytes()], pa.binary())], schema=schema)
+        r, c = np.nonzero(best.valid)
+        ids = np.frombuffer(q["ids"], "i8")
+        return pa.table([pa.array(ids[r]), pa.array(own[r]), pa.array(best.ids[r, c], mask=~best.known[r, c]), pa.array(best.score[r, c])], schema=schema)
 
     return run
 
 
 def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query."""
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} is no whole number")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()]
-    pivots = _pivots(sample, PIVOTS)
     numbered = rows.select("id", F.monotonically_increasing_id().alias("row"), "v")
-    blocks = materialize(numbered.mapInArrow(_blocks(pivots, every), BLOCKS), "topk-blocks")
-    queries = blocks.filter("length > 0").mapInArrow(_queries_of, "length int, id long, row long, x binary, dist binary")
-    # Queries are about 1 in `every`: enough blocks of them that each has about QUERY_BLOCK.
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // (every * QUERY_BLOCK)))
-    groups = blocks.select("length", "grp").distinct()
-    q = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = blocks.withColumn("part", spread)
-    right = q.join(groups, "length")
-    found = left.groupBy("length", "grp", "part").cogroup(right.groupBy("length", "grp", "part")).applyInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    parts = materialize(numbered.mapInArrow(_parts(_pivots(sample, PIVOTS), every), PARTS), "topk-parts")
+    blocks, packs = parts.filter("kind = 'block'"), parts.filter("kind = 'pack'")
+    n = {r["kind"]: r["count"] for r in parts.groupBy("kind").count().collect()}
+    chunks, crowds = (max(1, -(-n.get(c, 0) // size)) for c, size in (("block", CHUNK), ("pack", PACKS)))
+    every_one = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    deal = lambda m: F.pmod(F.xxhash64("part"), F.lit(m)).cast("int")
+
+    def bounded(asked: DataFrame, keep) -> DataFrame:
+        left = blocks.select("length", "part", "low", "high", "top", deal(chunks).alias("chunk")).withColumn("crowd", every_one(crowds))
+        right = asked.select("length", "part", "n", "vectors", "dist", "tau", deal(crowds).alias("crowd")).withColumn("chunk", every_one(chunks))
+        keys = ("length", "chunk", "crowd")
+        right = right.toDF(*right.columns)  # both sides come from one table
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_bounds(keep), "length int, pack long, block long, value double")
+
+    def searched(asked: DataFrame, pairs: DataFrame, groups: int, only_tau: bool, schema: str) -> DataFrame:
+        pairs = pairs.select(F.col("pack").alias("p"), F.col("block").alias("b"), F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("grp"))
+        left = blocks.select("part", "n", "ids", "known", "rows", "vectors", "dist", "low", "high", "top").join(pairs, F.col("part") == F.col("b")).drop("part", "b")
+        right = asked.select("part", "n", "ids", "rows", "vectors", "dist", "tau").join(pairs.select(F.col("p").alias("p_"), "grp").distinct(), F.col("part") == F.col("p_")).withColumn("p", F.col("p_"))
+        right = right.toDF(*right.columns)
+        return left.groupBy("p", "grp").cogroup(right.groupBy("p", "grp")).applyInArrow(_search(k, only_tau), schema)
+
+    order = Window.partitionBy("pack").orderBy(F.desc("value"), "block")
+    asked = packs.withColumn("tau", F.lit(None).cast("binary"))
+    first = bounded(asked, _best_blocks).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= FIRST)
+    tau = materialize(searched(asked, first, 1, True, "pack long, tau binary"), "topk-thresholds")
+    asked = packs.join(tau, F.col("part") == F.col("pack"), "left").drop("pack")
+    reached = materialize(bounded(asked, _reaching_blocks), "topk-pairs")
+    found = searched(asked, reached, max(1, -(-n.get("block", 0) // GROUP_BLOCKS)), False, "query_id long, query_row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
