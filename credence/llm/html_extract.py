@@ -1,19 +1,23 @@
 """Operator 10: main text of web pages by tag-path ratios.
 
-A tolerant scanner turns a page into text runs, each with its root-to-leaf tag path (tags, with the class
-or id words that name a role).  Text length, punctuation and link text are added up per path; a path's
-ratio is its text per node, fused with its punctuation per node and damped by its share of link text.
-Ratios are smoothed over the paths below the same container, weighted by their text; a container is
-content if its smoothed ratio reaches a share of the page's best.  Paths that pass through a menu,
-header, footer, sidebar, notice, advert, form, comment list or hidden element never count, and an
-``article`` or ``main`` element, where there is one, bounds the search.  A class or id names a role by a
-whole word or by the last part of a hyphenated one ("left-sidebar"); another part ("search-page") only
-lowers the ratio of the path.  An element that is so named is kept if it holds the page's only ``article``
-or ``main`` element, or, where the role is but a word's last part ("has-sidebar"), most of the text.
+A tolerant scanner turns a page into text runs, each with its root-to-leaf tag path (tags, with the words
+of class, id and role).  Text length, punctuation and link text are added up per path; a path's ratio is
+its text per node, fused with its punctuation per node and damped by its share of link text.  Ratios are
+smoothed over the containers of the page: the paths of a container share their mean, weighted by text and
+mass; a container that holds most of the page's mass below it counts as a whole; and what lies in a
+container inherits most of its ratio.  A path is content if its smoothed ratio reaches THRESHOLD of the best.
+
+What elements say about themselves are factors of the ratio: ``article`` and ``main`` raise it (MAIN), a
+class, id or role that names a menu, sidebar, notice, advert, comment list and the like lowers it (ROLE), a
+word that only has such a part ("long-form") a little (PART).  A word names a role if it is one, or is put
+together of a role and words that only say where or which ("left-sidebar", "ad-slot").  Menus, footers,
+asides, forms, page headers, scripts, styles and hidden elements, by tag or attribute, have no ratio at all.
 
 Defined cases: null and empty pages, and pages without text, give an empty text; unclosed and stray tags
-are repaired as browsers commonly do; character references are decoded, unknown ones stay as they are;
-markup that never ends is text up to its end; nothing is cut from long pages; other columns pass.
+are repaired as browsers commonly do, in time linear in the page; a quote that never ends does not hide the
+end of its tag; character references are decoded, unknown ones stay as they are; markup that never ends is
+dropped with its text; nothing is cut from long pages; rows repeat as they are; an empty table gives an
+empty table; other columns pass, and one named like a column that is added is an error.
 """
 
 from __future__ import annotations
@@ -27,17 +31,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import table
+from credence.llm.common import refuse_clash, small_batches, table, worker_state
 
 BATCH_ROWS = 64
-#: A container is content if its smoothed ratio is at least this share of the best.
+#: A path is content if its smoothed ratio is at least this share of the best.
 THRESHOLD = 0.35
+#: Factors of the ratio: in article or main; named a role; named by a part; a list of links outside of those.
+MAIN, ROLE, PART, LINKS = 40.0, 0.02, 0.75, 0.1
 #: A path whose text is links to more than this share is a list of links.
 LINK_SHARE = 0.5
+#: What a container passes on of its ratio, and the share of the page's mass from which it counts as a whole.
+INHERITED, MOST = 0.8, 0.6
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object select button".split())
-_DROP_TAGS = frozenset("nav footer aside form head script style noscript template iframe select button option dialog menu svg math object audio video canvas textarea title label fieldset input".split())
+_RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg object select button".split())
+_DROP_TAGS = frozenset("nav footer aside form head script style noscript template iframe select button option dialog menu svg object audio video canvas textarea title label fieldset input".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table caption tbody td tfoot th thead tr ul".split()
 )
@@ -49,227 +57,266 @@ _CLOSES = {
 }
 _BARRIER = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",), "option": ("select",), "body": ()}
 _CLOSES_P = _BLOCK - {"li", "dd", "dt", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "option", "legend", "summary", "html", "body"}
-
-#: What a path's ratio is multiplied by if a part of some word names a role.
-PART = 0.5
-#: How an element names a role: not at all, by a part, by the last part of a word, by a whole word.
-NO_ROLE, SOME_PART, LAST_PART, WHOLE_WORD = range(4)
-
-#: Words of class, id or role that name something other than content.
-_ROLE = re.compile(
-    r"^(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|sponsor|sponsored|promo|promotion|promoted|banner|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|pagination|pager|toc|sidebar|side|aside|complementary|rail|widget|widgets|"
-    r"header|masthead|topbar|footer|foot|bottombar|contentinfo|copyright|"
-    r"cookie|cookies|consent|gdpr|notice|notices|alert|alertdialog|warning|popup|modal|overlay|dialog|toast|paywall|"
-    r"comment|comments|commentlist|respond|replies|reply|disqus|discussion|reviews|"
-    r"share|sharing|social|follow|subscribe|subscription|newsletter|signup|login|search|searchbox|form|"
-    r"related|recommended|recommendations|trending|popular|more-links|tags|taglist|hidden|sr-only|visually-hidden|screen-reader-text|skip|skip-link|outbrain|taboola)$"
+_P_BARRIER = ("table", "td", "th", "article", "section", "div", "li", "blockquote")
+#: Inline elements that end where they are closed, whatever blocks were opened in them.
+_LOOSE = frozenset("b i a em strong span u font".split())
+
+#: Words that name something other than content, and words that say where or which.
+_ROLES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion promoted banner "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc sidebar side aside complementary rail widget widgets "
+    "header masthead topbar footer foot bottombar contentinfo copyright cookie cookies consent gdpr notice notices alert alertdialog warning popup modal overlay dialog toast paywall "
+    "comment comments commentlist respond replies reply disqus discussion reviews share sharing social follow subscribe subscription newsletter signup login search searchbox form "
+    "related recommended recommendations trending popular tags taglist hidden skip outbrain taboola sr-only visually-hidden screen-reader-text more-links".split()
+)
+_WHERE = frozenset(
+    "left right top bottom upper lower site page main global primary secondary post posts entry article articles blog news stories links user reader mobile desktop sticky fixed inner outer "
+    "wrapper wrap container box block area section list bar panel item items slot unit group link button buttons icons 1 2 3".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*/?>|</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 _WORDS = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _named(word: str) -> int:
-    if _ROLE.match(word):
-        return WHOLE_WORD
+def _factor(word: str, in_main: bool) -> float:
+    """What a word of class, id or role says about an element's text."""
+    if word in _ROLES:
+        return 1.0 if in_main and word == "header" else ROLE  # an article's header is its title
     parts = word.split("-")
-    if _ROLE.match(parts[-1]):
-        return LAST_PART
-    return SOME_PART if any(_ROLE.match(p) for p in parts) else NO_ROLE
-
-
-def _role(tag: str, attrs: str) -> tuple[str, bool, bool, int]:
-    """(step of the path, is it dropped with all below, is it marked as the main content, how it names a role)."""
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return tag, tag in _DROP_TAGS, tag in ("article", "main"), NO_ROLE
-    found = {k.lower(): html_lib.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    words = [w.lower() for w in _WORDS.split(names) if w]
-    style = found.get("style", "").replace(" ", "").lower()
-    drop = tag in _DROP_TAGS or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-    named = max((_named(w) for w in words), default=NO_ROLE)
-    if tag in ("html", "body", "article", "main"):
-        drop, named = False, NO_ROLE  # layout classes of the whole page say nothing about its text
-    main = tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody"
-    return f"{tag}.{'.'.join(words)}" if words else tag, drop, main, named
+    if len(parts) == 1:
+        return 1.0
+    roles = _ROLES.intersection(parts)
+    if in_main:
+        roles -= {"header"}
+    if not roles:
+        return 1.0
+    return ROLE if all(p in _ROLES or p in _WHERE for p in parts) else PART
 
 
-class _Run:
-    """Text of one block with one path."""
+class _Element:
+    """An open element, with what it has from those around it."""
 
-    __slots__ = ("path", "container", "parts", "links", "drop", "main", "nodes", "roles", "part")
+    __slots__ = ("tag", "path", "block", "container", "weight", "main", "link")
 
-    def __init__(self, path, container, drop, main, roles, part):
-        self.path, self.container, self.drop, self.main, self.roles, self.part = path, container, drop, main, roles, part
-        self.parts, self.links, self.nodes = [], 0, 0
+    def __init__(self, tag, path, block, container, weight, main, link):
+        self.tag, self.path, self.block, self.container, self.weight, self.main, self.link = tag, path, block, container, weight, main, link
 
 
-def _scan(page: str) -> list[_Run]:
-    stack: list[tuple[str, str, bool, bool, tuple[int, int] | None, bool]] = []  # tag, step, dropped, inside main content, (number, how) if it names a role, by a part
-    blocks = 0
-    runs: list[_Run] = []
-    fresh, at, size = True, 0, len(page)
+class _Run:
+    """Text of one block with one path."""
 
-    def text(raw: str) -> None:
-        nonlocal fresh
-        if not raw:
-            return
-        if not stack and not raw.strip():
-            return
+    __slots__ = ("path", "container", "parts", "links", "weight", "main")
+
+    def __init__(self, path, container, weight, main):
+        self.path, self.container, self.weight, self.main = path, container, weight, main
+        self.parts, self.links = [], 0
+
+
+def _describe(tag: str, attrs: str, above: _Element | None) -> tuple[str, float, bool]:
+    """(step of the path, weight, whether it is in the main content)."""
+    weight, main = (above.weight, above.main) if above else (1.0, False)
+    words: list[str] = []
+    is_main = tag in ("article", "main")
+    gone = tag in _DROP_TAGS or (tag == "header" and not main)
+    if attrs and ("=" in attrs or "hidden" in attrs):
+        found = {k.lower(): html_lib.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
+        words = [w.lower() for w in _WORDS.split(" ".join(found.get(k, "") for k in ("class", "id", "role"))) if w]
+        style = found.get("style", "").replace(" ", "").lower()
+        gone = gone or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+        is_main = is_main or found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody"
+    if gone:
+        weight = 0.0
+    elif words and tag not in ("html", "body", "article", "main"):  # classes of the whole page say nothing about its text
+        weight *= min(_factor(w, main) for w in words)
+    if is_main and not main:
+        weight *= MAIN
+    return f"{tag}.{'.'.join(words)}" if words else tag, weight, main or is_main
+
+
+class _Page:
+    """Runs and containers of a page; one pass, and a constant time for each tag."""
+
+    def __init__(self, page: str):
+        self.runs: list[_Run] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        #: (parent, tag, weight) of each container; the page itself is number 0.
+        self.containers: list[tuple[int, str, float]] = [(-1, "html", 1.0)]
+        self.stack: list[_Element] = []
+        self.where: dict[str, list[int]] = {}
+        self.fresh = True
+        self.scan(page)
+
+    def last(self, tag: str) -> int:
+        at = self.where.get(tag)
+        return at[-1] if at else -1
+
+    def close_from(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.where[self.stack.pop().tag].pop()
+
+    def open(self, tag: str, attrs: str) -> None:
+        above = self.stack[-1] if self.stack else None
+        step, weight, main = _describe(tag, attrs, above)
+        path = self.paths.setdefault((above.path if above else 0, step), len(self.paths) + 1)
+        container = above.container if above else 0
+        if tag in _CONTAINER:
+            self.containers.append((container, tag, weight))
+            container = len(self.containers) - 1
+        at = len(self.stack)
+        block = at if tag in _BLOCK else above.block if above else -1
+        self.stack.append(_Element(tag, path, block, container, weight, main, tag == "a" or bool(above and above.link)))
+        self.where.setdefault(tag, []).append(at)
+
+    def text(self, raw: str) -> None:
+        top = self.stack[-1] if self.stack else None
         value = html_lib.unescape(raw) if "&" in raw else raw
-        blank = not value.strip()
-        if blank and (fresh or not runs):
+        if not value or (self.fresh or not self.runs) and not value.strip():
             return
-        if fresh:
-            depth = max((i for i, s in enumerate(stack) if s[0] in _BLOCK), default=-1)
-            held = max((i for i, s in enumerate(stack) if s[0] in _CONTAINER), default=-1)
-            path = "/".join(s[1] for s in stack[: depth + 1])
-            runs.append(_Run(path, "/".join(s[1] for s in stack[: held + 1]), any(s[2] for s in stack), any(s[3] for s in stack), tuple(s[4] for s in stack if s[4]), any(s[5] for s in stack)))
-            fresh = False
-        run = runs[-1]
-        if any(s[2] for s in stack) and not run.drop or any(s[4] and s[4] not in run.roles for s in stack):
-            return  # an inline element that is hidden or a control
+        weight = top.weight if top else 1.0
+        if self.fresh:
+            path = self.stack[top.block].path if top and top.block >= 0 else 0
+            self.runs.append(_Run(path, top.container if top else 0, weight, bool(top and top.main)))
+            self.fresh = False
+        run = self.runs[-1]
+        if weight < run.weight / 2:
+            return  # an inline element that is hidden, a control or named a role
+        if weight > run.weight * 2:  # what came before was one
+            run.weight, run.parts, run.links = weight, [], 0
         run.parts.append(value)
-        run.nodes += 1
-        if any(s[0] == "a" for s in stack):
+        if top and top.link:
             run.links += len(value)
 
-    while at < size:
-        start = page.find("<", at)
-        if start < 0:
-            text(page[at:])
-            break
-        found = _TOKEN.match(page, start)
-        if found is None:
-            # "<" that begins no markup is text; a tag that never ends is dropped with the rest.
-            if re.match(r"</?[a-zA-Z]", page[start : start + 3]) and page.find(">", start) < 0:
-                text(page[at:start])
-                break
-            text(page[at : start + 1])
-            at = start + 1
-            continue
-        text(page[at:start])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if found[1]:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag in _BLOCK or tag == "br":
-                fresh = True
-            if open_at is not None and not (tag not in _BLOCK and any(s[0] in _BLOCK for s in stack[open_at + 1 :]) and tag not in ("b", "i", "a", "em", "strong", "span", "u", "font")):
-                if any(s[0] in _BLOCK for s in stack[open_at:]):
-                    fresh = True
-                del stack[open_at:]
-            continue
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        block = self.stack[-1].block if self.stack else -1
+        self.fresh = self.fresh or tag in _BLOCK or tag == "br"
+        if at < 0 or tag not in _BLOCK and block > at and tag not in _LOOSE:
+            return
+        self.fresh = self.fresh or block >= at
+        self.close_from(at)
+
+    def start(self, tag: str, attrs: str) -> None:
         if tag == "br":
-            if not fresh and runs:
-                runs[-1].parts.append(" ")
-            continue
+            if not self.fresh and self.runs:
+                self.runs[-1].parts.append(" ")
+            return
         if tag in _BLOCK:
-            fresh = True
-        if tag in _CLOSES_P:
-            p_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if p_at is not None and not any(s[0] in ("table", "td", "th", "button", "object", "article", "section", "div", "li", "blockquote") for s in stack[p_at + 1 :]):
-                del stack[p_at:]
+            self.fresh = True
+        if tag in _CLOSES_P and (at := self.last("p")) >= 0 and max(map(self.last, _P_BARRIER)) < at:
+            self.close_from(at)
         for kind in _CLOSES.get(tag, ()):
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == kind or stack[i][0] in _BARRIER[tag]), None)
-            if open_at is not None and stack[open_at][0] == kind:
-                del stack[open_at:]
-        if tag in _VOID:
-            continue
-        step, drop, main, named = _role(tag, found[3] or "")
-        block = None
-        if named >= LAST_PART and not drop and tag != "header":
-            blocks += 1
-            block = (blocks, named)
-        if tag == "header" and any(s[0] in ("article", "main") for s in stack):
-            drop = drop or any(_named(w) >= LAST_PART and w.rpartition("-")[2] != "header" for w in step.split(".")[1:])
-        elif tag == "header":
-            drop = True
-        if tag in _RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else size
-            continue
-        if (found[3] or "").endswith("/") and tag in ("svg", "math"):
-            continue
-        stack.append((tag, step, drop, main, block, named == SOME_PART))
-    _drop_roles(runs)
-    return runs
-
-
-def _drop_roles(runs: list[_Run]) -> None:
-    """Drop the blocks that name a role, but for those whose loss would be the page's."""
-    seen = [r for r in runs if not r.drop]
-    size = {id(r): len("".join(r.parts)) for r in seen if r.roles or r.main}
-    if not any(r.roles for r in seen):
-        return
-    kept: set[tuple[int, int]] = set()
-    total = sum(size[id(r)] if id(r) in size else len("".join(r.parts)) for r in seen)
-    inside: dict[tuple[int, int], list[_Run]] = {}
-    for r in seen:
-        for block in r.roles:
-            inside.setdefault(block, []).append(r)
-    marked = any(r.main and not r.roles for r in seen)
-    for block in sorted(inside):  # an outer block before those in it
-        held = inside[block]
-        sole = not marked and any(r.main for r in held)
-        most = not marked and block[1] == LAST_PART and 2 * sum(size[id(r)] for r in held) > total
-        if sole or most:
-            kept.add(block)
-            marked = any(r.main and kept.issuperset(r.roles) for r in seen)
-    for r in seen:
-        r.drop = not kept.issuperset(r.roles)
+            at = self.last(kind)
+            if at >= 0 and max(map(self.last, _BARRIER[tag]), default=-1) < at:
+                self.close_from(at)
+        if tag not in _VOID:
+            self.open(tag, attrs)
+
+    def scan(self, page: str) -> None:
+        at, size, last_end = 0, len(page), page.rfind(">")
+        while at < size:
+            start = page.find("<", at)
+            if start < 0:
+                self.text(page[at:])
+                return
+            after = page[start + 1 : start + 3]
+            if after[:1] in ("!", "?"):
+                found = _OTHER.match(page, start)
+            elif after[:1].isascii() and (after[:1].isalpha() or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha()):
+                if start > last_end:  # a tag that never ends is dropped with the rest
+                    self.text(page[at:start])
+                    return
+                found = _TAG.match(page, start) or _OPEN_QUOTE.match(page, start)
+            else:
+                found = None
+            if found is None:  # "<" that begins no markup is text
+                self.text(page[at : start + 1])
+                at = start + 1
+                continue
+            self.text(page[at:start])
+            at = found.end()
+            if found.re is _OTHER:
+                continue
+            tag = found[2].lower()
+            if found[1]:
+                self.end(tag)
+            elif tag in _RAW:
+                if tag in _BLOCK:
+                    self.fresh = True
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else at if tag == "svg" and found[3].endswith("/") else size
+            else:
+                self.start(tag, found[3])
+
+
+def _fused(chars: int, marks: int, nodes: int, links: int) -> float:
+    """A path's ratio: text per node and punctuation per node, without the share of links."""
+    return math.log1p((chars - 0.9 * links) / nodes) * (1 + math.log1p(marks / nodes)) * (1 - 0.9 * links / chars)
+
+
+def _smoothed(page: _Page, paths: dict[tuple[int, int, float], list]) -> list[float]:
+    """The smoothed ratio of each container, without its weight."""
+    n = len(page.containers)
+    direct, below = [[0.0, 0] for _ in range(n)], [[0.0, 0.0, 0] for _ in range(n)]
+    for (_, container, weight), (chars, marks, nodes, links, _) in paths.items():
+        value = _fused(chars, marks, nodes, links) * chars
+        direct[container][0] += value
+        direct[container][1] += chars
+        below[container][0] += value
+        below[container][1] += value * weight
+        below[container][2] += chars
+    for c in range(n - 1, 0, -1):  # a container's number is larger than its parent's
+        for i in range(3):
+            below[page.containers[c][0]][i] += below[c][i]
+    # The mass of a container counts beside its mean, so that one lone sentence doesn't outweigh an article.
+    ratio = lambda total, chars: total / chars * math.log1p(chars) if chars else 0.0
+    own, passed = [0.0] * n, [(0.0, 1.0)] * n
+    for c, (parent, tag, weight) in enumerate(page.containers):
+        own[c] = ratio(*direct[c])
+        whole = tag not in ("html", "body")
+        if whole and below[c][1] >= MOST * below[0][1]:
+            own[c] = max(own[c], ratio(below[c][0], below[c][2]))
+        if parent >= 0:
+            own[c] = max(own[c], INHERITED * passed[parent][0])
+        passed[c] = (max(own[c], passed[parent][0] if parent >= 0 else 0.0), weight) if whole else (0.0, weight)
+    return own
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    runs = _scan(page)
-    merged = [(run, " ".join("".join(run.parts).split())) for run in runs if not run.drop]
-    merged = [(run, value) for run, value in merged if value]
-    if any(run.main for run, _ in merged):
-        merged = [(run, value) for run, value in merged if run.main]
-    if not merged:
+    scanned = _Page(page)
+    runs = [(run, " ".join("".join(run.parts).split())) for run in scanned.runs if run.weight > 0]
+    runs = [(run, value) for run, value in runs if value]
+    if not runs:
         return ""
-    paths: dict[str, list] = {}  # text, punctuation, nodes, link text, container, factor
-    for run, value in merged:
-        p = paths.setdefault(run.path, [0, 0, 0, 0, run.container, PART if run.part else 1.0])
+    paths: dict[tuple[int, int, float], list] = {}  # text, punctuation, nodes, link text, in the main content
+    for run, value in runs:
+        p = paths.setdefault((run.path, run.container, run.weight), [0, 0, 0, 0, run.main])
         p[0] += len(value)
         p[1] += len(_PUNCT.findall(value))
         p[2] += 1
         p[3] += min(run.links, len(value))
-    held: dict[str, list] = {}
-    for chars, marks, nodes, links, container, factor in paths.values():
-        ratio = (chars - links) / nodes
-        fused = math.log1p(ratio) * (1 + math.log1p(marks / nodes)) * (1 - links / chars) * factor
-        h = held.setdefault(container, [0.0, 0])
-        h[0] += fused * chars
-        h[1] += chars
-    smooth = {c: total / chars for c, (total, chars) in held.items()}
-    # The mass of a container counts beside its mean, so that one lone sentence doesn't outweigh an article.
-    weight = {c: smooth[c] * math.log1p(held[c][1]) for c in smooth}
-    best = max(weight.values())
-    marked = any(run.main for run, _ in merged)
-    keep = {c for c in weight if marked or weight[c] >= THRESHOLD * best}
-    links_only = {path for path, (chars, _, nodes, links, _, _) in paths.items() if links > LINK_SHARE * chars and not (marked and nodes < 3)}
-    return "\n".join(value for run, value in merged if run.container in keep and run.path not in links_only)
+    ratio = _smoothed(scanned, paths)
+    score = {k: ratio[k[1]] * k[2] * (LINKS if p[3] > LINK_SHARE * p[0] and not p[4] else 1.0) for k, p in paths.items()}
+    least = THRESHOLD * max(score.values())
+    return "\n".join(value for run, value in runs if score[run.path, run.container, run.weight] >= least)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``pages`` without ``html``, with the main text and its number of code points."""
-    if clash := {text, n_chars} & (set(pages.columns) - {html}):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    refuse_clash(pages, {text, n_chars}, {html})
+    small_batches(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType([*kept, T.StructField(text, T.StringType(), False), T.StructField(n_chars, T.LongType(), False)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        worker_state("html_extract")
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
