@@ -12,7 +12,9 @@ a hash, so a source with a third of all rows is numbered by many tasks.
 
 Defined cases: a null source is a source of its own; sources without a weight, or with weight 0, come
 after all others; rows with equal ids keep places of their own; an empty table gives an empty schedule;
-more than MAX_SOURCES sources are an error.
+more than MAX_SOURCES sources are an error, and so is a column named block, slot or position.  A block has
+``block_rows`` rows, or more where the table would need more than MAX_BLOCKS of them: the deviation is less
+than one block of ``ceil(rows / MAX_BLOCKS)`` rows then.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm.common import dense_index, table
+from credence.llm.common import dense_index, fresh, refuse_clash, table
 
 MAX_BLOCKS = 1 << 16
 MAX_SOURCES = 10_000
@@ -77,9 +79,11 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", weights
 
     ``weights``: target weight by source; by default in proportion to the square root of its size.
     """
+    refuse_clash(docs, {"block", "slot", "position"})
+    own, md5, index, run = (fresh(c, docs.columns) for c in ("__source", "__md5", "__index", "__run"))
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    rows = docs.withColumn("__source", name).withColumn("__md5", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    counts = {r["__source"]: r["count"] for r in rows.groupBy("__source").count().limit(MAX_SOURCES + 1).collect()}
+    rows = docs.withColumn(own, name).withColumn(md5, F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    counts = {r[own]: r["count"] for r in rows.groupBy(own).count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     total = sum(counts.values())
@@ -95,13 +99,12 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", weights
         slots.append((s, made[s], at, start))
         start += min(size, counts[s] - made[s] * size)
         made[s] += 1
-    spark = docs.sparkSession
     # At most MAX_BLOCKS + MAX_SOURCES rows.
-    plan = spark.createDataFrame(slots, "s string, b long, slot long, start long")
-    numbered = dense_index(rows, ["__source"], "__md5", [id_col], "__index", total)
-    numbered = numbered.withColumn("block", F.floor(F.col("__index") / size).cast("long"))
-    placed = numbered.join(F.broadcast(plan), (F.col("__source") == F.col("s")) & (F.col("block") == F.col("b")))
-    return placed.select(*docs.columns, "block", "slot", (F.col("start") + F.col("__index") % size).alias("position"))
+    plan = docs.sparkSession.createDataFrame(slots, f"{own}_p string, {run}_p long, {run}_slot long, {run}_start long")
+    numbered = dense_index(rows, [own], md5, [id_col], index, total)
+    numbered = numbered.withColumn(run, F.floor(F.col(index) / size).cast("long"))
+    placed = numbered.join(F.broadcast(plan), (F.col(own) == F.col(f"{own}_p")) & (F.col(run) == F.col(f"{run}_p")))
+    return placed.select(*[F.col(c) for c in docs.columns], F.col(run).alias("block"), F.col(f"{run}_slot").alias("slot"), (F.col(f"{run}_start") + F.col(index) % size).alias("position"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ ranges of the md5, so that a shard of any size is numbered by many tasks.
 The law that holds is ``key``: the id and the shard count alone decide.  Equal texts may part.
 
 Defined cases: a null text has no bytes (size 16, crc32 0); a null id is the empty key; rows with equal
-ids share a shard and have slots of their own; an empty table gives an empty table.
+ids share a shard and have slots of their own; an empty table gives an empty table; other columns pass, and one named like a column that is added is an error.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm.common import dense_index, table
+from credence.llm.common import dense_index, fresh, refuse_clash, table
 
 SHARDS = 40
 #: Hex digits of the md5 that make the draw: 52 bits, exact in a double.
@@ -38,12 +38,14 @@ def assign(df: DataFrame, key: str, shards: int, weights: list[float] | None = N
     if len(weights) != shards or min(weights) <= 0:
         raise ValueError("weights: one positive number for each shard")
     all_weights = [*weights, grown_weight]
-    text_key = f"coalesce(cast({key} as string), '')"
-    best = f"array_min(transform(sequence(0, {shards - 1}), s -> named_struct('cost', {_cost('__key', 's', all_weights)}, 's', s)))"
-    out = df.withColumn("__key", F.expr(text_key)).withColumn("__best", F.expr(best)).withColumn(shard, F.col("__best.s").cast("int"))
+    refuse_clash(df, {shard, grown} - {None})
+    own, won = fresh("__key", df.columns), fresh("__best", df.columns)
+    text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    best = f"array_min(transform(sequence(0, {shards - 1}), s -> named_struct('cost', {_cost(own, 's', all_weights)}, 's', s)))"
+    out = df.withColumn(own, text_key).withColumn(won, F.expr(best)).withColumn(shard, F.col(f"{won}.s").cast("int"))
     if grown:
-        out = out.withColumn(grown, F.expr(f"case when {_cost('__key', str(shards), all_weights)} < __best.cost then {shards} else {shard} end").cast("int"))
-    return out.drop("__key", "__best")
+        out = out.withColumn(grown, F.expr(f"case when {_cost(own, str(shards), all_weights)} < {won}.cost then {shards} else {shard} end").cast("int"))
+    return out.drop(own, won)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
