@@ -3,100 +3,135 @@
 Texts are equal when they are identical after white space is deleted.  A round takes the next digit (some
 bytes, four times as many as the round before) of every open document, splits each group by it, and sets
 aside groups of one row and groups whose text ends here: those are equal byte for byte, and no digest
-takes part in the decision.  Only rows that share every byte so far go on to the next round, so only texts
-that share their first digit with another move at all.  A group of copies of any size is counted before the shuffle, and the
-join that hands rows their group can be split where one group is large.
+takes part in the decision.  The first digit is read off the text's beginning, so only documents that share
+it with another are normalised to be moved, once; each later round carries what is left behind the last
+digit.  A group of copies of any size is counted before the shuffle, and the join that hands rows their
+group can be split where one group is large.
 
 Defined cases: null counts as empty, and all empty texts are one group; equal rows stay separate rows, of
-which one is kept; a null doc_id comes after every other; other columns pass through.
+which one is kept; a null doc_id comes after every other; very long texts go on for more rounds; an empty
+table gives an empty result; ``drop_copies`` passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from credence.llm.common import SPACES, bitmap_filter, materialize, passes_filter, release, table
+from credence.llm.common import SPACES, bitmap_filter, materialize, passes_filter, release, table, with_row_numbers, without_rows, worker_state
 
 #: Bytes of the first digit; each later digit has GROWTH times as many.
 FIRST_DIGIT, GROWTH = 48, 4
+#: Characters from whose normal form the first digit is read, if they hold enough.
+LOOK = 128
+BATCH_ROWS = 256
 
 
 def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def radix_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """``docs`` (its columns if ``carry``, else only the id) with __keep_id, __size, __kept, __sha."""
-    own = docs.columns if carry else [id_col]
-    pack = F.struct(*[F.col(c) for c in own])
-    spell = F.coalesce(F.col(text), F.lit(""))
-    open_rows = docs.select(pack.alias("row"), spell.alias("text"), F.col(id_col).alias("id"), F.lit(0).cast("long").alias("gid"))
-    start, width, done, scratch = 0, FIRST_DIGIT, [], []
+def _first_digit(text: Column) -> tuple[Column, Column]:
+    """(the first FIRST_DIGIT bytes of the normal form, whether there are more)."""
+    start = normalised(F.substring(text, 1, LOOK)).cast("binary")
+    whole = F.when((F.octet_length(start) > FIRST_DIGIT) | (F.char_length(text) <= LOOK), start).otherwise(normalised(text).cast("binary"))
+    return F.substring(whole, 1, FIRST_DIGIT), F.octet_length(whole) > FIRST_DIGIT
+
+
+def _normal_forms(batches: Iterator) -> Iterator:
+    """The text's place (the last column) is taken by the digest of its normal form and, where the row may
+    go on, the bytes behind the first digit."""
+    import pyarrow as pa
+
+    worker_state("exact_dedup")
+    white = SPACES.encode()
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(at, BATCH_ROWS)
+            may = part.column(part.schema.get_field_index("may")).to_pylist()
+            sha, rest = [], []
+            for moves, text in zip(may, part.column(part.num_columns - 1)):
+                whole = (text.as_py() or b"").translate(None, white)
+                sha.append(hashlib.sha256(whole).digest())
+                rest.append(whole[FIRST_DIGIT:] if moves else None)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sha, pa.binary()), pa.array(rest, pa.binary())], names=[*part.schema.names[:-1], "sha", "rest"])
+
+
+def radix_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """id, keep_id, size, kept and sha of each document, and ``row``, a unique number, if one is named."""
+    words = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), *([F.col(row).alias("row")] if row else []), F.lit(0).cast("long").alias("gid"), F.char_length(words).alias("points"), words.alias("text"))
+    digit, more = _first_digit(F.col("text"))
+    keyed = keyed.withColumn("digit", digit).withColumn("more", more)
+    own = ["id", "row"] if row else ["id"]
+    start, width, done = 0, FIRST_DIGIT, []
     while True:
-        whole = normalised(F.col("text")).cast("binary")
-        keyed = open_rows.withColumn("digit", F.substring(whole, start + 1, width)).withColumn("more", F.octet_length(whole) > start + width)
-        best = F.min(F.struct((-F.char_length("text")).alias("less"), F.col("id").isNull().alias("void"), F.col("id").alias("id")))
+        best = F.min(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("void"), F.col("id").alias("id")))
         groups = keyed.groupBy("gid", "digit", "more").agg(F.count(F.lit(1)).alias("size"), best.alias("best")).filter("size > 1")
         groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), f"radix-groups-{start}")
-        right = groups.select(F.col("gid").alias("g"), F.col("digit").alias("d"), F.col("more").alias("m"), "size", "best", "next")
         single = None
         if not start:
             # Rows whose first digit is their own need not move: a bitmap of the digits that occur twice
             # lets every other row through, and equality is still decided on the bytes.
             key = F.xxhash64("digit", "more")
             bitmap, n_bits = bitmap_filter(groups.select(key.alias("h")), "h")
-            tried = passes_filter(keyed, key, bitmap, n_bits, "may")
-            keyed, single = tried.filter("may").drop("may"), tried.filter("NOT may").drop("may")
-        right = right.hint("merge")
+            tried = passes_filter(keyed, key, bitmap, n_bits, "may").select(*own, "gid", "points", "digit", "more", "may", F.col("text").cast("binary").alias("text"))
+            fields = [f for f in tried.schema.fields if f.name != "text"]
+            kinds = T.StructType([*fields, T.StructField("sha", T.BinaryType()), T.StructField("rest", T.BinaryType())])
+            forms = materialize(tried.mapInArrow(_normal_forms, kinds), "radix-forms")
+            keyed = forms.filter("may").drop("may")
+            single = forms.filter("NOT may").select(*own, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha")
+        right = groups.select(F.col("gid").alias("g"), F.col("digit").alias("d"), F.col("more").alias("m"), "size", "best", "next").hint("merge")
         joined = keyed.join(right, (F.col("gid") == F.col("g")) & (F.col("digit") == F.col("d")) & (F.col("more") == F.col("m")), "left")
-        if single is not None:
-            joined = joined.unionByName(single, allowMissingColumns=True)
         goes_on = F.col("more") & F.col("size").isNotNull()
-        points = F.char_length("text")
-        first = F.col("size").isNull() | ((-points == F.col("best.less")) & F.col("id").eqNullSafe(F.col("best.id")))
+        first = F.col("size").isNull() | ((-F.col("points") == F.col("best.less")) & F.col("id").eqNullSafe(F.col("best.id")))
         split = materialize(
             joined.select(
-                "row", "id",
-                F.when(goes_on, F.col("text")).alias("text"),
+                *own, "points", "sha",
+                F.when(goes_on, F.col("rest")).alias("rest"),
                 goes_on.alias("goes_on"),
                 F.col("next").alias("gid"),
                 F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
                 F.coalesce("size", F.lit(1)).cast("long").alias("size"),
                 first.alias("first"),
-                F.when(~goes_on, F.unhex(F.sha2(whole, 256))).alias("sha"),
                 F.monotonically_increasing_id().alias("rid"),
             ),
             f"radix-rows-{start}",
         )
         release(groups)
-        scratch.append(split)
         ended = split.filter(~F.col("goes_on"))
         # Rows equal in id and text are all "first": the one with the lowest number is kept.
         ties = ended.filter("first and size > 1").groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lowest")).filter("n > 1")
         if ties.limit(1).count():
             low = ties.select(F.col("gid").alias("tied"), "lowest")
             ended = ended.join(low, F.col("gid") == F.col("tied"), "left").withColumn("first", F.col("first") & (F.col("lowest").isNull() | (F.col("rid") == F.col("lowest"))))
-        done.append(ended.select("row", "keep_id", "size", F.col("first").alias("kept"), F.lower(F.hex("sha")).alias("sha")))
+        done.append(ended.select(*own, "keep_id", "size", F.col("first").alias("kept"), "sha"))
+        if single is not None:
+            done.append(single)
         going = split.filter("goes_on")
         if not going.limit(1).count():
             break
-        open_rows = going.select("row", "text", "id", "gid")
         start, width = start + width, width * GROWTH
-    out = reduce(DataFrame.unionByName, done)
-    return out.select("row.*", *[F.col(c).alias(f"__{c}") for c in ("keep_id", "size", "kept", "sha")])
+        keyed = going.select(*own, "gid", "points", "sha", F.substring("rest", 1, width).alias("digit"), (F.octet_length("rest") > width).alias("more"), F.substring("rest", width + 1, 2**31 - 1 - width).alias("rest"))
+    return reduce(DataFrame.unionByName, done).withColumn("sha", F.lower(F.hex("sha")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text equals a kept row's."""
-    return radix_groups(docs, id_col, text, carry=True).filter("__kept").select(*docs.columns)
+    """``docs`` without the rows whose text equals a kept row's.  Only the rows that go are looked up."""
+    numbered, number = with_row_numbers(docs, id_col)
+    found = radix_groups(numbered.select(F.col(id_col).alias("id"), F.col(number).alias("number"), F.col(text).alias("text")), "id", "text", "number")
+    gone = materialize(found.filter("NOT kept").select("row"), "copies")
+    return without_rows(numbered, number, gone).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = radix_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__keep_id").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
 ORACLE = r"""
