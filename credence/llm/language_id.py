@@ -3,7 +3,7 @@
 Subwords are runs of 2 to 4 characters inside words (with a mark at the ends of a word), hashed to
 BUCKETS rows of an embedding.  A text is the mean of its subwords' rows; a linear softmax reads the label.
 Both are trained together by stochastic gradient descent in numpy, on the driver, from a bounded sample:
-at most SAMPLE_ROWS rows in all, spread evenly over the labels and picked by a hash of the id, each as a
+at most SAMPLE_ROWS rows in all, spread evenly over the labels (at most MOST_LABELS) and picked by a hash of the id, each as a
 whole and as two short passages.  Hashed counts, not texts, come to the driver.  A fifth of the sample is
 not trained on: there the temperature of the softmax is fitted, and from there comes the score below which
 a text is rejected (at most REJECT_CORRECT of correct validation rows fall below it).
@@ -12,7 +12,7 @@ Every prediction reads the whole text, and nothing but the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and is rejected; very long
 texts are counted in pieces; equal texts get equal predictions; without a single labelled row everything
-is ``und``; other columns pass through.
+is ``und``; other columns pass through; a column named like one that is added is an error.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import table
+from credence.llm.common import refuse_clash, small_batches, table, worker_state
 
 BUCKETS = 1 << 15
 WIDTH = 16
-#: The bound on the training sample, over all labels.
-SAMPLE_ROWS = 1600
+#: The bound on the training sample, over all labels, and the most labels that are learned: of more, the most frequent.
+SAMPLE_ROWS, MOST_LABELS = 1600, 160
 EPOCHS, RATE = 12, 0.5
 REJECT_CORRECT = 0.002
 UNKNOWN = "und"
@@ -194,29 +194,36 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """Train on rows that are not held out and have a label and a text."""
-    rows = docs.filter(~held_out(F.col(id_col)) & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    n_labels = max(1, rows.agg(F.approx_count_distinct(label)).first()[0])
-    # The pick moves ids only, and few of those: a rank beyond the bound is cut off before the shuffle.
-    order = Window.partitionBy("l").orderBy(F.xxhash64("__id"), "__id")
-    picked = rows.select(F.col(id_col).alias("__id"), F.col(label).alias("l")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(10, SAMPLE_ROWS // n_labels))
-    chosen = picked.select("__id").distinct()
-    # At most SAMPLE_ROWS ids and ten for each label: bounded, so they may be broadcast.
-    sample = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(label).alias("label"), F.col(text).alias("text"))
-    found = sample.mapInArrow(_features, "label string, place int, at binary, n binary").collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    rows = rows.filter(~held_out(F.col("id")) & F.col("label").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    # The most frequent labels, at most MOST_LABELS.
+    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
+    quota = SAMPLE_ROWS // max(1, len(sizes))
+    # A label's rows below this share of the hash are about twice its quota, so that only those are ranked.
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, (2 * quota + 100) / r["count"])) for r in sizes], "__label string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    low = rows.select("id", "label", place.alias("place")).join(F.broadcast(shares), F.col("label") == F.col("__label")).filter("place < share")
+    order = Window.partitionBy("label").orderBy("place", "id")
+    picked = low.select("id", "label", "place").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= quota)
+    # At most SAMPLE_ROWS ids: bounded, so they may be broadcast.  A repeated id counts once with a label.
+    chosen = picked.select(F.col("id").alias("__id"), F.col("label").alias("__l"))
+    sample = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("__id")) & (F.col("label") == F.col("__l")), "left_semi").groupBy("id", "label").agg(F.min("text").alias("text"))
+    found = sample.select("label", "text").mapInArrow(_features, "label string, place int, at binary, n binary").collect()
     return train([(r["label"], r["place"], bytes(r["at"]), bytes(r["n"])) for r in found])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", rejected: str = "rejected") -> DataFrame:
     """Add the predicted label, its calibrated probability and whether the text is rejected."""
     names = [lang, score, rejected]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    refuse_clash(docs, set(names))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model.dump())
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType(), False), T.StructField(score, T.DoubleType(), False), T.StructField(rejected, T.BooleanType(), False)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        worker_state("language_id")
         own = Model.load(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
