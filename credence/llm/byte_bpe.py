@@ -7,14 +7,13 @@ keeps the ids of the matches it has met (at most ``CACHE_WORDS``), and a batch s
 the library.  Decoding goes through a table from ids to bytes; a character whose bytes lie in several
 tokens comes together again because bytes are joined before they are read as UTF-8.
 
-Defined cases: null and empty texts have no ids and decode to empty bytes; ids outside the table make
-decoding fail; rows stay separate however often they repeat; other columns pass through untouched.
+Defined cases: null and empty texts have no ids and decode to empty bytes; an id that is
+null or outside the table makes decoding fail; rows stay separate however often they repeat; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -23,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import table
+from credence.llm.common import refuse_clash, small_batches, table, worker_state
 
 #: Matches, and pieces between single spaces, whose ids a worker keeps; a table is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 120_000
 #: Longer matches and pieces are encoded but not kept.
 CACHE_CHARS = 48
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -79,12 +78,13 @@ class Codec:
             halves = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             halves.sort(key=lambda pair: (ranks[pair[0]], ranks[pair[1]]))
             merges += [(spell(left), spell(right)) for left, right in halves]
-        vocab = {spell(t): r for t, r in ranks.items()}
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
+        # Both tokenizers share one model; the words below are the cache.
+        model = models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
+        self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.whole = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        self.whole = Tokenizer(model)
         self.whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), behavior="isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.plain = re.compile(r"[^\u0000-\u024F\u2010-\u2027\u20AC]").search
@@ -136,6 +136,14 @@ class Codec:
         look = self.pieces.__getitem__ if not long else lambda p: long[p] if p in long else self.pieces[p]
         return [b"".join(map(look, pieces)) for pieces in cut]
 
+    def text_bytes(self, ids: list[int | None] | None) -> bytes:
+        """The bytes that ``ids`` stand for; an id that is null or outside the table is an error."""
+        known, n = self.bytes_of, len(self.bytes_of)
+        for i in ids or ():
+            if i is None or not 0 <= i < n or known[i] is None:
+                raise ValueError(f"id {i} is not in the vocabulary")
+        return b"".join(known[i] for i in ids or ())
+
     def unpacked(self, packed: bytes) -> bytes:
         import numpy as np
 
@@ -146,9 +154,9 @@ class Codec:
         return self.whole.encode(text, add_special_tokens=False).offsets
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    """The worker's codec; reading the ranks takes a second, so it stays until another operator comes."""
+    return worker_state(f"byte_bpe {path} {pattern}", lambda: Codec(path, pattern))
 
 
 def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[str, str]:
@@ -162,8 +170,8 @@ def _over_batches(df: DataFrame, added: list[T.StructField], column: str, work)
     import pyarrow as pa
 
     names = [f.name for f in added]
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    refuse_clash(df, set(names))
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *added])
     kinds = {"IntegerType": pa.int32(), "LongType": pa.int64(), "StringType": pa.string(), "BinaryType": pa.binary()}
 
@@ -212,7 +220,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
 
     def work(values: list[list[int] | None]) -> list[list]:
         own = codec(path, pattern)
-        return [[b"".join(own.bytes_of[i] for i in v or ()) for v in values]]
+        return [[own.text_bytes(v) for v in values]]
 
     return _over_batches(df, [T.StructField(out, T.BinaryType(), False)], ids, work)
 

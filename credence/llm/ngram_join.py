@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credence.llm.common import bitmap_filter, materialize, passes_filter, release, table
+from credence.llm.common import bitmap_filter, materialize, passes_filter, release, table, with_row_numbers, without_rows, worker_state
 
 WORDS = 5
 #: Tokens that are moved to the end of the order; a bound on what is broadcast (16 bytes each).
@@ -38,7 +38,7 @@ HOT_TOKENS = 1 << 17
 #: A token is frequent from this many documents on.
 HOT_FROM = 6
 #: Shingles a task holds before it counts or sends them.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 PIECE = 1 << 18
 #: Postings per bucket that the number of buckets aims at.
 BUCKET_POSTINGS = 300_000
@@ -140,6 +140,8 @@ def _stats(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
+    worker_state("ngram_join")
+
     names = ["id", "n", "sig", "sig2", "hot", "hot_n"]
     held, size, seen = [], 0, set()
 
@@ -199,6 +201,7 @@ def _postings(sent, buckets: int):
         import numpy as np
         import pyarrow as pa
 
+        worker_state("ngram_join")
         hot, rank = (np.frombuffer(x, t) for x, t in zip(sent.value, ("u8", "i4")))
         names = ["bucket", "tokens", "sigs"]
         cold_parts, hot_parts, size, seen = [], [], 0, set()
@@ -457,38 +460,30 @@ def _resolve(live: DataFrame, rows: DataFrame) -> DataFrame | None:
     return comps
 
 
-def with_row_numbers(docs: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
-    """``docs`` with a unique long ``__row``: the id itself where ids are unique, else a new number."""
-    bad = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count()
-    if not bad:
-        return docs.withColumn("__row", F.col(id_col).cast("long")), True
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), False
-
-
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): component_id is the smallest id that links lead to."""
-    numbered, same = with_row_numbers(docs.select(id_col, text), id_col)
-    found = _near(numbered.select(F.col("__row").alias("id"), F.col(text).alias("text")))
-    if same:
+    """(id, n_shingles, component_id): component_id is the smallest id that links lead to.  Ids are of any
+    type that can be ordered."""
+    numbered, number = with_row_numbers(docs.select(F.col(id_col).alias("own"), F.col(text).alias("text")), "own")
+    found = _near(numbered.select(F.col(number).cast("long").alias("id"), "text"))
+    if number == "own":
         return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
-    ids = numbered.select(F.col("__row").alias("r"), F.col(id_col).alias("own"))
-    named = found.join(ids, F.col("id") == F.col("r"))
+    named = found.join(numbered.select(F.col(number).alias("r"), "own"), F.col("id") == F.col("r"))
     low = named.groupBy("comp").agg(F.min("own").alias("low")).select(F.col("comp").alias("c"), "low")
     return named.join(low, F.col("comp") == F.col("c")).select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id."""
-    numbered, same = with_row_numbers(docs, id_col)
-    found = _near(numbered.select(F.col("__row").alias("id"), F.col(text).alias("text")))
-    if same:
-        gone = found.filter("id <> comp").select(F.col("id").alias("__gone"))
+    """``docs`` with one document of each component: the one with the smallest id (of equal ids, any one)."""
+    numbered, number = with_row_numbers(docs, id_col)
+    found = _near(numbered.select(F.col(number).cast("long").alias("id"), F.col(text).alias("text")))
+    if number == id_col:
+        gone = found.filter("id <> comp").select("id")
     else:
-        ids = numbered.select(F.col("__row").alias("r"), F.col(id_col).alias("own"))
+        ids = numbered.select(F.col(number).alias("r"), F.col(id_col).alias("own"))
         named = found.join(ids, F.col("id") == F.col("r"))
         low = named.groupBy("comp").agg(F.min(F.struct(F.col("own").isNull(), "own", "id")).alias("low")).select(F.col("comp").alias("c"), F.col("low.id").alias("stays"))
-        gone = named.join(low, F.col("comp") == F.col("c")).filter("id <> stays").select(F.col("id").alias("__gone"))
-    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
+        gone = materialize(named.join(low, F.col("comp") == F.col("c")).filter("id <> stays").select("id"), "near-copies")
+    return without_rows(numbered, number, gone).select(*docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
