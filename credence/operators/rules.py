@@ -6,7 +6,8 @@ folded by max, and kept if raw; the tier of the innermost declared scope modulat
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import fnmatch
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from credence.functions.identity import fingerprint
 from credence.functions.lattice import RAW_FROM, modulate, state_name
 from credence.operators.graphs import enclosing_tier
 
+#: Parts of the sinks' names.
 _PATHS = "read_text read_bytes write_text write_bytes open unlink rmdir mkdir".split()
 _VERBS = "get post put patch delete head options".split()
 _LOG = "debug info warning error critical exception".split()
@@ -50,8 +52,8 @@ SINKS: dict[str, tuple[str, str, dict]] = {
     }),
     "PY-WL-117": ("WARN", "HTTP-client", {
         **_slots(" ".join(f"{p}.{v}" for p in ("requests", "httpx", "httpx.Client", "httpx.AsyncClient", "requests.Session", "aiohttp.ClientSession") for v in _VERBS), (0,), "url"),
-        **_slots("urllib.request.urlopen", (0,), "url"), **_slots("requests.request httpx.request httpx.stream httpx.Client.request httpx.AsyncClient.request requests.Session.request aiohttp.ClientSession.request", (1,), "url"),
-        **_slots("httpx.Client httpx.AsyncClient aiohttp.ClientSession", (), "base_url"),
+        **_slots("urllib.request.urlopen urllib.request.Request", (0,), "url"), **_slots("requests.request httpx.request httpx.stream httpx.Client.request httpx.AsyncClient.request httpx.Client.stream httpx.AsyncClient.stream requests.Session.request aiohttp.ClientSession.request", (1,), "url"),
+        **_slots("httpx.Client httpx.AsyncClient", (), "base_url"), **_slots("aiohttp.ClientSession", (0,), "base_url"),
     }),
     "PY-WL-121": ("ERROR", "XML", {
         **_slots("xml.etree.ElementTree.fromstring xml.etree.ElementTree.XML lxml.etree.fromstring lxml.etree.XML", (0,), "text"),
@@ -68,6 +70,7 @@ SINKS: dict[str, tuple[str, str, dict]] = {
 ANCHORED = frozenset(["pickle.Unpickler.load", *(f"pathlib.Path.{m}" for m in _PATHS), *(f"{a}.{m}" for a in _ARCHIVES for m in ("extractall", "extract"))])
 SHELL_STRINGS = ("os.system", "os.popen", "subprocess.getoutput", "subprocess.getstatusoutput")
 PREVIEW = frozenset(f"PY-WL-{n}" for n in (116, 117, 118, 119, 120, 121, 122, 123, 124, 125, 126))
+#: Where a statement is given, and words that speak for and against a database.
 SQL_SLOTS = ("0", "=operation", "=sql", "=query", "=statement", "=sql_script")
 DB_TOKENS = "cursor cur conn connection db database session engine sql sqlite postgres psql mysql oracle tx txn transaction".split()
 NON_DB_TOKENS = "pool executor thread threads scheduler worker workers dispatcher queue task tasks job jobs".split()
@@ -75,12 +78,19 @@ DB_MODULES = "sqlite3 aiosqlite apsw duckdb psycopg2 psycopg asyncpg pg8000 pymy
 NON_DB_MODULES = "concurrent multiprocessing threading asyncio".split()
 
 
-def sink_table(spark: SparkSession) -> DataFrame:
+#: Every rule's own severity, before it is modulated.
+BASE = {
+    **{f"PY-WL-{n}": "ERROR" for n in (101, 102, 105, 110, 111, 113, 114, 118, 119, 120)}, "PY-WL-110": "WARN", "PY-WL-109": "WARN", "PY-WL-103": "WARN", "PY-WL-104": "WARN", **{rule: base for rule, (base, _, _) in SINKS.items()},
+}
+Severities = Mapping[str, str]
+
+
+def sink_table(spark: SparkSession, severities: Severities = BASE) -> DataFrame:
     """A fixed table of a few hundred rows."""
     rows = []
     for rule, (base, label, sinks) in SINKS.items():
         for fqn, (positions, keywords) in sinks.items():
-            own = "WARN" if rule == "PY-WL-121" and fqn.startswith("xml.") else base
+            own = severities[rule] if severities[rule] != base else "WARN" if rule == "PY-WL-121" and fqn.startswith("xml.") else base
             rows.append((rule, fqn, own, label, positions is None, [str(p) for p in positions or ()], [f"={k}" for k in keywords or ()], fqn in ANCHORED))
     return spark.createDataFrame(rows, "rule_id string, fqn string, base string, label string, every boolean, positions array<string>, keywords array<string>, anchored boolean")
 
@@ -98,48 +108,53 @@ def _map(**columns: Column) -> Column:
 
 
 def _per_function(df: DataFrame, rule: str, severity: str, text: str, properties: Column | None = None) -> DataFrame:
-    body = F.concat(F.lit("entity:"), F.sha2("body_dump", 256))
+    body = F.concat(F.lit("entity:"), F.col("body_sha"))
     return _finding(df, F.lit(rule), F.lit(severity), F.concat(F.col("qualname"), F.lit(f": {text}")), F.col("line_start"), body, _map(declared_return=state_name(F.col("ret"))) if properties is None else properties)
 
 
-def boundary_rules(functions: DataFrame) -> list[DataFrame]:
+BOUNDARY_RULES = tuple(f"PY-WL-{n}" for n in (101, 102, 109, 110, 111, 113, 114, 119))
+
+
+def boundary_rules(functions: DataFrame, severities: Severities = BASE) -> dict[str, DataFrame]:
     """Rules on what a function declares and on the shape of its body."""
     f = functions.filter("source = 'anchored'")
     raising = f.filter("body > ret")
     # One-hop helpers in the same module: their rejections count for the boundary.
     calls = raising.select("qualname", "path", F.explode("helpers").alias("h"))
-    helper = functions.select(F.col("qualname").alias("h"), F.col("real_rejection").alias("hr"), F.col("assert_only").alias("ha"))
-    helped = calls.join(helper, "h").groupBy(F.col("qualname").alias("q"), F.col("path").alias("p")).agg(F.max("hr").alias("help_real"), F.max("ha").alias("help_assert"))
+    helper = functions.select(F.col("qualname").alias("h"), "path", F.col("real_rejection").alias("hr"), F.col("assert_only").alias("ha"))
+    helped = calls.join(helper, ["path", "h"]).groupBy(F.col("qualname").alias("q"), F.col("path").alias("p")).agg(F.max("hr").alias("help_real"), F.max("ha").alias("help_assert"))
     raising = raising.join(helped, (F.col("qualname") == F.col("q")) & (F.col("path") == F.col("p")), "left").withColumns({"help_real": F.coalesce("help_real", F.lit(False)), "help_assert": F.coalesce("help_assert", F.lit(False))})
     ranks = _map(body_taint=state_name(F.col("body")), return_taint=state_name(F.col("ret")))
     leak = f.filter(f"ret < {RAW_FROM} AND body <= ret AND actual > ret")
     none = f.filter(f"ret < {RAW_FROM} AND body <= ret AND leaks_none")
     marks = functions.filter(F.size(F.array_distinct("markers.marker")) >= 2).filter("source = 'anchored'")
     level = functions.select("*", F.explode("markers").alias("m")).filter("m.readable AND NOT m.allowed")
-    return [
-        _per_function(leak, "PY-WL-101", "ERROR", "returns data less trusted than it declares", _map(declared_return=state_name(F.col("ret")), actual_return=state_name(F.col("actual")))),
-        _per_function(raising.filter("NOT any_rejection AND NOT degenerate AND NOT help_real AND NOT help_assert"), "PY-WL-102", "ERROR", "declares a trust boundary but can't reject", ranks),
-        _per_function(none, "PY-WL-109", "WARN", "declares a trusted value but may return None"),
-        _per_function(marks, "PY-WL-110", "WARN", "carries contradictory trust markers"),
-        _per_function(raising.filter("(assert_only AND NOT help_real) OR (NOT any_rejection AND NOT degenerate AND help_assert AND NOT help_real)"), "PY-WL-111", "ERROR", "rejects only by assert", ranks),
-        _per_function(raising.filter("real_rejection AND fails_open"), "PY-WL-113", "ERROR", "substitutes a value where its check fails", ranks),
-        _finding(level, F.lit("PY-WL-114"), F.lit("ERROR"), F.concat(F.col("qualname"), F.lit(": level "), F.col("m.level"), F.lit(" is not allowed")), F.col("line_start"), F.concat_ws("", F.col("m.marker"), F.lit(":"), F.col("m.level"), F.lit("#"), F.col("m.ordinal").cast("string")), _map(level=F.col("m.level"))),
-        _per_function(raising.filter("degenerate"), "PY-WL-119", "ERROR", "returns its parameter unchecked", ranks),
+    own = severities.__getitem__
+    found = [
+        _per_function(leak, "PY-WL-101", own("PY-WL-101"), "returns data less trusted than it declares", _map(declared_return=state_name(F.col("ret")), actual_return=state_name(F.col("actual")))),
+        _per_function(raising.filter("NOT any_rejection AND NOT degenerate AND NOT help_real AND NOT help_assert"), "PY-WL-102", own("PY-WL-102"), "declares a trust boundary but can't reject", ranks),
+        _per_function(none, "PY-WL-109", own("PY-WL-109"), "declares a trusted value but may return None"),
+        _per_function(marks, "PY-WL-110", own("PY-WL-110"), "carries contradictory trust markers"),
+        _per_function(raising.filter("(assert_only AND NOT help_real) OR (NOT any_rejection AND NOT degenerate AND help_assert AND NOT help_real)"), "PY-WL-111", own("PY-WL-111"), "rejects only by assert", ranks),
+        _per_function(raising.filter("real_rejection AND fails_open"), "PY-WL-113", own("PY-WL-113"), "substitutes a value where its check fails", ranks),
+        _finding(level, F.lit("PY-WL-114"), F.lit(own("PY-WL-114")), F.concat(F.col("qualname"), F.lit(": level "), F.col("m.level"), F.lit(" is not allowed")), F.col("line_start"), F.concat_ws("", F.col("m.marker"), F.lit(":"), F.col("m.level"), F.lit("#"), F.col("m.ordinal").cast("string")), _map(level=F.col("m.level"))),
+        _per_function(raising.filter("degenerate"), "PY-WL-119", own("PY-WL-119"), "returns its parameter unchecked", ranks),
     ]
+    return dict(zip(BOUNDARY_RULES, found))
 
 
-def handler_rules(tiered: DataFrame) -> list[DataFrame]:
+def handler_rules(tiered: DataFrame, severities: Severities = BASE) -> dict[str, DataFrame]:
     h = tiered.select("*", F.explode("handlers").alias("h"))
-    out = []
+    out = {}
     for rule, flag, text in (("PY-WL-103", "broad", "broad except"), ("PY-WL-104", "silent", "silent except")):
-        severity = modulate(F.lit("WARN"), F.col("tier"))
+        severity = modulate(F.lit(severities[rule]), F.col("tier"))
         hit = h.filter(f"h.{flag}").filter(severity != "NONE")
-        out.append(_finding(hit, F.lit(rule), severity, F.concat(F.col("qualname"), F.lit(f": {text}")), F.col("h.line"), F.col("h.span"), _map(tier=state_name(F.col("tier")))))
+        out[rule] = _finding(hit, F.lit(rule), severity, F.concat(F.col("qualname"), F.lit(f": {text}")), F.col("h.line"), F.col("h.span"), _map(tier=state_name(F.col("tier"))))
     return out
 
 
-def sink_rules(calls: DataFrame, tiers: DataFrame) -> DataFrame:
-    table = F.broadcast(sink_table(calls.sparkSession))
+def sink_rules(calls: DataFrame, tiers: DataFrame, severities: Severities = BASE, wanted: tuple[str, ...] = tuple(SINKS)) -> DataFrame:
+    table = F.broadcast(sink_table(calls.sparkSession, severities).filter(F.col("rule_id").isin(*wanted)))
     c = calls.join(table, "fqn")
     lit = lambda s: F.array_contains("literal", s)
     accept = ~((F.col("fqn") == "numpy.load") & ~lit("allow_pickle=True")) & ~((F.col("fqn") == "torch.load") & lit("weights_only=True"))
@@ -162,16 +177,16 @@ def sink_rules(calls: DataFrame, tiers: DataFrame) -> DataFrame:
     return _finding(c, F.col("rule_id"), severity, text, F.col("line"), F.concat_ws(":", "span", "fqn"), _map(tier=state_name(F.col("tier")), sink=F.col("fqn"), arg_taint=state_name(F.col("worst"))))
 
 
-def callee_rule(calls: DataFrame, seeds: DataFrame) -> DataFrame:
+def callee_rule(calls: DataFrame, seeds: DataFrame, severities: Severities = BASE) -> DataFrame:
     """PY-WL-105: provably untrusted data handed to a callee that declares a trusted body."""
-    callee = seeds.filter(f"source = 'anchored' AND body < {RAW_FROM}").select(F.col("qualname").alias("callee"), F.col("body").alias("callee_body"))
+    callee = seeds.filter(f"source = 'anchored' AND body < {RAW_FROM}").select(F.col("qualname").alias("callee"), F.col("body").alias("callee_body")).distinct()
     worst = F.array_max(F.transform(F.filter("slots", lambda s: s["rank"].isin(5, 7)), lambda s: s["rank"]))
     c = calls.withColumn("worst", worst).filter("worst IS NOT NULL").join(callee, "callee")
     text = F.concat(F.col("qualname"), F.lit(": passes untrusted data to "), F.col("callee"))
-    return _finding(c, F.lit("PY-WL-105"), F.lit("ERROR"), text, F.col("line"), F.concat_ws(":", "span", "callee"), _map(callee=F.col("callee"), arg_taint=state_name(F.col("worst")), tier=state_name(F.col("callee_body"))))
+    return _finding(c, F.lit("PY-WL-105"), F.lit(severities["PY-WL-105"]), text, F.col("line"), F.concat_ws(":", "span", "callee"), _map(callee=F.col("callee"), arg_taint=state_name(F.col("worst")), tier=state_name(F.col("callee_body"))))
 
 
-def sql_rule(calls: DataFrame, tiers: DataFrame) -> DataFrame:
+def sql_rule(calls: DataFrame, tiers: DataFrame, severities: Severities = BASE) -> DataFrame:
     """PY-WL-118: the statement slot of execute() on what looks like a database."""
     words = F.split(F.lower(F.regexp_replace("receiver", "(?<=[a-z0-9])(?=[A-Z])", " ")), "[^a-z]+")
     head = F.substring_index("receiver_type", ".", 1)
@@ -181,21 +196,21 @@ def sql_rule(calls: DataFrame, tiers: DataFrame) -> DataFrame:
     evidence = F.coalesce(typed, F.lit(False)) | (~F.coalesce(not_db_type, F.lit(False)) & (db | ~other))
     worst = F.array_max(F.transform(F.filter("slots", lambda s: (s["key"].isin(*SQL_SLOTS) | (s["key"] == "**") | (F.col("star") & s["key"].rlike(r"^\*"))) & ~s["constant_text"]), lambda s: s["rank"]))
     c = calls.filter(F.col("attr").isin("execute", "executemany", "executescript")).filter(evidence).withColumn("worst", worst).filter(F.col("worst") >= RAW_FROM).join(tiers, ["qualname", "path"])
-    severity = modulate(F.lit("ERROR"), F.col("tier"))
+    severity = modulate(F.lit(severities["PY-WL-118"]), F.col("tier"))
     c = c.filter(severity != "NONE")
     return _finding(c, F.lit("PY-WL-118"), severity, F.concat(F.col("qualname"), F.lit(": untrusted data reaches a SQL statement")), F.col("line"), F.concat_ws(":", "span", "attr"), _map(tier=state_name(F.col("tier")), sink=F.col("attr"), arg_taint=state_name(F.col("worst"))))
 
 
-def stored_rule(functions: DataFrame, calls: DataFrame, with_101: bool) -> DataFrame:
+def stored_rule(functions: DataFrame, calls: DataFrame, with_101: bool, severities: Severities = BASE) -> DataFrame:
     """PY-WL-120: what is read from storage is returned by a trusted function."""
     reads = calls.filter(F.col("attr").isin("read", "read_text", "read_bytes", "fetchone", "fetchall", "fetchmany") & ~F.coalesce(F.col("receiver_type").isin("io.StringIO", "io.BytesIO"), F.lit(False))).select(F.col("qualname").alias("rq"), F.col("path").alias("rp")).distinct()
     f = functions.filter(f"body < {RAW_FROM} AND actual >= {RAW_FROM}")
     if with_101:  # an external return is reported by the rule on declared returns
         f = f.filter("NOT (source = 'anchored' AND ret < 5 AND body <= ret AND actual <> 5)")
     f = f.join(reads, (F.col("qualname") == F.col("rq")) & (F.col("path") == F.col("rp")), "left_semi")
-    severity = modulate(F.lit("ERROR"), F.col("body"))
+    severity = modulate(F.lit(severities["PY-WL-120"]), F.col("body"))
     hit = f.filter(severity != "NONE")
-    return _finding(hit, F.lit("PY-WL-120"), severity, F.concat(F.col("qualname"), F.lit(": returns data read from storage")), F.col("line_start"), F.concat(F.sha2("body_dump", 256), F.lit(":return")), _map(tier=state_name(F.col("body"))))
+    return _finding(hit, F.lit("PY-WL-120"), severity, F.concat(F.col("qualname"), F.lit(": returns data read from storage")), F.col("line_start"), F.concat(F.col("body_sha"), F.lit(":return")), _map(tier=state_name(F.col("body"))))
 
 
 #: Rules added by callers: functions of (functions, calls, seeds) that return findings.
@@ -209,12 +224,38 @@ def register_rule(name: str, rule: Callable[[DataFrame, DataFrame, DataFrame], D
     EXTRA[name] = rule
 
 
-def apply_rules(functions: DataFrame, calls: DataFrame, seeds: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
-    entities = functions.select("qualname", F.col("body").alias("rank"))
-    tiers = enclosing_tier(entities, functions.filter("source <> 'fallback'").select("qualname", F.col("body").alias("rank")))
+#: The rules that are built in.
+RULES = tuple(sorted(BASE))
+
+
+def selected(patterns: tuple[str, ...] | None) -> tuple[str, ...]:
+    """The known rules that some pattern names (``*`` for any run of characters); all without patterns."""
+    known = (*RULES, *EXTRA)
+    return known if patterns is None else tuple(r for r in known if any(fnmatch.fnmatchcase(r, p) for p in patterns))
+
+
+def apply_rules(functions: DataFrame, calls: DataFrame, seeds: DataFrame, rules: tuple[str, ...] | None = None, severities: Severities | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Findings of the selected rules (None if there are none), and the rules that could not be planned, with
+    why; only what is selected is planned, and the rules after a failed one still run."""
+    wanted = selected(rules)
+    own = {**BASE, **(severities or {})}
+    entities = functions.select("qualname", F.col("body").alias("rank")).distinct()
+    tiers = enclosing_tier(entities, functions.filter("source <> 'fallback'").select("qualname", F.col("body").alias("rank")).distinct())
     tiers = functions.select("qualname", "path").join(tiers.withColumnRenamed("rank", "tier"), "qualname")
-    tiered = functions.join(tiers, ["qualname", "path"])
-    frames = [*boundary_rules(functions), *handler_rules(tiered), sink_rules(calls, tiers), callee_rule(calls, seeds), sql_rule(calls, tiers), stored_rule(functions, calls, True)]
-    frames += [rule(functions, calls, seeds) for rule in EXTRA.values()]
-    out = reduce(DataFrame.unionByName, frames)
-    return out.filter(F.col("rule_id").isin(*rules)) if rules else out
+    sinks = tuple(r for r in wanted if r in SINKS)
+    plans: dict[str, Callable[[], DataFrame]] = {r: lambda r=r: boundary_rules(functions, own)[r] for r in BOUNDARY_RULES if r in wanted}
+    plans |= {r: lambda r=r: handler_rules(functions.join(tiers, ["qualname", "path"]), own)[r] for r in ("PY-WL-103", "PY-WL-104") if r in wanted}
+    if sinks:
+        plans[",".join(sinks)] = lambda: sink_rules(calls, tiers, own, sinks)
+    one = {"PY-WL-105": lambda: callee_rule(calls, seeds, own), "PY-WL-118": lambda: sql_rule(calls, tiers, own), "PY-WL-120": lambda: stored_rule(functions, calls, "PY-WL-101" in wanted, own)}
+    plans |= {r: plan for r, plan in one.items() if r in wanted}
+    plans |= {r: lambda rule=rule: rule(functions, calls, seeds) for r, rule in EXTRA.items() if r in wanted}
+    frames, failed, columns = [], {}, None
+    for name, plan in plans.items():
+        try:
+            frame = plan()
+            columns = columns or frame.columns
+            frames.append(frame.select(*columns))
+        except Exception as e:  # noqa: BLE001  a rule of a caller's may fail in any way
+            failed[name] = f"{type(e).__name__}: {e}"[:300]
+    return (reduce(DataFrame.unionByName, frames) if frames else None), failed

@@ -3,20 +3,26 @@
 Source is parsed by Arrow workers, one partition of files at a time.  Names that a file's calls may mean are
 joined with the project's seeds, so a worker gets the few seeds its file refers to, never the project's.
 Arguments that reach parameters are folded per (callee, parameter) and fed back until nothing changes;
-a round runs only the files whose functions got a weaker parameter.
+a round runs only the files whose functions got a weaker parameter, class attribute or name of the module,
+and writes only what those files give.
+
+A scan leaves its tables in the shared folder, because its frames read them; ``finish`` removes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.functions.identity import fingerprint
+from credence.functions.identity import fingerprint, glob_pattern, module_name
 from credence.functions.lattice import RANK
 from credence.operators.graphs import _cut, _drop
-from credence.operators.rules import apply_rules
+from credence.operators.findings import ENGINE_PATH, duplicate_names, fingerprint_collisions, low_resolution, unused_directives
+from credence.operators.rules import EXTRA, RULES, apply_rules, selected
 from credence.sources.python_code import MARKER_MODULES, flow_rows, module_of, parsed
 
 BATCH_ROWS = 64
@@ -26,9 +32,9 @@ RISES = 7
 ENTITY = (
     "path string, module string, qualname string, owner string, line_start int, line_end int, params array<string>, "
     "markers array<struct<marker:string,ordinal:int,level:string,readable:boolean,allowed:boolean>>, real_rejection boolean, any_rejection boolean, assert_only boolean, degenerate boolean, "
-    "fails_open boolean, leaks_none boolean, handlers array<struct<line:int,broad:boolean,silent:boolean,span:string>>, helpers array<string>, body_dump string"
+    "fails_open boolean, leaks_none boolean, handlers array<struct<line:int,broad:boolean,silent:boolean,span:string>>, helpers array<string>, body_sha string"
 )
-FACTS = f"path string, status string, message string, references array<string>, entities array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in ENTITY.split(', '))}>>"
+FACTS = f"path string, status string, message string, references array<string>, imports array<string>, entities array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in ENTITY.split(', '))}>>"
 SLOT = "struct<key:string,rank:int,guarded:boolean,constant_text:boolean>"
 CALL = f"struct<line:int,span:string,fqn:string,dotted:string,attr:string,receiver:string,receiver_type:string,callee:string,slots:array<{SLOT}>,built:array<{SLOT}>,star:boolean,literal:array<string>>"
 FLOW = f"path string, qualname string, status string, ret int, ret_callee string, calls array<{CALL}>, meets array<struct<callee:string,param:string,rank:int>>"
@@ -55,9 +61,9 @@ def extract(files: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES)
                 for r in batch.slice(at, BATCH_ROWS).to_pylist():
                     src, status, message = parsed(r["path"], r["source"], marker_modules)
                     try:
-                        rows.append({"path": r["path"], "status": status, "message": message, "references": sorted(src.references()) if src else [], "entities": list(src.entity_rows()) if src else []})
+                        rows.append({"path": r["path"], "status": status, "message": message, "references": sorted(src.references()) if src else [], "imports": sorted(src.imports()) if src else [], "entities": list(src.entity_rows()) if src else []})
                     except RecursionError:
-                        rows.append({"path": r["path"], "status": "skipped", "message": "nested too deeply", "references": [], "entities": []})
+                        rows.append({"path": r["path"], "status": "skipped", "message": "nested too deeply", "references": [], "imports": [], "entities": []})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "source").mapInArrow(run, FACTS)
@@ -77,7 +83,17 @@ def seed(entities: DataFrame, untrusted: tuple[str, ...] = ()) -> DataFrame:
     return folded.select("qualname", "path", own("body").alias("body"), own("ret").alias("ret"), source.alias("source"), "params")
 
 
-def flow(files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES, rounds: int | None = None) -> tuple[DataFrame, bool]:
+def merged(seeds: DataFrame) -> DataFrame:
+    """One set of ranks for each name: functions of the same name in several files meet in the weaker rank,
+    and count as undeclared where they are declared in different ways."""
+    kinds = F.count_distinct("source")
+    whole = seeds.groupBy("qualname").agg(F.max("body").alias("body"), F.max("ret").alias("ret"), F.when(kinds == 1, F.min("source")).otherwise("fallback").alias("source"), F.min_by("params", "path").alias("params"))
+    return seeds.select("path", "qualname").distinct().join(whole, "qualname").select("qualname", "path", "body", "ret", "source", "params")
+
+
+def flow(
+    files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES, rounds: int | None = None, configured: Mapping[str, int] | None = None
+) -> tuple[DataFrame, bool]:
     """Return ranks and argument ranks of every function, and whether the rounds reached the fixed point.
 
     Known ranks only rise, so the default bound - as often as all parameters can rise, and one more - is
@@ -90,8 +106,14 @@ def flow(files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: t
     own = seeds.select("path", "qualname", "body", "ret", "params")
     env = refs.select("path", "qualname", "body", "ret", "params").unionByName(own).distinct().groupBy("path").agg(F.collect_list(F.struct("qualname", "body", "ret", "params")).alias("seeds"))
     ready = files.select("path", "source").join(facts.filter("status = 'ok'").select("path"), "path", "left_semi").join(env, "path", "left")
+    # Where a fact counts, and from which rank on: functions; attributes of a class and names of a module
+    # from the strongest function that can read them.
+    entities = facts.select(F.explode("entities").alias("e")).select("e.path", "e.qualname", "e.owner", "e.module").join(seeds.select("path", "qualname", "body"), ["path", "qualname"])
+    held = [entities.filter(F.col(c).isNotNull()).groupBy(F.concat(F.col(c), F.lit("#")).alias("callee"), "path").agg(F.min("body").alias("body")) for c in ("owner", "module")]
+    targets = _cut(reduce(DataFrame.unionByName, held, seeds.select(F.col("qualname").alias("callee"), "path", "body")))
 
     schema = _arrow(FLOW)
+    library = dict(configured or {})
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -107,47 +129,166 @@ def flow(files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: t
                     meets: dict[str, dict[str, int]] = {}
                     for m in r["meets"] or []:
                         meets.setdefault(m["callee"], {})[m["param"]] = m["rank"]
-                    out += flow_rows(src, seeds_, meets)
+                    out += flow_rows(src, seeds_, meets, library)
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     none = F.array().cast("array<struct<callee:string,param:string,rank:int>>")
-    now = _cut(ready.withColumn("meets", none).select("path", "source", "seeds", "meets").mapInArrow(run, FLOW))
-    known = None
+    #: What each round gave, for the files that it ran.
+    given = [_cut(ready.withColumn("meets", none).select("path", "source", "seeds", "meets").mapInArrow(run, FLOW))]
+    known, settled = None, False
     for done in range(rounds + 1):
-        told = now.select(F.explode("meets").alias("m")).select("m.*").groupBy("callee", "param").agg(F.max("rank").alias("rank"))
-        if known is not None:
-            told = told.unionByName(known).groupBy("callee", "param").agg(F.max("rank").alias("rank"))
-        told = _cut(told)
+        told = given[-1].select(F.explode("meets").alias("m")).select("m.*")
+        told = told if known is None else told.unionByName(known)
+        told = _cut(told.groupBy("callee", "param").agg(F.max("rank").alias("rank")))
         fresh = told if known is None else told.join(known, ["callee", "param", "rank"], "left_anti")
-        risen = _cut(fresh.join(seeds.select(F.col("qualname").alias("callee"), "path", "body"), "callee").filter("rank > body").select("path", F.col("callee").alias("qualname")).distinct())
-        if not risen.limit(1).count():
-            return now, True
-        if done == rounds:
-            break
-        dirty = risen.select("path").distinct()
+        dirty = _cut(fresh.join(targets, "callee").filter("rank > body").select("path").distinct())
+        if known is not None:
+            _drop(known)
         known = told
-        given = told.join(seeds.select(F.col("qualname").alias("callee"), "path"), "callee").groupBy("path").agg(F.collect_list(F.struct("callee", "param", "rank")).alias("meets"))
-        again = ready.join(dirty, "path", "left_semi").join(given, "path", "left").select("path", "source", "seeds", "meets").mapInArrow(run, FLOW)
-        after = _cut(now.join(dirty, "path", "left_anti").unionByName(again))
-        _drop(now)
-        now = after
+        if not dirty.limit(1).count():
+            settled = True
+        if settled or done == rounds:
+            _drop(dirty)
+            break
+        here = known.join(targets, "callee").join(dirty, "path", "left_semi").groupBy("path").agg(F.collect_list(F.struct("callee", "param", "rank")).alias("meets"))
+        given.append(_cut(ready.join(dirty, "path", "left_semi").join(here, "path", "left").select("path", "source", "seeds", "meets").mapInArrow(run, FLOW)))
+        _drop(dirty)
+    _drop(known)
+    _drop(targets)
+    out = given[0]
+    if len(given) > 1:  # of each file, the last round that ran it
+        every = reduce(DataFrame.unionByName, [g.withColumn("round", F.lit(k)) for k, g in enumerate(given)])
+        last = every.groupBy("path").agg(F.max("round").alias("round"))
+        out = _cut(every.join(last, ["path", "round"]).drop("round"))
+        for g in given:
+            _drop(g)
+    if settled:
+        return out, True
     ret = F.when(F.col("ret").isNotNull(), F.greatest("ret", F.lit(RANK["UNKNOWN_RAW"]))).cast("int")
-    return now.withColumn("ret", ret).withColumn("ret_callee", F.lit(None).cast("string")), False
-
-
-def scan(files: DataFrame, untrusted: tuple[str, ...] = (), marker_modules: tuple[str, ...] = MARKER_MODULES, rules: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
-    """findings, functions and calls of a project given as (path, source)."""
+    return out.withColumn("ret", ret).withColumn("ret_callee", F.lit(None).cast("string")), False
+
+
+def policy(settings: Mapping) -> tuple[tuple[str, ...] | None, dict[str, str], list[tuple[str, str, str]]]:
+    """(rule patterns, severities by rule, problems: message, reason and what tells them apart) of the settings'
+    ``rules``.  What is wrong there is a finding, and isn't honoured."""
+    given = settings.get("rules") or {}
+    patterns, severities, wrong = given.get("enable"), {}, []
+    if patterns is not None:
+        patterns = tuple(patterns)
+        if not patterns:
+            wrong.append(("rules.enable selects no policy rules", "empty_enable_patterns", "rules.enable:empty"))
+        for p in patterns:
+            if not selected((p,)):
+                wrong.append((f"rules.enable pattern {p!r} matches no known policy rules", "unknown_rule_pattern", f"rules.enable:{p}"))
+        if patterns and not selected(patterns):
+            wrong.append(("rules.enable selects no known policy rules", "empty_effective_ruleset", f"rules.enable:empty-effective:{','.join(patterns)}"))
+    for rule, severity in (given.get("severity") or {}).items():
+        if rule not in (*RULES, *EXTRA):
+            wrong.append((f"rules.severity override {rule!r} is not a known policy rule", "unknown_severity_rule", f"rules.severity:{rule}:unknown"))
+        elif severity not in ("CRITICAL", "ERROR", "WARN", "INFO", "NONE"):
+            wrong.append((f"rules.severity override for {rule!r} is not a valid severity", "invalid_severity", f"rules.severity:{rule}:invalid:{severity}"))
+        elif severity == "NONE":
+            wrong.append((f"rules.severity override for {rule!r} cannot be NONE", "none_severity_override", f"rules.severity:{rule}:NONE"))
+        else:
+            severities[rule] = severity
+    return patterns, severities, wrong
+
+
+def scan(
+    files: DataFrame, untrusted: tuple[str, ...] = (), marker_modules: tuple[str, ...] = MARKER_MODULES, rules: tuple[str, ...] | None = None, settings: Mapping | None = None, diagnose: bool = True
+) -> dict[str, DataFrame]:
+    """findings, functions, calls and facts of a project given as (path, source).
+
+    ``rules``: patterns of rule ids.  ``settings``: what ``credence.sources.stores.config`` reads; its
+    excluded paths, sources, sanitisers, rule patterns and severities are applied.  ``diagnose``: whether the
+    findings about the project and the settings are wanted beside those of rules, files and functions.
+    """
+    settings = settings or {}
+    for pattern in settings.get("exclude", ()):
+        files = files.filter(~F.col("path").rlike(glob_pattern(pattern)))
+    patterns, severities, wrong = policy(settings)
+    sources, sanitisers = (tuple(settings.get(k, ())) for k in ("untrusted_sources", "sanitisers"))
+    configured = {**dict.fromkeys(sanitisers, RANK["ASSURED"]), **dict.fromkeys(sources, RANK["EXTERNAL_RAW"])}
     facts = _cut(extract(files, marker_modules))
     entities = facts.select(F.explode("entities").alias("e")).select("e.*")
-    seeds = _cut(seed(entities, untrusted))
-    flows, settled = flow(files, facts, seeds, marker_modules)
+    seeds = _cut(merged(seed(entities, (*untrusted, *sources))))
+    flows, settled = flow(files, facts, seeds, marker_modules, configured=configured)
     functions = entities.join(seeds.select("qualname", "path", "body", "ret", "source"), ["qualname", "path"]).join(
         flows.select("qualname", "path", "status", F.col("ret").alias("actual"), "ret_callee"), ["qualname", "path"], "left"
     )
     functions = _cut(functions)
     calls = flows.select("path", "qualname", F.explode("calls").alias("c")).select("path", "qualname", "c.*")
-    found = apply_rules(functions, calls, seeds, rules)
-    return {"findings": found.unionByName(diagnostics(facts, flows, settled)), "functions": functions, "calls": calls, "facts": facts}
+    found, failed = apply_rules(functions, calls, seeds, rules if rules is not None else patterns, severities)
+    about = diagnostics(facts, flows, settled)
+    if not diagnose:
+        return {"findings": about if found is None else found.unionByName(about), "functions": functions, "calls": calls, "facts": facts, "scratch": [functions, flows, seeds, facts]}
+    about = about.unionByName(project_diagnostics(facts, entities, functions, calls, marker_modules))
+    told = [("WLN-ENGINE-POLICY-CONFIG", text, "ERROR", "defect", ENGINE_PATH, key, {"reason": reason}) for text, reason, key in wrong]
+    told += [("WLN-ENGINE-RULE-FAILED", f"rule {r} aborted ({why})", "ERROR", "defect", ENGINE_PATH, r, {"rule": r}) for r, why in failed.items()]
+    about = about.unionByName(_told(facts, told))
+    if configured:
+        about = about.unionByName(unused_settings(facts, sources, sanitisers))
+    every = _cut(about if found is None else found.unionByName(about))
+    twice = fingerprint_collisions(every.withColumn("properties", F.to_json("properties"))).select("fingerprint", "members")
+    rule = F.lit("WLN-ENGINE-FINGERPRINT-COLLISION")
+    clashes = twice.select(
+        *_columns(rule, F.concat(F.col("members").cast("string"), F.lit(" findings share a fingerprint")), "ERROR", "defect", F.lit(ENGINE_PATH), F.lit(None), F.lit(None).cast("string"), F.col("fingerprint"), F.create_map(F.lit("fingerprint"), F.col("fingerprint")))
+    )
+    return {"findings": every.unionByName(clashes), "functions": functions, "calls": calls, "facts": facts, "scratch": [every, functions, flows, seeds, facts]}
+
+
+def finish(out: Mapping) -> None:
+    """Remove the tables of a scan whose frames nobody reads any more."""
+    for df in out["scratch"]:
+        _drop(df)
+
+
+def _columns(rule, message, severity: str, kind: str, path, line, qualname, key, properties) -> list:
+    """The columns of an engine finding; ``key`` tells it from others of its rule."""
+    return [
+        rule.alias("rule_id"), message.alias("message"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), path.alias("path"), line.cast("int").alias("line_start"), qualname.alias("qualname"),
+        fingerprint(rule, path, qualname, key).alias("fingerprint"), properties.cast("map<string,string>").alias("properties"), F.lit("active").alias("suppression_state"), F.lit(None).cast("string").alias("suppression_reason"), F.lit("stable").alias("maturity"),
+    ]
+
+
+def _told(facts: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Findings that the driver knows: a few about settings and rules."""
+    t = facts.sparkSession.createDataFrame(rows, "rule string, text string, severity string, kind string, at string, key string, more map<string,string>")
+    out = t.select(*_columns(F.col("rule"), F.col("text"), "", "", F.col("at"), F.lit(None), F.lit(None).cast("string"), F.col("key"), F.col("more")), F.col("severity").alias("__severity"), F.col("kind").alias("__kind"))
+    return out.withColumn("severity", F.col("__severity")).withColumn("kind", F.col("__kind")).drop("__severity", "__kind")
+
+
+def unused_settings(facts: DataFrame, sources: tuple[str, ...], sanitisers: tuple[str, ...]) -> DataFrame:
+    """A fact for each configured name that no call of the project may mean."""
+    rows = [("WLN-CONFIG-UNUSED-SOURCE", "source", s) for s in sources] + [("WLN-CONFIG-UNUSED-SANITISER", "sanitiser", s) for s in sanitisers]
+    named = facts.sparkSession.createDataFrame(rows, "rule string, what string, name string")
+    used = facts.select(F.explode("references").alias("name")).unionByName(facts.select(F.explode("entities.qualname").alias("name"))).distinct()
+    left = unused_directives(named, used)
+    text = F.concat(F.lit("configured "), F.col("what"), F.lit(" "), F.col("name"), F.lit(" matches no call"))
+    return left.select(*_columns(F.col("rule"), text, "NONE", "fact", F.lit("<config>"), F.lit(None), F.lit(None).cast("string"), F.col("name"), F.create_map("what", "name")))
+
+
+def project_diagnostics(facts: DataFrame, entities: DataFrame, functions: DataFrame, calls: DataFrame, marker_modules: tuple[str, ...]) -> DataFrame:
+    """Findings about the project as a whole: repeated names, unknown imports, functions most of whose calls
+    lead nowhere known, and the run's counts."""
+    none = F.lit(None).cast("string")
+    twice = duplicate_names(entities)
+    first = F.element_at("places", 1)
+    places = F.to_json("places")
+    out = twice.select(*_columns(F.lit("WLN-ENGINE-DUPLICATE-FQN"), F.concat(F.col("qualname"), F.lit(" is defined "), F.col("definitions").cast("string"), F.lit(" times")), "ERROR", "defect", first["path"], first["line_start"], F.col("qualname"), none, F.create_map(F.lit("places"), places)))
+    # A module is known by its own name and by those of the packages around it.
+    own = facts.select(module_name(F.col("path")).alias("m")).filter("m IS NOT NULL").distinct()
+    parts = F.split("m", r"\.")
+    known = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))).alias("package")).distinct()
+    taken = facts.select("path", F.explode("imports").alias("package")).filter(~F.substring_index("package", ".", 1).isin(*sorted(sys.stdlib_module_names), "__future__") & ~F.col("package").isin(*marker_modules))
+    lost = taken.join(known, "package", "left_anti").distinct()
+    out = out.unionByName(lost.select(*_columns(F.lit("WLN-ENGINE-UNKNOWN-IMPORT"), F.concat(F.col("package"), F.lit(" is no module of the project or the standard library")), "NONE", "fact", F.col("path"), F.lit(None), none, F.col("package"), F.create_map(F.lit("package"), F.col("package")))))
+    low = low_resolution(calls.select(F.struct("path", "qualname").alias("caller"), F.col("callee").isNotNull().alias("resolved")))
+    text = F.concat(F.col("caller.qualname"), F.lit(": "), F.col("percent").cast("string"), F.lit("% of its calls are unresolved"))
+    out = out.unionByName(low.select(*_columns(F.lit("WLN-L3-LOW-RESOLUTION"), text, "INFO", "metric", F.col("caller.path"), F.lit(None), F.col("caller.qualname"), none, F.create_map(F.lit("percent"), F.col("percent").cast("string")))))
+    # Counts by source of the ranks: three at most.
+    counts = functions.groupBy("source").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", F.col("count").cast("string"))))).alias("counts"))
+    return out.unionByName(counts.select(*_columns(F.lit("WLN-ENGINE-METRICS"), F.lit("run metrics"), "NONE", "metric", F.lit(ENGINE_PATH), F.lit(None), none, none, F.col("counts"))))
 
 
 def diagnostics(facts: DataFrame, flows: DataFrame, settled: bool) -> DataFrame:
@@ -179,10 +320,8 @@ def read_sources(spark, root: str, glob: str = "*.py", excluded: tuple[str, ...]
     path = F.element_at(F.split("path", base[base.find("/") :] if "://" in base else base, 2), -1)
     out = files.select(path.alias("path"), F.col("content").alias("source"))
     for pattern in excluded:
-        from credence.functions.identity import glob_pattern
-
         out = out.filter(~F.col("path").rlike(glob_pattern(pattern)))
     return out
 
 
-__all__ = ["extract", "flow", "module_of", "read_sources", "scan", "seed"]
+__all__ = ["extract", "finish", "flow", "merged", "module_of", "policy", "read_sources", "scan", "seed"]

@@ -74,7 +74,7 @@ def taint_facts(functions: DataFrame, findings: DataFrame) -> DataFrame:
     """One JSON blob per function, keyed by its name and the hash of its body."""
     f = findings.filter("qualname IS NOT NULL").groupBy("qualname").agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
     blob = F.to_json(F.struct(F.col("ret").alias("declared_return"), F.col("actual").alias("actual_return"), "source", F.col("ret_callee").alias("contributing_callee"), "fingerprints"))
-    return functions.join(f, "qualname", "left").select("qualname", F.sha2("body_dump", 256).alias("content_sha256"), blob.alias("blob"))
+    return functions.join(f, "qualname", "left").select("qualname", F.col("body_sha").alias("content_sha256"), blob.alias("blob"))
 
 
 def expired_artifacts(artifacts: DataFrame, keep: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from credence.plans.scan import scan
+from credence.plans.scan import finish, scan
 
 
 def newest(files: DataFrame) -> DataFrame:
@@ -18,9 +18,12 @@ def newest(files: DataFrame) -> DataFrame:
 
 
 def rescan(files: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], None], **options) -> StreamingQuery:
-    """Scan each micro-batch of (path, source, version) as one project and hand its findings on."""
+    """Scan each micro-batch of (path, source, version) as one project and hand its findings on; ``deliver`` reads
+    them before it returns, for then the tables of the scan go."""
 
     def batch(df: DataFrame, epoch: int) -> None:
-        deliver(scan(newest(df), **options)["findings"], epoch)
+        out = scan(newest(df), **options)
+        deliver(out["findings"], epoch)
+        finish(out)
 
     return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()

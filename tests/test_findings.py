@@ -80,11 +80,11 @@ def test_rollups_of_all_findings(spark, tmp_path):
         if k % 11 and k % 7:
             into = held if k % 10 == 0 or k % 4 == 0 or (k % 6 == 0 and date >= datetime(1996, 1, 1)) else active
             into[q] = into.get(q, 0) + 1
-    got = {r.qualname: (r.active_findings, r.suppressed_findings) for r in relational.decorator_coverage_all(spark, str(tmp_path)).collect()}
+    got = {r.qualname: (r.active_findings, r.suppressed_findings) for r in relational.decorator_coverage(spark, str(tmp_path)).collect()}
     assert got == {q: (active.get(q, 0), held.get(q, 0)) for q in names}
-    verdicts = {r.qualname: r.verdict for r in relational.entity_trust_all(spark, str(tmp_path)).collect()}
+    verdicts = {r.qualname: r.verdict for r in relational.entity_trust(spark, str(tmp_path)).collect()}
     assert {q for q, v in verdicts.items() if v == "defect"} == set(active) and set(verdicts) == names
-    total = relational.assurance_all(spark, str(tmp_path)).first()
+    total = relational.assurance(spark, str(tmp_path)).first()
     assert (total.boundaries_total, total.defect_total) == (len(names), len(active))
 
 
@@ -102,5 +102,5 @@ def test_walks_from_every_part(spark, tmp_path):
             walk += [after] if more else []
         cut = more and 1 <= walk[-1] <= n and walk[-1] * 7 % n not in walk
         want |= {(start, depth, node, cut) for depth, node in enumerate(walk)}
-    got = [tuple(r) for r in relational.explain_chain_all(spark, str(tmp_path)).select("start", "depth", "node", "truncated").collect()]
+    got = [tuple(r) for r in relational.explain_chain(spark, str(tmp_path)).select("start", "depth", "node", "truncated").collect()]
     assert set(got) == want and len(got) == len(want) and {c for *_, c in want} == {True, False} and max(d for _, d, *_ in want) == 20

@@ -4,8 +4,8 @@ import pytest
 
 from credence.functions.flow import Flow
 from credence.operators import findings as fo
-from credence.plans.scan import extract, flow, scan, seed
-from credence.sources.python_code import Source, module_of
+from credence.plans.scan import extract, finish, flow, scan, seed
+from credence.sources.python_code import Source, exits, module_of, quoted_command
 
 HEAD = "from credence.markers import trusted, external_boundary, trust_boundary\nimport os, shlex, html, json\n@external_boundary\ndef raw(p):\n    return p\n"
 
@@ -44,7 +44,7 @@ def test_a_project(spark):
         ("src/app/bytes.py", "x = 1\n"),
     ]
     found = scan(spark.createDataFrame(files, "path string, source string"))["findings"]
-    rows = sorted((r.rule_id, r.qualname, r.severity) for r in found.collect())
+    rows = sorted((r.rule_id, r.qualname, r.severity) for r in found.filter("kind = 'defect'").collect())
     assert rows == [
         ("PY-WL-101", "app.a.build", "ERROR"), ("PY-WL-105", "app.b.go", "ERROR"), ("PY-WL-108", "app.a.run", "ERROR"), ("PY-WL-108", "app.b.sink", "ERROR"), ("WLN-ENGINE-PARSE-ERROR", None, "ERROR"),
     ]
@@ -75,10 +75,46 @@ def test_functions_past_the_bound_return_unknown(spark):
 
 def test_undecodable_source_is_a_finding(spark):
     df = spark.createDataFrame([("a.py", bytearray(b"\xff\xfe"))], "path string, source binary")
-    assert [r.rule_id for r in scan(df)["findings"].collect()] == ["WLN-ENGINE-FILE-FAILED"]
+    assert [r.rule_id for r in scan(df)["findings"].filter("kind = 'defect'").collect()] == ["WLN-ENGINE-FILE-FAILED"]
 
 
 def test_no_files(spark):
     out = scan(spark.createDataFrame([], "path string, source string"))
-    assert out["findings"].count() == 0
+    assert out["findings"].filter("kind = 'defect'").count() == 0
     assert fo.gate_decision(out["findings"], 0, "ERROR").first().verdict == "NOT_EVALUATED"
+
+
+@pytest.mark.parametrize(
+    ("body", "ways"),
+    [
+        ("while True:\n    for x in y:\n        break", ""), ("while True:\n    if x:\n        break", "next"), ("with a:\n    raise E", "raise"), ("try:\n    f()\nexcept E:\n    return 1", "next return"),
+        ("try:\n    return f()\nexcept E:\n    raise", "raise return"), ("if a:\n    return 1\nelse:\n    raise E", "raise return"), ("for x in y:\n    return x", "next return"),
+        ("match a:\n    case 1:\n        return 1\n    case _:\n        raise E", "raise return"), ("match a:\n    case 1:\n        return 1", "next return"), ("try:\n    f()\nfinally:\n    return 1", "return"),
+    ],
+)
+def test_exits(body, ways):
+    assert " ".join(sorted(exits(ast.parse(body).body))) == ways
+
+
+def test_quoted_commands():
+    quoted = lambda text: quoted_command(ast.parse(text, mode="eval").body, {"q": "shlex.quote"})
+    assert quoted("'ls ' + q(x)") and quoted("f'ls {q(x)} -l'") and not quoted("q(x) + ' ls'") and not quoted("'  ' + q(x)") and not quoted("'ls ' + x") and not quoted("'ls'")
+
+
+def test_a_rule_that_fails_is_a_finding(spark, monkeypatch):
+    from credence.operators import rules
+
+    monkeypatch.setitem(rules.EXTRA, "XX-1", lambda functions, calls, seeds: functions.select("no_such_column"))
+    out = scan(spark.createDataFrame([("a.py", HEAD + "@trusted\ndef f(p):\n    return raw(p)\n")], "path string, source string"))
+    assert sorted(r.rule_id for r in out["findings"].filter("kind = 'defect'").collect()) == ["PY-WL-101", "WLN-ENGINE-RULE-FAILED"]
+    finish(out)
+
+
+def test_methods_help_their_boundary(spark):
+    text = HEAD + "class C:\n    @trust_boundary(to_level='GUARDED')\n    def f(self, p):\n        self.check(p)\n        return (p, 1)\n    def check(self, p):\n        raise ValueError\n"
+    out = scan(spark.createDataFrame([("a.py", text)], "path string, source string"), rules=("PY-WL-102",), diagnose=False)
+    assert out["findings"].count() == 0
+
+
+def test_project_functions_come_before_the_library():
+    assert Flow(ast.parse("def f(p):\n    return json.loads(p)").body[0], 0, {"json": "json"}, {"json.loads": 0}.get, "m", None, {}).ret == 0
