@@ -58,7 +58,7 @@ def chain(n):
 
 
 def test_a_chain_of_more_than_40_calls(spark):
-    found = scan(spark.createDataFrame(chain(42), "path string, source string"), rules=("PY-WL-108",))["findings"].collect()
+    found = scan(spark.createDataFrame(chain(42), "path string, source string"), rules=("PY-WL-108",), diagnose=False)["findings"].collect()
     assert [(r.rule_id, r.qualname) for r in found] == [("PY-WL-108", "chain.f42")]
 
 
