@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from credence.functions import identity, lattice
 from credence.operators import findings as fo
-from credence.operators import graphs
+from credence.operators import delta, graphs
+from credence.sources import discovery as source_discovery
 
 TODAY = "1996-01-01"
 
@@ -205,7 +206,9 @@ def gate_populations(spark, sf_dir):
     return fo.gate_breakdown(_suppressed(spark, sf_dir), "ERROR")
 
 
-@query("""SELECT 'CRITICAL' AS would_trip_at, true AS severity_tripped, false AS unanalyzed_tripped, false AS inert_tripped, 'FAILED' AS verdict, 1 AS exit_class""")
+@query(f"""WITH {FINDINGS_SQL}, w AS (SELECT min(list_position(['CRITICAL', 'ERROR', 'WARN', 'INFO'], severity)) AS worst FROM f WHERE kind = 'defect')
+SELECT ['CRITICAL', 'ERROR', 'WARN', 'INFO'][worst] AS would_trip_at, worst <= 2 AS severity_tripped, false AS unanalyzed_tripped, (SELECT count_if(c_custkey % 3 = 0) = 0 AND count(*) >= 5 FROM customer) AS inert_tripped,
+CASE WHEN worst <= 2 THEN 'FAILED' ELSE 'PASSED' END AS verdict, CASE WHEN worst <= 2 THEN 1 ELSE 0 END AS exit_class FROM w""")
 def gate_decision(spark, sf_dir):
     posture = fo.resolution_posture(_t(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 == 0, "anchored").otherwise("fallback").alias("source")))
     return fo.gate_decision(_findings(spark, sf_dir), 50, "ERROR", fail_on_unanalyzed=True, fail_on_inert=True, posture=posture)
@@ -370,3 +373,80 @@ def enclosing_tier(spark, sf_dir):
     entities = n.select(F.concat(outer, F.lit(".<locals>.g")).alias("qualname"), F.lit(6).alias("rank"))
     declared = n.filter("n_nationkey % 3 = 0").select(outer.alias("qualname"), F.col("n_regionkey").cast("int").alias("rank"))
     return graphs.enclosing_tier(entities, declared)
+
+
+@query("""WITH RECURSIVE m AS (SELECT max(p_partkey) + 1 AS m FROM part),
+e AS (SELECT p_partkey AS caller, (p_partkey * 7 + 3) % m AS callee FROM part, m UNION SELECT p_partkey, (p_partkey // 3) FROM part),
+n AS (SELECT p_partkey AS node, p_size % 8 AS rank, p_size % 5 = 0 AS anchored FROM part),
+w AS (SELECT node, rank FROM n UNION SELECT e.caller, w.rank FROM w JOIN e ON e.callee = w.node JOIN n ON n.node = e.caller WHERE NOT n.anchored)
+SELECT node, max(rank)::INT AS rank FROM w GROUP BY node""")
+def l3_cycles(spark, sf_dir):
+    """Ranks over calls with rings, fan-in and anchored functions in the rings."""
+    p = _t(spark, sf_dir, "part")
+    top = p.agg((F.max("p_partkey") + 1).alias("m"))
+    nodes = p.select(F.col("p_partkey").alias("node"), (F.col("p_size") % 8).cast("int").alias("rank"), (F.col("p_size") % 5 == 0).alias("anchored"), F.lit(None).cast("int").alias("returned"))
+    one = p.crossJoin(F.broadcast(top)).select(F.col("p_partkey").alias("caller"), ((F.col("p_partkey") * 7 + 3) % F.col("m")).alias("callee"))
+    return graphs.propagate(nodes, one.unionByName(p.select(F.col("p_partkey").alias("caller"), F.floor(F.col("p_partkey") / 3).cast("long").alias("callee"))))
+
+
+#: Paths of all kinds, by the part's size.
+_PATH_SQL = """CASE p_size % 8 WHEN 0 THEN 'src/m' WHEN 1 THEN 'build/m' WHEN 2 THEN 'src/build/m' WHEN 3 THEN 'src/node_modules/x/m' WHEN 4 THEN 'lib/m' WHEN 5 THEN 'src/gen/m' WHEN 6 THEN 'x.egg-info/m' ELSE 'src/keep/gen/m' END || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.txt' END"""
+
+
+def _paths(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select(F.expr("""concat(CASE p_size % 8 WHEN 0 THEN 'src/m' WHEN 1 THEN 'build/m' WHEN 2 THEN 'src/build/m' WHEN 3 THEN 'src/node_modules/x/m' WHEN 4 THEN 'lib/m' WHEN 5 THEN 'src/gen/m' WHEN 6 THEN 'x.egg-info/m' ELSE 'src/keep/gen/m' END, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.txt' END)""").alias("path"))
+
+
+@query(f"SELECT {_PATH_SQL} AS path FROM part WHERE p_partkey % 2 = 0 AND p_size % 8 IN (0, 2, 7)")
+def discovery(spark, sf_dir):
+    """Files of a project that are scanned; every path is given twice."""
+    files = _paths(spark, sf_dir)
+    return source_discovery.discovered(files.unionByName(files), roots=("src", "build"), excluded=("src/gen/*",))
+
+
+@query("SELECT 'nowhere' AS root")
+def missing_source_roots(spark, sf_dir):
+    return source_discovery.missing_roots(_paths(spark, sf_dir), ("src", "lib", "nowhere", "."))
+
+
+@query(f"SELECT {_PATH_SQL} AS path FROM part WHERE NOT (p_size % 8 IN (1, 2) OR (p_size % 8 = 5) OR (p_size % 8 = 7 AND p_partkey % 2 = 1))")
+def ignore_layers(spark, sf_dir):
+    """Ignore files of three directories: the last pattern that matches decides, and deeper files come later."""
+    ignores = spark.createDataFrame([(".gitignore", "# output\nbuild/\n"), ("src/.gitignore", "gen/\n"), ("src/keep/.gitignore", "!gen/\n*.txt\n")], "path string, text string")
+    return source_discovery.without_ignored(_paths(spark, sf_dir), ignores)
+
+
+def _scope(spark, sf_dir):
+    """Entities m<k>.C.f of all parts; a scope of class locators, stale and good SEIs, and unknown names."""
+    p = _t(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    entities = p.select(F.concat(F.lit("m"), key, F.lit(".C.f")).alias("qualname"), F.concat(F.lit("m"), key, F.lit(".py")).alias("path"))
+    size = F.col("p_size") % 4
+    locator = F.when(size == 0, F.concat(F.lit("m"), key, F.lit(".C"))).when(size == 1, F.concat(F.lit("py:function:m"), key, F.lit(".C.f"))).when(size == 2, F.concat(F.lit("gone"), key))
+    scope = p.select(locator.alias("locator"), F.when(size != 1, F.concat(F.lit("s"), key)).alias("sei"))
+    seis = p.select(F.concat(F.lit("s"), key).alias("sei"), F.when(size == 3, F.concat(F.lit("m"), key, F.lit(".C.f"))).otherwise(F.concat(F.lit("old"), key)).alias("qualname"))
+    return scope, entities, seis
+
+
+@query("""SELECT CASE p_size % 4 WHEN 0 THEN 'm' || p_partkey || '.C' WHEN 1 THEN 'py:function:m' || p_partkey || '.C.f' WHEN 2 THEN 'gone' || p_partkey END AS locator, CASE WHEN p_size % 4 <> 1 THEN 's' || p_partkey END AS sei,
+CASE p_size % 4 WHEN 0 THEN 'm' || p_partkey || '.C' WHEN 1 THEN 'm' || p_partkey || '.C.f' WHEN 3 THEN 'm' || p_partkey || '.C.f' END AS qualname, CASE WHEN p_size % 4 <> 2 THEN 'm' || p_partkey || '.py' END AS path,
+CASE p_size % 4 WHEN 0 THEN 'locator' WHEN 1 THEN 'locator' WHEN 3 THEN 'sei' END AS how FROM part""")
+def scope_match(spark, sf_dir):
+    return delta.match_scope(*_scope(spark, sf_dir))
+
+
+@query(f"""WITH {FINDINGS_SQL} SELECT 'delta' AS mode, 'advisory' AS gate_authority, (SELECT count(*) FROM part) AS entities_requested, (SELECT count(*) FROM part) AS files_discovered, (SELECT count_if(p_size % 4 <> 2) FROM part) AS files_analyzed,
+count_if(kind = 'defect') AS in_scope_findings, (SELECT count_if(p_size % 4 IN (0, 1)) FROM part) AS fell_back_count, (SELECT count_if(p_size % 4 = 2) FROM part) AS unresolved_count FROM f""")
+def delta_report(spark, sf_dir):
+    scope, entities, seis = _scope(spark, sf_dir)
+    matched = delta.match_scope(scope, entities, seis)
+    return delta.delta_report(matched, entities.select("path"), matched.filter("path IS NOT NULL").select("path").distinct(), _findings(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'k' || (p_partkey // 4) AS caller, 'k' || (((p_partkey * 7 + 3) % (SELECT max(p_partkey) + 1 FROM part)) // 4) AS callee FROM part WHERE (p_partkey * 7 + 3) % (SELECT max(p_partkey) + 1 FROM part) > 0),
+w AS (SELECT 'k0' AS node UNION SELECT e.caller FROM e JOIN w ON e.callee = w.node WHERE e.caller <> e.callee) SELECT node FROM w""")
+def module_reachability(spark, sf_dir):
+    """Modules that lead to the first one, by calls between different modules."""
+    p, edges = _part_edges(spark, sf_dir)
+    entities = p.select(F.col("p_partkey").alias("qualname"), F.concat(F.lit("k"), F.floor(F.col("p_partkey") / 4).cast("string")).alias("module"))
+    return graphs.reachable(spark.createDataFrame([("k0",)], "node string"), delta.module_edges(edges, entities))

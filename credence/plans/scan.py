@@ -206,6 +206,10 @@ def scan(
     settings = settings or {}
     for pattern in settings.get("exclude", ()):
         files = files.filter(~F.col("path").rlike(glob_pattern(pattern)))
+    # Markers mean the installed package: a project that has a module of that name defines none of them.
+    roots = [m.partition(".")[0] for m in marker_modules]
+    own = {r["root"] for r in files.select(F.substring_index(module_name(F.col("path")), ".", 1).alias("root")).filter(F.col("root").isin(*roots)).distinct().collect()}
+    marker_modules = tuple(m for m in marker_modules if m.partition(".")[0] not in own)
     patterns, severities, wrong = policy(settings)
     sources, sanitisers = (tuple(settings.get(k, ())) for k in ("untrusted_sources", "sanitisers"))
     configured = {**dict.fromkeys(sanitisers, RANK["ASSURED"]), **dict.fromkeys(sources, RANK["EXTERNAL_RAW"])}

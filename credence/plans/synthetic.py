@@ -209,6 +209,15 @@ def engine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule_id", *[F.col("properties")[c].cast("long").alias(c) for c in ("fallback", "anchored")])
 
 
+@_query("SELECT 0::BIGINT AS anchored")
+def shadowed_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project with a module named like the markers' package declares nothing."""
+    files = _files(spark, sf_dir, _choice("@trusted\ndef f(p):\n    return 1\n", ""))
+    own = spark.createDataFrame([("src/credence/markers.py", "def trusted(f):\n    return f\n")], "path string, source string")
+    found = scan(files.unionByName(own), rules=("PY-WL-101",), diagnose=False)["functions"]
+    return found.agg(F.count_if(F.col("source") == "anchored").alias("anchored"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scan and its gate over one project: findings, then what they decide."""
     out = scan(_files(spark, sf_dir, _choice(SHAPES[101][1][0], "@trusted\ndef f(p):\n    return 1\n")))
