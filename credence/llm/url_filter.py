@@ -95,7 +95,7 @@ pushnotification-allow.top/lp
 secure-login-verify-account.com/paypal/update
 appleid-verify-support.net/login/confirm
 bank-account-verify.top/secure/login
-free-iphone-winner.top/claim/prize
+claim-your-iphone.top/claim/prize
 update-your-flash-player.net/download/setup.exe
 virus-alert-support.top/scan/call-now
 account-suspended-verify.com/signin
@@ -109,7 +109,7 @@ hack-instagram-password.com/online/tool
 unlimited-gems-hack.top/generator
 replica-watches-outlet.com/rolex/sale
 designer-handbags-outlet.top/louis/discount
-cheapest-jerseys-outlet.top/nfl/sale
+discount-jerseys-outlet.top/nfl/sale
 rayban-outlet-sale.top/90-off
 essay-writing-service.biz/order/buy-essay
 buy-followers-likes.com/instagram/order
@@ -118,7 +118,7 @@ seo-links-pbn.biz/order/gig
 comment-blast-software.biz/xrumer/download
 article-spinner.top/auto/rewrite
 bulk-email-lists.biz/buy/leads
-guest-post-links.top/casinos-accepted
+guest-post-links.top/any-niche-accepted
 you-wont-believe-this.top/shocking/celebrity
 celebrity-shocking-photos.top/gallery/click
 doctors-hate-this-trick.top/belly-fat
