@@ -201,16 +201,22 @@ def sql_rule(calls: DataFrame, tiers: DataFrame, severities: Severities = BASE)
     return _finding(c, F.lit("PY-WL-118"), severity, F.concat(F.col("qualname"), F.lit(": untrusted data reaches a SQL statement")), F.col("line"), F.concat_ws(":", "span", "attr"), _map(tier=state_name(F.col("tier")), sink=F.col("attr"), arg_taint=state_name(F.col("worst"))))
 
 
-def stored_rule(functions: DataFrame, calls: DataFrame, with_101: bool, severities: Severities = BASE) -> DataFrame:
-    """PY-WL-120: what is read from storage is returned by a trusted function."""
-    reads = calls.filter(F.col("attr").isin("read", "read_text", "read_bytes", "fetchone", "fetchall", "fetchmany") & ~F.coalesce(F.col("receiver_type").isin("io.StringIO", "io.BytesIO"), F.lit(False))).select(F.col("qualname").alias("rq"), F.col("path").alias("rp")).distinct()
-    f = functions.filter(f"body < {RAW_FROM} AND actual >= {RAW_FROM}")
-    if with_101:  # an external return is reported by the rule on declared returns
-        f = f.filter("NOT (source = 'anchored' AND ret < 5 AND body <= ret AND actual <> 5)")
-    f = f.join(reads, (F.col("qualname") == F.col("rq")) & (F.col("path") == F.col("rp")), "left_semi")
+def stored_rule(functions: DataFrame, calls: DataFrame, seeds: DataFrame, with_101: bool, severities: Severities = BASE) -> DataFrame:
+    """PY-WL-120: what is read from storage is returned by a trusted function, or handed by one to a callee
+    whose body is not raw."""
     severity = modulate(F.lit(severities["PY-WL-120"]), F.col("body"))
-    hit = f.filter(severity != "NONE")
-    return _finding(hit, F.lit("PY-WL-120"), severity, F.concat(F.col("qualname"), F.lit(": returns data read from storage")), F.col("line_start"), F.concat(F.col("body_sha"), F.lit(":return")), _map(tier=state_name(F.col("body"))))
+    f = functions.filter(f"body < {RAW_FROM}").filter(severity != "NONE")
+    back = f.filter(f"actual >= {RAW_FROM}")
+    if with_101:  # an external return is reported by the rule on declared returns
+        back = back.filter(f"NOT (source = 'anchored' AND ret < {RAW_FROM} AND body <= ret AND actual <> 5)")
+    back = back.select("*", F.explode("stored_returns").alias("r"))
+    returned = _finding(back, F.lit("PY-WL-120"), severity, F.concat(F.col("qualname"), F.lit(": returns data read from storage")), F.col("r.line"), F.concat(F.col("r.span"), F.lit(":return")), _map(tier=state_name(F.col("body")), return_taint=state_name(F.col("actual"))))
+    callee = seeds.filter(f"body < {RAW_FROM}").select(F.col("qualname").alias("callee")).distinct()
+    worst = F.array_max(F.transform("slots", lambda s: s["rank"]))
+    given = calls.filter("stored").withColumn("worst", worst).filter(F.col("worst") >= RAW_FROM).join(callee, "callee", "left_semi").join(f.select("qualname", "path", "body"), ["qualname", "path"])
+    text = F.concat(F.col("qualname"), F.lit(": passes data read from storage to "), F.col("callee"))
+    handed = _finding(given, F.lit("PY-WL-120"), severity, text, F.col("line"), F.concat_ws(":", "span", "dotted"), _map(callee=F.col("callee"), arg_taint=state_name(F.col("worst"))))
+    return returned.unionByName(handed)
 
 
 #: Rules added by callers: functions of (functions, calls, seeds) that return findings.
@@ -247,7 +253,7 @@ def apply_rules(functions: DataFrame, calls: DataFrame, seeds: DataFrame, rules:
     plans |= {r: lambda r=r: handler_rules(functions.join(tiers, ["qualname", "path"]), own)[r] for r in ("PY-WL-103", "PY-WL-104") if r in wanted}
     if sinks:
         plans[",".join(sinks)] = lambda: sink_rules(calls, tiers, own, sinks)
-    one = {"PY-WL-105": lambda: callee_rule(calls, seeds, own), "PY-WL-118": lambda: sql_rule(calls, tiers, own), "PY-WL-120": lambda: stored_rule(functions, calls, "PY-WL-101" in wanted, own)}
+    one = {"PY-WL-105": lambda: callee_rule(calls, seeds, own), "PY-WL-118": lambda: sql_rule(calls, tiers, own), "PY-WL-120": lambda: stored_rule(functions, calls, seeds, "PY-WL-101" in wanted, own)}
     plans |= {r: plan for r, plan in one.items() if r in wanted}
     plans |= {r: lambda rule=rule: rule(functions, calls, seeds) for r, rule in EXTRA.items() if r in wanted}
     frames, failed, columns = [], {}, None

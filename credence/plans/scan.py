@@ -36,8 +36,8 @@ ENTITY = (
 )
 FACTS = f"path string, status string, message string, references array<string>, imports array<string>, entities array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in ENTITY.split(', '))}>>"
 SLOT = "struct<key:string,rank:int,guarded:boolean,constant_text:boolean>"
-CALL = f"struct<line:int,span:string,fqn:string,dotted:string,attr:string,receiver:string,receiver_type:string,callee:string,slots:array<{SLOT}>,built:array<{SLOT}>,star:boolean,literal:array<string>>"
-FLOW = f"path string, qualname string, status string, ret int, ret_callee string, calls array<{CALL}>, meets array<struct<callee:string,param:string,rank:int>>"
+CALL = f"struct<line:int,span:string,fqn:string,dotted:string,attr:string,receiver:string,receiver_type:string,callee:string,slots:array<{SLOT}>,built:array<{SLOT}>,star:boolean,literal:array<string>,stored:boolean>"
+FLOW = f"path string, qualname string, status string, ret int, ret_callee string, calls array<{CALL}>, meets array<struct<callee:string,param:string,rank:int>>, stored_returns array<struct<line:int,span:string>>"
 
 
 def _arrow(schema: str):
@@ -218,7 +218,7 @@ def scan(
     seeds = _cut(merged(seed(entities, (*untrusted, *sources))))
     flows, settled = flow(files, facts, seeds, marker_modules, configured=configured)
     functions = entities.join(seeds.select("qualname", "path", "body", "ret", "source"), ["qualname", "path"]).join(
-        flows.select("qualname", "path", "status", F.col("ret").alias("actual"), "ret_callee"), ["qualname", "path"], "left"
+        flows.select("qualname", "path", "status", F.col("ret").alias("actual"), "ret_callee", "stored_returns"), ["qualname", "path"], "left"
     )
     functions = _cut(functions)
     calls = flows.select("path", "qualname", F.explode("calls").alias("c")).select("path", "qualname", "c.*")

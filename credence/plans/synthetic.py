@@ -80,7 +80,7 @@ SHAPES: dict[int, tuple[str, tuple[str, ...], tuple[int, ...]]] = {
     113: ("ERROR", ("@trust_boundary(to_level='ASSURED')\ndef port_of(field):\n    try:\n        number = int(field)\n        if number > 65535:\n            raise OverflowError(field)\n        return (number, 'tcp')\n    except OverflowError:\n        return (field, 'tcp')\n", "@trust_boundary(to_level='ASSURED')\ndef port_of(field):\n    try:\n        if field > 65535:\n            raise OverflowError(field)\n        return (field, 'tcp')\n    except OverflowError:\n        return ()\n", "@trust_boundary(to_level='ASSURED')\ndef port_of(field):\n    number = 0\n    try:\n        if field > 65535:\n            raise OverflowError(field)\n        number = field + 1\n    except OverflowError:\n        number = 'any'\n    return number\n"), (0, 2)),
     114: ("ERROR", ("@trusted(level='GUARDED')\ndef f(p):\n    return 1\n", "@trusted(level='ASSURED')\ndef f(p):\n    return 1\n", "@trust_boundary(to_level='INTEGRAL')\ndef f(p):\n    raise ValueError\n", "@trusted(level=LEVEL)\ndef f(p):\n    return 1\n"), (0, 2)),
     119: ("ERROR", ("@trust_boundary(to_level='ASSURED')\ndef admit(parcel, desk):\n    'Take a parcel in.'\n    pass\n    return parcel\n", "@trust_boundary(to_level='ASSURED')\ndef admit(parcel, desk):\n    return desk.take(parcel)\n", "@trusted\ndef admit(parcel, desk):\n    return parcel\n"), (0,)),
-    120: ("ERROR", ("@trusted\ndef f(c):\n    return c.fetchone()\n", "@trusted\ndef f(c):\n    return 1\n", "@trusted\ndef f(p):\n    b = io.StringIO('x')\n    return b.read()\n"), (0,)),
+    120: ("ERROR", ("@trusted\ndef f(c):\n    return c.fetchone()\n", "@trusted\ndef f(c):\n    return 1\n", "@trusted\ndef f(p):\n    b = io.StringIO('x')\n    return b.read()\n", "@trusted\ndef print_label(line):\n    return 1\n@trusted\ndef f(c):\n    row = c.fetchone()\n    line = row[0]\n    print_label(line)\n", "def note(line):\n    return 1\n@trusted\ndef f(c):\n    row = c.fetchone()\n    note(row)\n    return raw(c)\n"), (0, 3)),
 }
 
 for _rule, (_severity, _options, _fire) in SHAPES.items():

@@ -5,7 +5,7 @@ import pytest
 from credence.functions.flow import Flow
 from credence.operators import findings as fo
 from credence.plans.scan import extract, finish, flow, scan, seed
-from credence.sources.python_code import Source, exits, module_of, quoted_command
+from credence.sources.python_code import Source, exits, flow_rows, module_of, quoted_command
 
 HEAD = "from credence.markers import trusted, external_boundary, trust_boundary\nimport os, shlex, html, json\n@external_boundary\ndef raw(p):\n    return p\n"
 
@@ -118,3 +118,25 @@ def test_methods_help_their_boundary(spark):
 
 def test_project_functions_come_before_the_library():
     assert Flow(ast.parse("def f(p):\n    return json.loads(p)").body[0], 0, {"json": "json"}, {"json.loads": 0}.get, "m", None, {}).ret == 0
+
+
+@pytest.mark.parametrize(
+    ("body", "lines"),
+    [
+        ("x = c.fetchone()\nput(x)", [("put", 3)]), ("put(open('f').read())", []), ("x = c.read()\ny = x\nz, w = 1, y\nput(w)\nreturn w", [("put", 5), ("return", 6)]),
+        ("b = io.BytesIO(p)\nx = b.read()\nput(x)\nreturn x", []), ("x = c.read()\nreturn lambda: x", [("return", 3)]), ("x: str = os.read(3, 9)\nother(x)\nreturn 1", []), ("put(c.read())\nreturn c.read()", [("put", 2), ("return", 3)]),
+    ],
+)
+def test_what_holds_stored_data(body, lines):
+    text = "import io, os\ndef put(a): pass\n" + "def f(c, p):\n" + "".join(f"    {line}\n" for line in body.split("\n"))
+    src = Source("m.py", text)
+    row = next(r for r in flow_rows(src, {"m.put": (0, 0, ["a"]), "m.f": (0, 0, ["c", "p"])}, {}) if r["qualname"] == "m.f")
+    found = [(c["dotted"], c["line"] - 2) for c in row["calls"] if c["stored"] and c["callee"]] + [("return", r["line"] - 2) for r in row["stored_returns"]]
+    assert found == lines
+
+
+def test_stored_data_handed_to_a_trusted_callee(spark):
+    text = HEAD + "@trusted\ndef put(a):\n    return 1\ndef note(a):\n    return 1\n@trusted\ndef f(c):\n    x = c.fetchone()\n    put(x)\n    note(x)\n    return x\ndef g(c):\n    x = c.fetchone()\n    put(x)\n"
+    out = scan(spark.createDataFrame([("a.py", text)], "path string, source string"), rules=("PY-WL-120",), diagnose=False)
+    assert sorted((r.qualname, r.line_start, r.severity) for r in out["findings"].collect()) == [("a.f", 14, "ERROR"), ("a.f", 16, "ERROR")]
+    finish(out)
