@@ -3,7 +3,9 @@
 A document is the set of its distinct five-word shingles (64-bit hashes).  Two sets with a Jaccard
 similarity of 3/4 or more share a token in their prefixes: the first n - ceil(3n/4) + 1 tokens in any one
 order of all tokens.  The order here is: rare tokens by hash, then the frequent ones by frequency, so that
-passages that many documents share stay out of prefixes.
+passages that many documents share stay out of prefixes.  Every token is counted over the whole input:
+with counts of parts of it, tokens that few documents of a part hold pass for rare, and their pairs grow
+with the square of the input.
 
 Grouping.  Documents with equal sets have equal prefixes and sizes; they are collapsed into one node
 before anything is joined, whatever their number.  Nodes that share prefix tokens are candidates; they are
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from credence.llm.common import bitmap_filter, materialize, passes_filter, release, table, with_row_numbers, without_rows, worker_state
 
 WORDS = 5
-#: Tokens that are moved to the end of the order; a bound on what is broadcast (16 bytes each).
-HOT_TOKENS = 1 << 17
+#: Tokens that are moved to the end of the order; a bound on what is broadcast (12 bytes each).
+HOT_TOKENS = 1 << 20
 #: A token is frequent from this many documents on.
 HOT_FROM = 6
 #: Shingles a task holds before it counts or sends them.
@@ -135,40 +137,108 @@ def signature(tokens) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(_mix(tokens), initial=np.uint64(0)).astype("i8")), int(tokens.sum(dtype="u8").astype("i8"))
 
 
-def _stats(batches: Iterator) -> Iterator:
-    """Per document: size and signature; per FLUSH shingles: those of two different sets or more."""
+def _count_key(buckets: int) -> int:
+    """The bits of a token by which it is counted: the upper 32, and those of its bucket.  Tokens that
+    agree in them share a count and a place in the order, which may be any."""
+    return 0xFFFFFFFF00000000 | (buckets - 1)
+
+
+STATS = "bucket long, id long, n long, sig long, sig2 long, once binary, often binary, often_n binary"
+
+
+def _stats(buckets: int):
+    """Per document: size and signature (negative buckets); per FLUSH shingles: those of each bucket, the
+    ones of a single set without their number."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        worker_state("ngram_join")
+
+        schema = pa.schema([(c, pa.binary() if c.startswith("o") else pa.int64()) for c in ("bucket", "id", "n", "sig", "sig2", "once", "often", "often_n")])
+        held, size, seen = [], 0, set()
+
+        def counted():
+            tokens = np.concatenate(held)
+            low = (tokens & np.uint64(buckets - 1)) << np.uint64(32)
+            tokens = np.sort(low | (tokens >> np.uint64(32)))  # by bucket, then by the upper bits
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            n = np.diff(np.concatenate([first, [len(tokens)]]))
+            tokens = tokens[first]
+            bucket, upper = (tokens >> np.uint64(32)).astype("i8"), tokens.astype("<u4")
+            cut = np.flatnonzero(np.diff(bucket)) + 1
+            rows = []
+            for a, b in zip([0, *cut], [*cut, len(bucket)]):
+                part, many = upper[a:b], n[a:b] > 1
+                rows.append((part[~many].tobytes(), part[many].tobytes(), n[a:b][many].astype("<u4").tobytes()))
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[[0, *cut]]), none, none, none, none, *(pa.array(c, pa.binary()) for c in zip(*rows))], schema=schema)
+
+        for batch in batches:
+            ids, n, a, b = batch.column(0), [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py())
+                x, y = signature(s)
+                n.append(len(s)), a.append(x), b.append(y)
+                if len(s) and (x, y) not in seen:  # copies say nothing about the order of tokens
+                    seen.add((x, y))
+                    held.append(s)
+                    size += len(s)
+                if size >= FLUSH:
+                    yield counted()
+                    held, size, seen = [], 0, set()
+            none = pa.nulls(len(n), pa.binary())
+            place = pa.array(-1 - (_mix(ids.to_numpy(zero_copy_only=False).astype("u8")) & np.uint64(buckets - 1)).astype("i8"))
+            yield pa.RecordBatch.from_arrays([place, ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, none], schema=schema)
+        if held:
+            yield counted()
+
+    return run
+
+
+def _counts(key, group):
+    """The documents of a negative bucket as they are; of another one, the tokens that HOT_FROM sets hold."""
     import numpy as np
     import pyarrow as pa
 
-    worker_state("ngram_join")
-
+    bucket = key[0].as_py()
+    docs = [group.column(c) for c in ("id", "n", "sig", "sig2")]
     names = ["id", "n", "sig", "sig2", "hot", "hot_n"]
-    held, size, seen = [], 0, set()
-
-    def counted():
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= 2
-        hot, hot_n = tokens[often].view("i8"), n[often]
-        none = pa.nulls(len(hot), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(hot), pa.array(hot_n.astype("i8"))], names=names)
-
-    for batch in batches:
-        ids, n, a, b = batch.column(0), [], [], []
-        for text in batch.column(1):
-            s = shingles(text.as_py())
-            x, y = signature(s)
-            n.append(len(s)), a.append(x), b.append(y)
-            if (x, y) not in seen:  # copies say nothing about the order of tokens
-                seen.add((x, y))
-                held.append(s)
-                size += len(s)
-            if size >= FLUSH:
-                yield counted()
-                held, size, seen = [], 0, set()
-        none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none], names=names)
-    if held:
-        yield counted()
+    if bucket < 0:
+        none = pa.nulls(group.num_rows, pa.int64())
+        return pa.table([*docs, none, none], names=names)
+    once, often, often_n = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<u4") for c in ("once", "often", "often_n"))
+    tokens, n = np.concatenate([once, often]), np.concatenate([np.ones(len(once), "i8"), often_n.astype("i8")])
+    order = np.argsort(tokens, kind="stable")
+    tokens, n = tokens[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    total = np.add.reduceat(n, first)
+    hot = total >= HOT_FROM
+    tokens = (tokens[first][hot].astype("u8") << np.uint64(32)) | np.uint64(bucket)
+    none = pa.nulls(len(tokens), pa.int64())
+    return pa.table([none, none, none, none, pa.array(tokens.view("i8")), pa.array(total[hot])], names=names)
+
+
+def _order(often: DataFrame):
+    """(tokens, rank) of the most frequent tokens of ``often`` (hot, k), sorted by token; the most frequent
+    have the highest rank.  At most HOT_TOKENS reach the driver: of one count, all or none."""
+    import numpy as np
+
+    least, n = None, 0
+    for r in often.groupBy("k").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).toLocalIterator():
+        n += r["n"]
+        if n > HOT_TOKENS:
+            break
+        least = r["k"]
+    if least is None:
+        return np.zeros(0, "u8"), np.zeros(0, "i4")
+    got = often.filter(F.col("k") >= least).toArrow()
+    tokens, k = got.column("hot").to_numpy().view("u8"), got.column("k").to_numpy()
+    rank = np.empty(len(tokens), "i4")
+    rank[np.lexsort([tokens, k])] = np.arange(len(tokens), dtype="i4")
+    order = np.argsort(tokens)
+    return tokens[order], rank[order]
 
 
 def prefix_lengths(n: int) -> tuple[int, int]:
@@ -177,15 +247,16 @@ def prefix_lengths(n: int) -> tuple[int, int]:
     return n - -(-6 * n // 7) + 1, n - -(-3 * n // 4) + 1
 
 
-def prefix(tokens, hot, rank):
-    """(rare, frequent) tokens of the prefix, in order."""
+def prefix(tokens, hot, rank, key: int = -1):
+    """(rare, frequent) tokens of the prefix, in order; ``key`` has the bits by which tokens are in ``hot``."""
     import numpy as np
 
     n = len(tokens)
     length = prefix_lengths(n)[1]
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-        is_hot = hot[at] == tokens
+        keys = tokens & np.uint64(key % (1 << 64))
+        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+        is_hot = hot[at] == keys
         cold = tokens[~is_hot]
         if len(cold) >= length:
             return cold[:length], tokens[:0]
@@ -194,7 +265,7 @@ def prefix(tokens, hot, rank):
     return tokens[:length], tokens[:0]
 
 
-def _postings(sent, buckets: int):
+def _postings(sent, buckets: int, key: int = -1):
     """Packed (token, signature) postings; frequent tokens are salted by signature (negative buckets)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -230,7 +301,7 @@ def _postings(sent, buckets: int):
                 if sig in seen:
                     continue
                 seen.add(sig)
-                cold, late = prefix(s, hot, rank)
+                cold, late = prefix(s, hot, rank, key)
                 first = prefix_lengths(len(s))[0]
                 for parts, own, shown in ((cold_parts, cold, min(first, len(cold))), (hot_parts, late, max(0, first - len(cold)))):
                     if shown:
@@ -339,17 +410,15 @@ def components(edges: DataFrame) -> DataFrame:
 def _near(rows: DataFrame) -> DataFrame:
     """(id, n, comp) of ``rows`` (id long, unique and not null; text)."""
     spark = rows.sparkSession
-    stats = materialize(rows.select("id", "text").mapInArrow(_stats, "id long, n long, sig long, sig2 long, hot long, hot_n long"), "shingle-stats")
+    # A shingle for each seven bytes or so; the number of buckets only bounds what a group holds.
+    expected, count_buckets = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 7, 64
+    while count_buckets * BUCKET_POSTINGS * 4 < expected and count_buckets < 1 << 20:
+        count_buckets *= 2
+    counted = rows.select("id", "text").mapInArrow(_stats(count_buckets), STATS).groupBy("bucket").applyInArrow(_counts, "id long, n long, sig long, sig2 long, hot long, hot_n long")
+    stats = materialize(counted, "shingle-stats")
     own = stats.filter("n IS NOT NULL")
-    often = stats.filter("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_n").alias("k")).filter(F.col("k") >= HOT_FROM)
-    # At most HOT_TOKENS rows reach the driver.
-    hot = often.orderBy(F.desc("k"), "hot").limit(HOT_TOKENS).collect()
-    import numpy as np
-
-    tokens = np.array([r["hot"] for r in hot], "i8").view("u8")
-    rank = np.arange(len(hot), 0, -1, dtype="i4")  # the most frequent come last
-    order = np.argsort(tokens)
-    sent = spark.sparkContext.broadcast((tokens[order].tobytes(), rank[order].tobytes()))
+    tokens, rank = _order(stats.filter("hot IS NOT NULL").select("hot", F.col("hot_n").alias("k")))
+    sent = spark.sparkContext.broadcast((tokens.tobytes(), rank.tobytes()))
 
     # Groups of equal sets become one node, named after its smallest id.
     nodes = materialize(own.filter("n > 0").groupBy("sig", "sig2", "n").agg(F.min("id").alias("id")), "shingle-nodes")
@@ -357,7 +426,7 @@ def _near(rows: DataFrame) -> DataFrame:
     buckets = 64
     while buckets * BUCKET_POSTINGS * 4 < total and buckets < 1 << 20:
         buckets *= 2
-    packed = rows.select("text").mapInArrow(_postings(sent, buckets), "bucket long, tokens binary, sigs binary")
+    packed = rows.select("text").mapInArrow(_postings(sent, buckets, _count_key(count_buckets)), "bucket long, tokens binary, sigs binary")
     shared = packed.groupBy("bucket").applyInArrow(_shared, "token long, sig long")
     marked = shared.withColumn("shown", F.col("sig").bitwiseAND(F.lit(1)) == 1).withColumn("sig", F.col("sig").bitwiseAND(F.lit(-2)))
     live = materialize(marked.join(nodes.select(F.col("sig").bitwiseAND(F.lit(-2)).alias("s"), "id", "n"), F.col("sig") == F.col("s")).select("token", "id", "n", "shown"), "shingle-live")

@@ -355,6 +355,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(map(tuple, out.collect())) == brute_components(texts)
 
 
+def test_near_duplicates_count_tokens_over_all_tasks(spark, monkeypatch):
+    """A passage that no task holds twice is frequent all the same: it stays out of prefixes, so unlike texts meet on no token."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(16))
+    texts = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60)) + f" {passage}" for _ in range(20)]
+    texts.append(texts[3] + " more")
+    rows, made = spark.createDataFrame(spark.sparkContext.parallelize([*enumerate(texts)], len(texts)), "doc_id long, text string"), {}
+    materialize = ngram_join.materialize
+
+    def kept(df, tag):
+        out = materialize(df, tag)
+        if tag == "shingle-live":
+            made[tag] = {r.id for r in out.select("id").distinct().collect()}
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    out = ngram_join.near_duplicate_components(rows)
+    assert sorted(map(tuple, out.collect())) == brute_components(texts)
+    assert made["shingle-live"] == {3, 20}
+
+
 def test_near_duplicates_odd_tables(spark):
     same = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "x y"), (5, "q")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id) for r in ngram_join.near_duplicate_components(same).collect()) == [(-1, 5), (5, 5), (5, 5), (5, 5), (7, 7)]
