@@ -3,8 +3,8 @@
 The vocabulary is a tiktoken rank file.  Its bytes become characters by the usual byte-to-character
 table, and every split of a token into two tokens becomes a merge with that token's rank, so that the
 library merges in the order of the ranks.  Each match of the pattern is encoded separately; a worker
-keeps the ids of the matches it has met (at most ``CACHE_WORDS``), and a batch sends only new ones to
-the library.  Decoding goes through a table from ids to bytes; a character whose bytes lie in several
+keeps the ids of the matches it has met lately (two generations of ``CACHE_WORDS`` at most, and a batch),
+and a batch sends only new ones to the library.  Decoding goes through a table from ids to bytes; a character whose bytes lie in several
 tokens comes together again because bytes are joined before they are read as UTF-8.
 
 Defined cases: null and empty texts have no ids and decode to empty bytes; an id that is
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from credence.llm.common import refuse_clash, small_batches, table, worker_state
 
-#: Matches, and pieces between single spaces, whose ids a worker keeps; a table is emptied when it is full.
-CACHE_WORDS = 120_000
+#: Matches, and pieces between single spaces, whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 80_000
 #: Longer matches and pieces are encoded but not kept.
 CACHE_CHARS = 48
 #: Rows per Arrow batch, so that a batch of very long texts stays small.
@@ -60,6 +60,26 @@ _OTHER_SPACE = re.compile(r"[^\S \n]").search
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)").split
 
 
+class Cache(dict):
+    """A table with the one before it: what is met again moves on, the rest goes when the next one is full,
+    so that new rare words never push out the common ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> set[str]:
+        """Of ``wanted``, what neither table holds; the rest is in this one from now on."""
+        if len(self) > CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        new = wanted.difference(self)
+        if back := new.intersection(self.before):
+            self.update(zip(back, map(self.before.__getitem__, back)))
+            new -= back
+        return new
+
+
 class Codec:
     """One per Python worker: the library's tokenizer, the table of bytes and the cache."""
 
@@ -89,8 +109,7 @@ class Codec:
             self.bytes_of[rank] = token
         self.plain = re.compile(r"[^\u0000-\u024F\u2010-\u2027\u20AC]").search
         self.matches = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Cache(), Cache()
 
     def split(self, text: str) -> list[str]:
         """The matches of the pattern.  Outside of long-settled characters the tables of Unicode differ
@@ -113,19 +132,26 @@ class Codec:
         return out
 
     def packed(self, texts: list[str]) -> list[bytes]:
+        """``_packed`` without Python's search for cycles: it makes none, and its many lists would set it off."""
+        import gc
+
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._packed(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
         No match reaches over a single space between two other characters: it begins the match after
         it.  So a text is cut before such spaces, and most pieces are already known.
         """
         cut = [pieces_of(text) for text in texts]
-        met = {piece for pieces in cut for piece in pieces}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        new = {piece: self.split(piece) for piece in met if piece not in self.pieces}
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        unknown = list({word for words in new.values() for word in words if word not in self.words})
+        new = {piece: self.split(piece) for piece in self.pieces.missing(set().union(*cut))}
+        unknown = list(self.words.missing(set().union(*new.values())))
         fresh = dict(zip(unknown, self.learn(unknown)))
         kept = {w: p for w, p in fresh.items() if len(w) <= CACHE_CHARS}
         self.words.update(kept)

@@ -51,6 +51,18 @@ def test_bpe_every_code_point_splits_alike(reference_encoder):
     assert [np.frombuffer(p, "<u4").tolist() for p in codec.packed(texts)] == [reference_encoder.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_keeps_common_pieces_among_rare_ones(monkeypatch):
+    own = byte_bpe.Codec(*byte_bpe.vocabulary())
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 50)
+    split, asked = own.split, []
+    monkeypatch.setattr(own, "split", lambda text: asked.append(text) or split(text))
+    texts = [f"x{k}a x{k}b" + "".join(f" r{k}v{i}" for i in range(40)) + " common word" for k in range(20)]
+    packed = [own.packed([text])[0] for text in texts]
+    assert asked.count(" common") == asked.count(" word") == 1
+    assert len(own.pieces) <= 50 + 44 and len(own.pieces.before) <= 50 + 44
+    assert [own.unpacked(p).decode() for p in packed] == texts
+
+
 def test_bpe_operators(spark):
     out = byte_bpe.round_trip(docs(spark, ODD)).collect()
     assert [r.decoded_sha256 for r in out] == [hashlib.sha256((t or "").encode()).hexdigest() for t in ODD]
