@@ -10,7 +10,7 @@ q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2.
 2. The summaries are read again: only pairs of a pack and a block whose bound reaches the k-th score of
    some query of the pack are left.
 3. Those blocks meet the packs.  Each query visits its blocks in the order of its own bounds, skips the rows
-   whose bounds cannot reach its k-th score so far, and stops at the first block that cannot.
+   whose bounds, by a few pivots, cannot reach its k-th score so far, and stops at the first block that cannot.
 
 What is skipped is provably below the k-th score, so the result is exact.  Scores are integers: sums that
 fit a double's 53 bits are computed in doubles, larger ones in 64-bit integers, still larger ones in
@@ -37,6 +37,8 @@ from credence.llm.common import materialize, table, worker_state
 
 SCALE = 64
 PIVOTS = 48
+#: Pivots that bound single rows; blocks are bounded by all.
+ROW_PIVOTS = 4
 #: Rows in a block, blocks that a task meets at once, bytes of rows that a task sorts into blocks at once.
 BLOCK, GROUP_BLOCKS, BUFFER_BYTES = 512, 64, 1 << 22
 #: Summaries in a chunk, packs that meet a chunk at once.
@@ -110,6 +112,14 @@ def _gaps(dist, low, high):
     return np.nan_to_num(gap, nan=0.0)
 
 
+def _telling(dist, rows):
+    """The ROW_PIVOTS pivots to which queries and rows have the most different distances.  Any pivots give true
+    bounds; with all of them the bounds of single rows cost more than their scores."""
+    import numpy as np
+
+    return np.argsort(-np.nan_to_num(np.abs(dist.mean(0) - rows.mean(0))), kind="stable")[:ROW_PIVOTS]
+
+
 def _pack(x) -> bytes:
     """Integers in the smallest type that holds them all, named by the first byte."""
     import numpy as np
@@ -248,11 +258,25 @@ class _Best:
         """Scores (rows ``at`` times candidates) of candidates with ``ids``."""
         import numpy as np
 
-        wide = lambda own, new: np.concatenate([own[at], np.broadcast_to(new, score.shape)], 1)
-        s, i, n, v = wide(self.score, score), wide(self.ids, ids), wide(self.known, known), wide(self.valid, valid)
-        order = np.lexsort([i, ~n, ~s, ~v], axis=1)[:, : self.k]
-        row = np.arange(len(at))[:, None]
-        self.score[at], self.ids[at], self.known[at], self.valid[at] = s[row, order], i[row, order], n[row, order], v[row, order]
+        # What is below the k-th score so far, or below the k-th of these, never enters; equal scores may.
+        least = np.iinfo("i8").min
+        floor = np.where(self.valid[at, -1], self.score[at, -1], least)
+        if score.shape[1] > self.k:
+            own = np.where(valid, score, least)
+            floor = np.maximum(floor, np.partition(own, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k])
+        row, col = np.nonzero(valid & (score >= floor[:, None]))
+        if not len(row):
+            return
+        here, place = np.unique(row, return_inverse=True)
+        at = at[here]
+        old, slot = np.nonzero(self.valid[at])
+        row = np.concatenate([old, place])
+        s, i, n = (np.concatenate([kept[at[old], slot], new]) for kept, new in ((self.score, score[here[place], col]), (self.ids, ids[col]), (self.known, known[col])))
+        order = np.lexsort([i, ~n, ~s, row])
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, rank = (x[rank < self.k] for x in (order, row, rank))
+        self.score[at[row], rank], self.ids[at[row], rank], self.known[at[row], rank], self.valid[at[row], rank] = s[order], i[order], n[order], True
 
 
 def _search(k: int, only_tau: bool):
@@ -288,7 +312,8 @@ def _search(k: int, only_tau: bool):
                     b["x"] = _unpack(b["vectors"], b["n"])
                     b["size"] = (b["x"] ** 2).sum(1)
                     b["d"] = np.frombuffer(b["dist"], "f8").reshape(b["n"], -1)
-                bound = _reach(norm[at][:, None], b["size"][None, :], _gaps(dist[at], b["d"], b["d"]))
+                some = _telling(dist[at], b["d"])
+                bound = _reach(norm[at][:, None], b["size"][None, :], _gaps(dist[at][:, some], b["d"][:, some], b["d"][:, some]))
                 columns = np.flatnonzero((bound >= np.maximum(best.kth(), tau)[at][:, None]).any(0))
                 if len(columns):
                     rows = np.frombuffer(b["rows"], "i8")[columns]

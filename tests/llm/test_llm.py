@@ -431,6 +431,25 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_sorts_only_what_may_enter(monkeypatch):
+    import numpy as np
+
+    rng, k, sort, sorted_rows = np.random.default_rng(3), 5, np.lexsort, []
+    monkeypatch.setattr(np, "lexsort", lambda keys, *a, **b: sorted_rows.append(keys[0].size) or sort(keys, *a, **b))
+    best, parts = topk_search._Best(3, k), [rng.integers(0, 60, (3, 200)) for _ in range(20)]
+    ids, known = rng.permutation(4000).reshape(20, 200), rng.random((20, 200)) < 0.9
+    valid = rng.random((20, 3, 200)) < 0.9
+    for part, i, n, v in zip(parts, ids, known, valid):
+        best.add(np.arange(3), part, i, n, v)
+    for q in range(3):
+        expected = sorted((-s, not n, i) for part, own, there, v in zip(parts, ids, known, valid) for s, n, i, ok in zip(part[q].tolist(), there.tolist(), own.tolist(), v[q]) if ok)[:k]
+        assert [(-s, not n, i) for s, n, i in zip(best.score[q].tolist(), best.known[q].tolist(), best.ids[q].tolist())] == expected
+    assert best.valid.all() and sum(sorted_rows) < 20 * 3 * 200 / 4
+    few = topk_search._Best(2, k)
+    few.add(np.array([1]), np.array([[7, 7, 9]]), np.array([2, 1, 3]), np.ones(3, bool), np.array([[True, True, False]]))
+    assert few.valid.tolist() == [[False] * k, [True, True, *[False] * 3]] and few.ids[1, :2].tolist() == [1, 2]
+
+
 def test_top_k_by_groups_and_blocks(spark, monkeypatch):
     for name, value in (("BLOCK", 16), ("BUFFER_BYTES", 2000), ("CHUNK", 5), ("PACKS", 2), ("GROUP_BLOCKS", 3), ("FIRST", 2)):
         monkeypatch.setattr(topk_search, name, value)
