@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again.
 
 Every stage but the last returns the columns of documents.  A stage begins by dropping the scratch tables
-of the stage before it, whose result has been written by then; other tables stay.
+of the stage before it, whose result has been written by then; other tables stay.  The driver gives the memory of
+earlier queries back before a stage and before its result is written: it runs hundreds, and their plans add up.
 
 Defined cases, for the stages and for ``run``: an empty table gives an empty result, and so does a table
 without labelled rows, since nothing is learned from it; a null text is no language and goes in the first
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
-from credence.llm.common import fresh, live, release_paths, remove, scratch_root, table
+from credence.llm.common import fresh, give_back_driver, live, release_paths, remove, scratch_root, table
 
 #: The scratch tables of the last stage.
 _last: set[str] = set()
@@ -29,9 +30,11 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release_paths(_last)
         _last.clear()
+        give_back_driver(spark)
         there = live()
         out = work(spark, docs, sf_dir)
         _last.update(live() - there)
+        give_back_driver(spark)  # of the queries that it has run; those of the result follow
         return out
 
     return stage

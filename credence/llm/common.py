@@ -9,6 +9,7 @@ import math
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,23 @@ def give_back() -> None:
         pass
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """Free what is no longer referenced in the driver, and give it back to the system: its Python, and its JVM's
+    heap and allocator, which otherwise keep what the planning of earlier queries took."""
+    give_back()
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:  # a JVM may have no such command; the server's own class isn't open to reflection, its interface is
+        of, text = jvm.java.lang.Class.forName, "java.lang.String"
+        kinds = new_array(jvm.java.lang.Class, 4)
+        kinds[0], kinds[1], kinds[2], kinds[3] = of("javax.management.ObjectName"), of(text), of("[Ljava.lang.Object;"), of(f"[L{text};")
+        args = new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
+
+
 #: Rows in one of Spark's Arrow batches; with the default of 10,000 a batch of texts takes over 100 MB, twice while it grows.
 ARROW_ROWS = 500
 

@@ -2,9 +2,9 @@
 
 Subwords are runs of 2 to 4 characters inside words (with a mark at the ends of a word), hashed to
 BUCKETS rows of an embedding.  A text is the mean of its subwords' rows; a linear softmax reads the label.
-Both are trained together by stochastic gradient descent in numpy, on the driver, from a bounded sample:
+Both are trained together by stochastic gradient descent in numpy, in one task, from a bounded sample:
 at most SAMPLE_ROWS rows in all, spread evenly over the labels (at most MOST_LABELS) and picked by a hash of the id, each as a
-whole and as two short passages.  Hashed counts, not texts, come to the driver.  A fifth of the sample is
+whole and as two short passages.  That task gets hashed counts, not texts; the driver gets the two factors.  A fifth of the sample is
 not trained on: there the temperature of the softmax is fitted, and from there comes the score below which
 a text is rejected (at most REJECT_CORRECT of correct validation rows fall below it).
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.llm.common import refuse_clash, small_batches, table, worker_state
+from credence.llm.common import give_back, refuse_clash, small_batches, table, worker_state
 
 BUCKETS = 1 << 15
 WIDTH = 16
@@ -147,13 +147,11 @@ def _softmax(z):
     return p / p.sum(-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, int, bytes, bytes]], seed: int = 7) -> Model:
-    """SGD over the sampled rows; every fifth is for calibration."""
+def train(rows: list[tuple[str, int, bytes, bytes]], seed: int = 7) -> dict:
+    """SGD over the sampled rows, at least one; every fifth is for calibration.  The factors of the model, by name."""
     import numpy as np
 
     labels = sorted({r[0] for r in rows})
-    if not labels:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     data = []
     for label, _, at, n in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):
         w = np.frombuffer(n, "u4").astype("f8")
@@ -185,7 +183,31 @@ def train(rows: list[tuple[str, int, bytes, bytes]], seed: int = 7) -> Model:
     p = _softmax(z / temperature)
     right = p.max(1)[p.argmax(1) == y]
     reject_below = min(0.5, float(np.quantile(right, REJECT_CORRECT))) if len(right) else 0.0
-    return Model(labels, scores, bias, temperature, reject_below)
+    return {"labels": np.array(labels, "U"), "emb": emb, "out": out, "bias": bias, "rest": np.array([temperature, reject_below])}
+
+
+def _trained(batches: Iterator) -> Iterator:
+    """The factors, from all rows of the sample."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(r["label"], r["place"], r["at"], r["n"]) for batch in batches for r in batch.to_pylist()]
+    if rows:
+        out = io.BytesIO()
+        np.savez(out, **train(rows))
+        rows.clear()
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["factors"])
+
+
+def _model(factors: list[bytes]) -> Model:
+    """The model of the factors; without any, one that knows no label."""
+    import numpy as np
+
+    if not factors:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+    with np.load(io.BytesIO(factors[0])) as x:
+        return Model([str(v) for v in x["labels"]], x["emb"] @ x["out"], x["bias"], float(x["rest"][0]), float(x["rest"][1]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -208,8 +230,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
     # At most SAMPLE_ROWS ids: bounded, so they may be broadcast.  A repeated id counts once with a label.
     chosen = picked.select(F.col("id").alias("__id"), F.col("label").alias("__l"))
     sample = rows.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("__id")) & (F.col("label") == F.col("__l")), "left_semi").groupBy("id", "label").agg(F.min("text").alias("text"))
-    found = sample.select("label", "text").mapInArrow(_features, "label string, place int, at binary, n binary").collect()
-    return train([(r["label"], r["place"], bytes(r["at"]), bytes(r["n"])) for r in found])
+    found = sample.select("label", "text").mapInArrow(_features, "label string, place int, at binary, n binary")
+    # The sample is bounded, so one task can train; in the driver it would take memory in the JVM and again in Python.
+    return _model([bytes(r["factors"]) for r in found.repartition(1).mapInArrow(_trained, "factors binary").collect()])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", rejected: str = "rejected") -> DataFrame:

@@ -1,7 +1,9 @@
 """The pipeline on a small table against a brute-force version of its stages."""
 
+import gc
 import random
 import re
+import weakref
 
 import corpus_pipeline
 from credence.llm import byte_bpe, language_id, mixing
@@ -60,3 +62,24 @@ def test_the_schedule_is_in_the_result(spark, tmp_path):
     assert abs(taken - 96 * shares["big"] / sum(shares.values())) <= 1
     without = {r.doc_id: r.position for r in corpus_pipeline.tokens(spark, docs, "").collect()}
     assert without != want and sorted(without.values()) == list(range(600))
+
+
+def test_a_stage_frees_what_earlier_queries_left_in_the_driver(spark):
+    ring = type("Ring", (), {})()
+    ring.own, left = ring, weakref.ref(ring)
+    gc.disable()
+    try:
+        del ring
+        assert left() is not None
+        corpus_pipeline._stage(lambda spark, docs, sf_dir: docs)(spark, spark.range(1), "")
+        assert left() is None
+    finally:
+        gc.enable()
+
+
+def test_the_driver_does_not_train(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "train", None)  # in this process; workers import a module of their own
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(lang, rng, 30), lang, "a", 1) for i in range(60) for lang in [("en", "de", "fr")[i % 3]]], DOC)
+    got = language_id.predict(docs, language_id.fit(docs)).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 57
