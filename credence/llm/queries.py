@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from credence.llm import byte_bpe, collocations, exact_dedup, html_extract, language_id, license_scan, merkle, mixing, ngram_join, sharding, topk_search, url_filter
+from credence.llm import byte_bpe, collocations, exact_dedup, fingerprints, html_extract, language_id, license_scan, merkle, mixing, ngram_join, sharding, topk_search, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": topk_search.op8_exact_topk,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op11_order_minhash": fingerprints.op11_order_minhash,
         "op12_collocations": collocations.op12_collocations,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
