@@ -101,8 +101,9 @@ class Sketcher:
         return (entry >> np.uint64(32)).astype(np.uint32)
 
 
-def written(signature) -> str:
-    return signature.astype(">u4").tobytes().hex()
+def packed(signature) -> bytes:
+    """A fingerprint: the entries in order, most significant byte first."""
+    return signature.astype(">u4").tobytes()
 
 
 def alike(a, b) -> float:
@@ -127,13 +128,13 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint", k
 
         sketch = worker_state(f"fingerprints {kmer} {slots} {picked}", lambda: Sketcher(kmer, slots, picked))
         for batch in batches:
-            prints = [written(sketch.signature(t.as_py() or "")) for t in batch.column(at)]
+            prints = [packed(sketch.signature(t.as_py() or "")).hex() for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StringType())]))
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 #: What a task returns: documents that met their next one, and the first and last one of its range, with their texts.
 WALKED = f"{OUT}, end string, cell int, text string"
 
@@ -149,8 +150,8 @@ def _met(sketch: Sketcher, doc_id: int | None, text: str, own, after: str, follo
     new = edited(text, after)
     changed = own if new == text else sketch.signature(new)
     return {
-        "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(new.encode()).hexdigest(), "fingerprint": written(own),
-        "edited_fingerprint": written(changed), "near_edited": alike(own, changed), "near_next": alike(own, following),
+        "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(new.encode()).digest(), "fingerprint": packed(own),
+        "edited_fingerprint": packed(changed), "near_edited": alike(own, changed), "near_next": alike(own, following),
     }
 
 
@@ -173,7 +174,7 @@ def with_next(docs: DataFrame, kmer: int = KMER, slots: int = SLOTS, picked: int
             for doc_id, text, cell in zip(*batch.columns):
                 now = doc_id.as_py(), text.as_py(), sketcher.signature(text.as_py()), cell.as_py()
                 if last is None:
-                    out.append({"end": "first", "cell": now[3], "text": now[1], "fingerprint": written(now[2])})
+                    out.append({"end": "first", "cell": now[3], "text": now[1]})
                 else:
                     out.append(_met(sketcher, *last[:3], now[1], now[2]))
                 last = now
@@ -196,7 +197,9 @@ def with_next(docs: DataFrame, kmer: int = KMER, slots: int = SLOTS, picked: int
     first = walked.filter("end = 'first'").select(F.col("cell").alias("then"), F.col("text").alias("after"))
     ends = walked.filter("end = 'last'").select("doc_id", "text", "cell").join(around, "cell").join(first, "then")
     closed = ends.select("doc_id", "text", "after").mapInArrow(close, OUT)
-    return walked.filter("end IS NULL").select(*finished.names).unionByName(closed)
+    rows = walked.filter("end IS NULL").select(*finished.names).unionByName(closed)
+    # Digests are half as long in the table between as they are in text.
+    return rows.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in rows.dtypes])
 
 
 def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
