@@ -28,11 +28,23 @@ def match_scope(scope: DataFrame, entities: DataFrame, seis: DataFrame | None =
     return joined.select("locator", "sei", F.col("best.name").alias("qualname"), F.col("best.path").alias("path"), F.col("best.how").alias("how"))
 
 
-def files_to_scan(matched: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path) of the matched files and of all callers of what is in them, since a caller's sink may be
-    reached by what a changed function returns."""
-    start = entities.join(matched.filter("path IS NOT NULL").select("path").distinct(), "path", "left_semi").select(F.col("qualname").alias("node"))
-    return entities.join(reachable(start, edges).select(F.col("node").alias("qualname")), "qualname", "left_semi").select("path").distinct()
+def file_edges(facts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(caller, callee) paths: a file and those with a function that one of its calls may mean.  Files of one module
+    share its names, and hang together by a node of the module's."""
+    refs = facts.select(F.col("path").alias("caller"), F.explode("references").alias("qualname")).join(seeds.select("qualname", F.col("path").alias("callee")).distinct(), "qualname").select("caller", "callee")
+    of = facts.select("path", F.explode("entities.module").alias("module")).filter("module IS NOT NULL").distinct().select("path", F.concat(F.lit("\0"), F.col("module")).alias("node"))
+    shared = of.select(F.col("path").alias("caller"), F.col("node").alias("callee")).unionByName(of.select(F.col("node").alias("caller"), F.col("path").alias("callee")))
+    return refs.unionByName(shared).filter("caller <> callee").distinct()
+
+
+def files_to_scan(matched: DataFrame, edges: DataFrame, callees: bool = False) -> DataFrame:
+    """(path) of the matched files and of all that lead to them along ``edges`` (caller, callee): what their
+    functions are given comes from there.  With ``callees``, also of all that those lead to."""
+    start = matched.filter("path IS NOT NULL").select(F.col("path").alias("node")).distinct()
+    seen = reachable(start, edges)
+    if callees:
+        seen = reachable(seen, edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")))
+    return seen.filter(~F.col("node").startswith("\0")).select(F.col("node").alias("path"))
 
 
 def module_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:

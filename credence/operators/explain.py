@@ -26,7 +26,7 @@ def explain(findings: DataFrame, functions: DataFrame, hops: int = 20) -> DataFr
 
 def declared_entities(functions: DataFrame) -> DataFrame:
     """The trust surface: what declares a boundary, with its declared and actual ranks."""
-    return functions.filter("source <> 'fallback'").select("qualname", "path", "line_start", F.col("ret").alias("declared_rank"), F.col("actual").alias("actual_rank"))
+    return functions.filter("source IN ('anchored', 'config')").select("qualname", "path", "line_start", F.col("ret").alias("declared_rank"), F.col("actual").alias("actual_rank"))
 
 
 def assurance_of(result: dict[str, DataFrame], unanalyzed: int) -> DataFrame:

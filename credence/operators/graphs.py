@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,51 +48,66 @@ def _cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def _mark(df: DataFrame):
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+class Propagated(NamedTuple):
+    """``ranks`` (node, rank, via): the fixed point, and for nodes that rose the callee that it came from;
+    ``changes`` (node, rank, via) of those alone; ``touched``: how many nodes rose in each round."""
 
+    ranks: DataFrame
+    changes: DataFrame
+    touched: list[int]
 
-def propagate(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Least fixed point of rank = max(own floor, callees').
 
-    ``nodes`` (node, rank, anchored, returned): an anchored node keeps its rank and gives ``returned`` to
-    its callers.  ``edges`` (caller, callee).  Each round is one union and one max, so partial aggregation
-    keeps a callee with any number of callers cheap.
+def semi_naive(nodes: DataFrame, edges: DataFrame, clashing: bool = False, rounds: int | None = None) -> Propagated:
+    """Least fixed point of rank = own floor joined with what the callees give, by frontiers.
+
+    ``nodes`` (node, rank, anchored, returned): an anchored node keeps its rank and gives ``returned`` to its
+    callers.  ``edges`` (caller, callee).  A round computes the callers of nodes that rose in the round before, and
+    writes those that rise; nothing else is written.  A caller's callees are folded as the bits of their ranks:
+    their weakest, or with ``clashing`` the provenance join.  ``via`` is the weakest callee, ties to the smaller.
+
+    The number of callers of one callee is not bounded, so the frontier meets the edges by callee, and only
+    distinct callers go on.  Ranks rise, so the rounds end; ``rounds`` bounds them further.
     """
-    fixed = nodes.select("node", "anchored", "rank", F.coalesce("returned", "rank").alias("returned"))
-    n = nodes.count()
-    now = _cut(fixed.select("node", "rank", "anchored", "returned"))
-    e = edges.select("caller", "callee").distinct()
-    for _ in range(rounds or 8 * n + 8):
-        given = now.select(F.col("node").alias("callee"), F.when(F.col("anchored"), F.col("returned")).otherwise(F.col("rank")).alias("rank"))
-        told = e.join(given, "callee").select(F.col("caller").alias("node"), "rank", F.lit(None).cast("boolean").alias("anchored"), F.lit(None).cast("int").alias("returned"))
-        own = now.withColumn("own", F.col("rank"))
-        both = own.unionByName(told.withColumn("own", F.lit(None).cast("int")))
-        folded = both.groupBy("node").agg(F.max("rank").alias("rank"), F.max("anchored").alias("anchored"), F.max("returned").alias("returned"), F.max("own").alias("own")).filter("own IS NOT NULL")
-        after = _cut(folded.select("node", F.when(F.col("anchored"), F.col("own")).otherwise(F.col("rank")).alias("rank"), "anchored", "returned"))
-        if _mark(after.select("node", "rank")) == _mark(now.select("node", "rank")):
-            return after.select("node", "rank")
-        _drop(now)
-        now = after
+    fixed = _cut(nodes.select("node", "rank", "anchored", F.coalesce("returned", "rank").cast("int").alias("returned")))
+    # An anchored caller is told nothing, and an edge to an unknown callee tells nothing.
+    e = _cut(edges.select("caller", "callee").distinct().join(fixed.filter(~F.col("anchored")).select(F.col("node").alias("caller")), "caller", "left_semi").join(fixed.select(F.col("node").alias("callee")), "callee", "left_semi"))
+    none = fixed.limit(0).select("node", "rank", F.col("node").alias("via"))
+    changes, frontier, touched = none, None, []
+    while rounds is None or len(touched) < rounds:
+        now = fixed.join(changes.select(F.col("node").alias("__n"), F.col("rank").alias("__r")), F.col("node") == F.col("__n"), "left")
+        now = now.select("node", F.coalesce("__r", "rank").alias("rank"), F.when(F.col("anchored"), F.col("returned")).otherwise(F.coalesce("__r", "rank")).alias("given"))
+        again = e
+        if frontier is not None:
+            callers = e.join(frontier.select(F.col("node").alias("callee")), "callee", "left_semi").select("caller").distinct()
+            again = e.join(callers, "caller", "left_semi")
+        told = again.join(now.select(F.col("node").alias("callee"), "given"), "callee").groupBy(F.col("caller").alias("node"))
+        told = told.agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("given"))).alias("mask"), F.max("given").alias("worst"), F.min(F.struct((-F.col("given")).alias("k"), F.col("callee").alias("via"))).alias("first"))
+        rank = clash(F.col("mask")) if clashing else F.col("worst")
+        told = told.select("node", rank.cast("int").alias("to"), F.col("first.via").alias("via"))
+        rose = _cut(told.join(now.select("node", "rank"), "node").filter("`to` > rank").select("node", F.col("to").alias("rank"), "via"))
+        count = rose.count()
+        if frontier is not None:
+            _drop(frontier)
+        if not count:
+            _drop(rose)
+            _drop(e)
+            out = fixed.join(changes.select("node", F.col("rank").alias("__r"), "via"), "node", "left").select("node", F.coalesce("__r", "rank").alias("rank"), "via")
+            return Propagated(out, changes, touched)
+        touched.append(count)
+        wider = _cut(changes.join(rose.select("node"), "node", "left_anti").unionByName(rose))
+        _drop(changes)
+        changes, frontier = wider, rose
     raise RuntimeError("the rank of some node still rises at the bound")
 
 
+def propagate(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, rank) of the fixed point in which a node is as weak as its weakest callee."""
+    return semi_naive(nodes, edges, False, rounds).ranks.select("node", "rank")
+
+
 def propagate_clash(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """The same walk under the provenance join: a node's callees are joined, and its rank only rises."""
-    n = nodes.count()
-    now = _cut(nodes.select("node", "rank", "anchored", F.coalesce("returned", "rank").alias("returned")))
-    e = edges.select("caller", "callee").distinct()
-    for _ in range(rounds or 8 * n + 8):
-        given = now.select(F.col("node").alias("callee"), F.when(F.col("anchored"), F.col("returned")).otherwise(F.col("rank")).alias("given"))
-        masks = e.join(given, "callee").groupBy(F.col("caller").alias("node")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("given"))).alias("mask"))
-        joined = now.join(masks, "node", "left")
-        rank = F.when(F.col("anchored") | F.col("mask").isNull(), F.col("rank")).otherwise(F.greatest("rank", clash(F.col("mask"))))
-        after = _cut(joined.select("node", rank.cast("int").alias("rank"), "anchored", "returned"))
-        if _mark(after.select("node", "rank")) == _mark(now.select("node", "rank")):
-            return after.select("node", "rank")
-        _drop(now)
-        now = after
-    raise RuntimeError("the rank of some node still rises at the bound")
+    """The same under the provenance join: a node's callees are joined, and its rank only rises."""
+    return semi_naive(nodes, edges, True, rounds).ranks.select("node", "rank")
 
 
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:

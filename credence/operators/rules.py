@@ -246,7 +246,7 @@ def apply_rules(functions: DataFrame, calls: DataFrame, seeds: DataFrame, rules:
     wanted = selected(rules)
     own = {**BASE, **(severities or {})}
     entities = functions.select("qualname", F.col("body").alias("rank")).distinct()
-    tiers = enclosing_tier(entities, functions.filter("source <> 'fallback'").select("qualname", F.col("body").alias("rank")).distinct())
+    tiers = enclosing_tier(entities, functions.filter("source IN ('anchored', 'config')").select("qualname", F.col("body").alias("rank")).distinct())
     tiers = functions.select("qualname", "path").join(tiers.withColumnRenamed("rank", "tier"), "qualname")
     sinks = tuple(r for r in wanted if r in SINKS)
     plans: dict[str, Callable[[], DataFrame]] = {r: lambda r=r: boundary_rules(functions, own)[r] for r in BOUNDARY_RULES if r in wanted}

@@ -14,15 +14,19 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Mapping
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions.identity import fingerprint, glob_pattern, module_name
-from credence.functions.lattice import RANK
-from credence.operators.graphs import _cut, _drop
-from credence.operators.findings import ENGINE_PATH, duplicate_names, fingerprint_collisions, low_resolution, unused_directives
+from credence.functions.lattice import RANK, provenance_clash
+from credence.operators.delta import delta_report, file_edges, files_to_scan, match_scope
+from credence.operators.graphs import _cut, _drop, semi_naive
+from credence.operators.findings import ENGINE_PATH, delta_relabel, display_filter, duplicate_names, fingerprint_collisions, low_resolution, unused_directives
 from credence.operators.rules import EXTRA, RULES, apply_rules, selected
+from credence.sources.cache import cache_key, policy_hash, signed, verified
+from credence.sources.discovery import in_project, missing_roots
 from credence.sources.python_code import MARKER_MODULES, flow_rows, module_of, parsed
 
 BATCH_ROWS = 64
@@ -37,7 +41,8 @@ ENTITY = (
 FACTS = f"path string, status string, message string, references array<string>, imports array<string>, entities array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in ENTITY.split(', '))}>>"
 SLOT = "struct<key:string,rank:int,guarded:boolean,constant_text:boolean>"
 CALL = f"struct<line:int,span:string,fqn:string,dotted:string,attr:string,receiver:string,receiver_type:string,callee:string,slots:array<{SLOT}>,built:array<{SLOT}>,star:boolean,literal:array<string>,stored:boolean>"
-FLOW = f"path string, qualname string, status string, ret int, ret_callee string, calls array<{CALL}>, meets array<struct<callee:string,param:string,rank:int>>, stored_returns array<struct<line:int,span:string>>"
+MEETS = "array<struct<callee:string,param:string,rank:int>>"
+FLOW = f"path string, qualname string, status string, ret int, ret_callee string, calls array<{CALL}>, meets {MEETS}, stored_returns array<struct<line:int,span:string>>"
 
 
 def _arrow(schema: str):
@@ -66,7 +71,7 @@ def extract(files: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES)
                         rows.append({"path": r["path"], "status": "skipped", "message": "nested too deeply", "references": [], "imports": [], "entities": []})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "source").mapInArrow(run, FACTS)
+    return spread(files.select("path", "source")).mapInArrow(run, FACTS)
 
 
 def seed(entities: DataFrame, untrusted: tuple[str, ...] = ()) -> DataFrame:
@@ -83,34 +88,76 @@ def seed(entities: DataFrame, untrusted: tuple[str, ...] = ()) -> DataFrame:
     return folded.select("qualname", "path", own("body").alias("body"), own("ret").alias("ret"), source.alias("source"), "params")
 
 
-def merged(seeds: DataFrame) -> DataFrame:
-    """One set of ranks for each name: functions of the same name in several files meet in the weaker rank,
-    and count as undeclared where they are declared in different ways."""
+def _joined(rank, clash: bool):
+    """Aggregate: what a value is that is made of all of these ranks."""
+    return (provenance_clash(rank) if clash else F.max(rank)).cast("int")
+
+
+def merged(seeds: DataFrame, clash: bool = False) -> DataFrame:
+    """One set of ranks for each name: functions of the same name in several files meet, and count as
+    undeclared where they are declared in different ways."""
     kinds = F.count_distinct("source")
-    whole = seeds.groupBy("qualname").agg(F.max("body").alias("body"), F.max("ret").alias("ret"), F.when(kinds == 1, F.min("source")).otherwise("fallback").alias("source"), F.min_by("params", "path").alias("params"))
-    return seeds.select("path", "qualname").distinct().join(whole, "qualname").select("qualname", "path", "body", "ret", "source", "params")
+    whole = seeds.groupBy("qualname").agg(_joined(F.col("body"), clash).alias("body"), _joined(F.col("ret"), clash).alias("ret"), F.when(kinds == 1, F.min("source")).otherwise("fallback").alias("source"), F.min_by("params", "path").alias("params"))
+    return seeds.select("path", "qualname").distinct().join(whole, "qualname").select("qualname", "path", "body", "ret", "source", "params", F.lit(None).cast("string").alias("via"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal files over all cores by name: a few bytes of source are much work, so neither the sizes of the stored files
+    nor those after a join say how many tasks there should be."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
+
+
+def environment(facts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(path, seeds, env) of each file: the seeds of its own functions and of those that its calls may mean, and
+    a digest of them."""
+    own = seeds.select("path", "qualname", "body", "ret", "params")
+    refs = facts.select("path", F.explode("references").alias("qualname")).join(own.drop("path"), "qualname").select(own.columns)
+    rows = refs.unionByName(own).groupBy("path", "qualname").agg(F.max(F.struct("body", "ret", "params")).alias("s"))
+    env = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("qualname", "s.body", "s.ret", "s.params"))).alias("seeds"))
+    return env.withColumn("env", F.sha2(F.to_json("seeds"), 256))
+
+
+class Flows(NamedTuple):
+    """``rows``: a row per function; ``settled``: whether the rounds reached the fixed point; ``seeds``: the seeds
+    that held at the end; ``met`` (path, met): a digest of what each file was told, ``env`` (path, env) of what
+    its calls mean; ``ran`` (path, round): which files were run, and when."""
+
+    rows: DataFrame
+    settled: bool
+    seeds: DataFrame
+    met: DataFrame
+    env: DataFrame
+    ran: DataFrame
+    scratch: list[DataFrame]
 
 
 def flow(
-    files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES, rounds: int | None = None, configured: Mapping[str, int] | None = None
-) -> tuple[DataFrame, bool]:
-    """Return ranks and argument ranks of every function, and whether the rounds reached the fixed point.
+    files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES, rounds: int | None = None, configured: Mapping[str, int] | None = None, clash: bool = False, held: DataFrame | None = None
+) -> Flows:
+    """Return ranks and argument ranks of every function of ``files``.
 
     Known ranks only rise, so the default bound - as often as all parameters can rise, and one more - is
     enough.  Past a bound, what any function returns is UNKNOWN_RAW at least, of no known callee.
+
+    ``held`` (path, env, met, flows): what an earlier scan found in files that haven't changed.  A row counts if
+    the file's calls still mean the same, and if the rows that count tell it the same: rows that don't are left
+    out until that holds.  Only the other files are run, and those that they tell more.
+
+    ``clash``: values of different provenance are mixed, and so is a function without a declaration whose
+    callees differ: their ranks are found on the call graph, and the files that they matter to run again.
     """
     if rounds is None:
         cells = seeds.agg(F.sum(F.greatest(F.size("params"), F.lit(0)))).first()[0]
         rounds = RISES * max(1, cells or 0) + 1
-    refs = facts.select("path", F.explode("references").alias("qualname")).join(seeds.select("qualname", "body", "ret", "params"), "qualname")
-    own = seeds.select("path", "qualname", "body", "ret", "params")
-    env = refs.select("path", "qualname", "body", "ret", "params").unionByName(own).distinct().groupBy("path").agg(F.collect_list(F.struct("qualname", "body", "ret", "params")).alias("seeds"))
-    ready = files.select("path", "source").join(facts.filter("status = 'ok'").select("path"), "path", "left_semi").join(env, "path", "left")
+    env = _cut(environment(facts, seeds))
+    sources = files.select("path", "source").join(facts.filter("status = 'ok'").select("path"), "path", "left_semi")
     # Where a fact counts, and from which rank on: functions; attributes of a class and names of a module
     # from the strongest function that can read them.
     entities = facts.select(F.explode("entities").alias("e")).select("e.path", "e.qualname", "e.owner", "e.module").join(seeds.select("path", "qualname", "body"), ["path", "qualname"])
-    held = [entities.filter(F.col(c).isNotNull()).groupBy(F.concat(F.col(c), F.lit("#")).alias("callee"), "path").agg(F.min("body").alias("body")) for c in ("owner", "module")]
-    targets = _cut(reduce(DataFrame.unionByName, held, seeds.select(F.col("qualname").alias("callee"), "path", "body")))
+    owners = [entities.filter(F.col(c).isNotNull()).groupBy(F.concat(F.col(c), F.lit("#")).alias("callee"), "path").agg(F.min("body").alias("body")) for c in ("owner", "module")]
+    own = seeds.join(facts.select("path").distinct(), "path", "left_semi").select(F.col("qualname").alias("callee"), "path", "body")
+    targets = _cut(reduce(DataFrame.unionByName, owners, own))
 
     schema = _arrow(FLOW)
     library = dict(configured or {})
@@ -129,43 +176,89 @@ def flow(
                     meets: dict[str, dict[str, int]] = {}
                     for m in r["meets"] or []:
                         meets.setdefault(m["callee"], {})[m["param"]] = m["rank"]
-                    out += flow_rows(src, seeds_, meets, library)
+                    out += flow_rows(src, seeds_, meets, library, clash)
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    none = F.array().cast("array<struct<callee:string,param:string,rank:int>>")
-    #: What each round gave, for the files that it ran.
-    given = [_cut(ready.withColumn("meets", none).select("path", "source", "seeds", "meets").mapInArrow(run, FLOW))]
-    known, settled = None, False
+    def told_by(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode("meets").alias("m")).select("m.*")
+
+    def folded(told: DataFrame) -> DataFrame:
+        return told.groupBy("callee", "param").agg(_joined(F.col("rank"), clash).alias("rank"))
+
+    def by_path(told: DataFrame) -> DataFrame:
+        """(path, meets, met): what each file is told, and its digest."""
+        at = told.join(targets.select("callee", "path"), "callee").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("callee", "param", "rank"))).alias("meets"))
+        return at.withColumn("met", F.sha2(F.to_json("meets"), 256))
+
+    def ran(paths: DataFrame | None, known: DataFrame | None) -> DataFrame:
+        """The flow of some files, told what is known."""
+        todo = sources if paths is None else sources.join(paths, "path", "left_semi")
+        todo = todo.join(env.select("path", "seeds"), "path", "left")
+        todo = todo.withColumn("meets", F.lit(None).cast(MEETS)) if known is None else todo.join(by_path(known).select("path", "meets"), "path", "left")
+        return _cut(spread(todo.select("path", "source", "seeds", "meets")).mapInArrow(run, FLOW))
+
+    known, good = None, None
+    if held is not None:
+        good = _cut(held.join(sources.select("path"), "path", "left_semi").join(env.select("path", "env"), ["path", "env"], "left_semi"))
+        while True:
+            known = _cut(folded(told_by(good.select(F.explode("flows").alias("f")).select("f.*"))))
+            now = by_path(known).select("path", F.col("met").alias("now"))
+            still = _cut(good.join(now, "path", "left").filter(F.col("met").eqNullSafe(F.col("now"))).drop("now"))
+            same = still.count() == good.count()
+            _drop(good)
+            good = still
+            if same:
+                break
+            _drop(known)
+    # What each round gave, for the files that it ran.
+    todo = None if good is None else sources.select("path").join(good.select("path"), "path", "left_anti")
+    given = [ran(todo, known)]
+    if clash:
+        every = given[0] if good is None else given[0].unionByName(good.select(F.explode("flows").alias("f")).select("f.*"))
+        edges = every.select(F.col("qualname").alias("caller"), F.explode("calls.callee").alias("callee")).filter("callee IS NOT NULL")
+        nodes = seeds.select(F.col("qualname").alias("node"), F.col("body").alias("rank"), F.col("source").isin("anchored", "config").alias("anchored"), F.col("ret").alias("returned")).distinct()
+        rose = semi_naive(nodes, edges, clashing=True).changes.select(F.col("node").alias("qualname"), F.col("rank").alias("to"), F.col("via").alias("by"))
+        to = lambda c, new: F.coalesce(F.col(new), F.col(c)).alias(c)
+        seeds = _cut(seeds.join(rose, "qualname", "left").select("qualname", "path", to("body", "to"), to("ret", "to"), F.when(F.col("to").isNotNull(), "callgraph").otherwise(F.col("source")).alias("source"), "params", to("via", "by")))
+        before, env = env, _cut(environment(facts, seeds))
+        given.append(ran(env.join(before.select("path", "env"), ["path", "env"], "left_anti").select("path"), known))
+        _drop(before)
+    settled, first = False, True
     for done in range(rounds + 1):
-        told = given[-1].select(F.explode("meets").alias("m")).select("m.*")
-        told = told if known is None else told.unionByName(known)
-        told = _cut(told.groupBy("callee", "param").agg(F.max("rank").alias("rank")))
+        told = told_by(reduce(DataFrame.unionByName, given if first else given[-1:]))
+        told = _cut(folded(told if known is None else told.unionByName(known)))
         fresh = told if known is None else told.join(known, ["callee", "param", "rank"], "left_anti")
-        dirty = _cut(fresh.join(targets, "callee").filter("rank > body").select("path").distinct())
+        weaker = F.col("rank") != F.col("body") if clash else F.col("rank") > F.col("body")
+        dirty = _cut(fresh.join(targets, "callee").filter(weaker).select("path").distinct())
         if known is not None:
             _drop(known)
-        known = told
+        known, first = told, False
         if not dirty.limit(1).count():
             settled = True
         if settled or done == rounds:
             _drop(dirty)
             break
-        here = known.join(targets, "callee").join(dirty, "path", "left_semi").groupBy("path").agg(F.collect_list(F.struct("callee", "param", "rank")).alias("meets"))
-        given.append(_cut(ready.join(dirty, "path", "left_semi").join(here, "path", "left").select("path", "source", "seeds", "meets").mapInArrow(run, FLOW)))
+        given.append(ran(dirty, known))
         _drop(dirty)
+    met = _cut(by_path(known).select("path", "met"))
     _drop(known)
     _drop(targets)
+    every = reduce(DataFrame.unionByName, [g.withColumn("round", F.lit(k)) for k, g in enumerate(given)])
+    told_when = _cut(every.select("path", "round").distinct())
     out = given[0]
     if len(given) > 1:  # of each file, the last round that ran it
-        every = reduce(DataFrame.unionByName, [g.withColumn("round", F.lit(k)) for k, g in enumerate(given)])
-        last = every.groupBy("path").agg(F.max("round").alias("round"))
+        last = told_when.groupBy("path").agg(F.max("round").alias("round"))
         out = _cut(every.join(last, ["path", "round"]).drop("round"))
         for g in given:
             _drop(g)
-    if settled:
-        return out, True
-    ret = F.when(F.col("ret").isNotNull(), F.greatest("ret", F.lit(RANK["UNKNOWN_RAW"]))).cast("int")
-    return out.withColumn("ret", ret).withColumn("ret_callee", F.lit(None).cast("string")), False
+    scratch = [out, met, env, told_when]
+    if good is not None:
+        out = good.join(told_when.select("path"), "path", "left_anti").select(F.explode("flows").alias("f")).select("f.*").unionByName(out)
+        scratch.append(good)
+    if not settled:
+        ret = F.when(F.col("ret").isNotNull(), F.greatest("ret", F.lit(RANK["UNKNOWN_RAW"]))).cast("int")
+        out = out.withColumn("ret", ret).withColumn("ret_callee", F.lit(None).cast("string"))
+    return Flows(out, settled, seeds, met, env.select("path", "env"), told_when, scratch)
 
 
 def policy(settings: Mapping) -> tuple[tuple[str, ...] | None, dict[str, str], list[tuple[str, str, str]]]:
@@ -195,50 +288,123 @@ def policy(settings: Mapping) -> tuple[tuple[str, ...] | None, dict[str, str], l
 
 
 def scan(
-    files: DataFrame, untrusted: tuple[str, ...] = (), marker_modules: tuple[str, ...] = MARKER_MODULES, rules: tuple[str, ...] | None = None, settings: Mapping | None = None, diagnose: bool = True
-) -> dict[str, DataFrame]:
+    files: DataFrame, untrusted: tuple[str, ...] = (), marker_modules: tuple[str, ...] = MARKER_MODULES, rules: tuple[str, ...] | None = None, settings: Mapping | None = None, diagnose: bool = True,
+    cached: DataFrame | None = None, secret: bytes | None = None, scope: DataFrame | None = None, seis: DataFrame | None = None, changed: DataFrame | None = None, since: str = "",
+) -> dict[str, DataFrame]:
     """findings, functions, calls and facts of a project given as (path, source).
 
-    ``rules``: patterns of rule ids.  ``settings``: what ``credence.sources.stores.config`` reads; its
-    excluded paths, sources, sanitisers, rule patterns and severities are applied.  ``diagnose``: whether the
-    findings about the project and the settings are wanted beside those of rules, files and functions.
+    ``rules``: patterns of rule ids.  ``settings``: what ``credence.sources.stores.config`` reads; its roots,
+    excluded paths, sources, sanitisers, provenance join, rule patterns and severities are applied.  ``diagnose``:
+    whether the findings about the project and the settings are wanted beside those of rules, files and functions.
+
+    With a ``secret`` the result has ``cache``, a table to keep, each row with a MAC.  Given back as ``cached``, its
+    rows stand for the files that haven't changed; only the others, and those that they bear on, are parsed.
+
+    ``scope`` (locator, sei; ``seis`` as in ``match_scope``): only the named entities are wanted.  Then the files
+    that hold them and all that lead there are run, findings are those on the entities, and ``report`` has a row on how
+    far they go; a scope that names nothing known means a full scan.  ``changed`` (path) with a scope: active defects of
+    the scope outside these files and entities are relabelled as of ``since``.
+
+    ``work`` (path, step) lists the files that were parsed for facts (step -1) and run in each round.
     """
     settings = settings or {}
-    for pattern in settings.get("exclude", ()):
-        files = files.filter(~F.col("path").rlike(glob_pattern(pattern)))
+    scratch: list[DataFrame] = []
+    try:
+        return _scan(files, untrusted, marker_modules, rules, settings, diagnose, cached, secret, scope, seis, changed, since, scratch)
+    except BaseException:
+        for df in scratch:
+            _drop(df)
+        raise
+
+
+def _scan(files, untrusted, marker_modules, rules, settings, diagnose, cached, secret, scope, seis, changed, since, scratch) -> dict[str, DataFrame]:
+    keep = lambda df: scratch.append(df) or df
+    whole, roots = files, tuple(settings.get("source_roots", ())) or (".",)
+    files = in_project(files, roots, tuple(settings.get("exclude", ())))
     # Markers mean the installed package: a project that has a module of that name defines none of them.
-    roots = [m.partition(".")[0] for m in marker_modules]
-    own = {r["root"] for r in files.select(F.substring_index(module_name(F.col("path")), ".", 1).alias("root")).filter(F.col("root").isin(*roots)).distinct().collect()}
+    tops = [m.partition(".")[0] for m in marker_modules]
+    own = {r["root"] for r in files.select(F.substring_index(module_name(F.col("path")), ".", 1).alias("root")).filter(F.col("root").isin(*tops)).distinct().collect()}
     marker_modules = tuple(m for m in marker_modules if m.partition(".")[0] not in own)
     patterns, severities, wrong = policy(settings)
+    clash = bool(settings.get("provenance_clash", False))
     sources, sanitisers = (tuple(settings.get(k, ())) for k in ("untrusted_sources", "sanitisers"))
     configured = {**dict.fromkeys(sanitisers, RANK["ASSURED"]), **dict.fromkeys(sources, RANK["EXTERNAL_RAW"])}
-    facts = _cut(extract(files, marker_modules))
+    held, todo = None, files
+    if secret is not None:
+        rule = policy_hash({"untrusted": sorted((*untrusted, *sources)), "sanitisers": sorted(sanitisers), "markers": sorted(marker_modules), "clash": clash})
+        files = files.withColumn("cache_key", cache_key(F.col("path"), F.col("source"), rule))
+        todo = files
+        if cached is not None:
+            keys = keep(_cut(verified(cached, secret).select("cache_key", "path").join(files.select("cache_key", "path"), ["cache_key", "path"], "left_semi")))
+            held = cached.join(keys, ["cache_key", "path"], "left_semi")
+            todo = files.join(keys.select("path"), "path", "left_anti")
+    facts = keep(_cut(extract(todo, marker_modules)))
+    work = facts.select("path", F.lit(-1).alias("step"))
+    if held is not None:
+        facts = facts.unionByName(held.select("facts.*"))
     entities = facts.select(F.explode("entities").alias("e")).select("e.*")
-    seeds = _cut(merged(seed(entities, (*untrusted, *sources))))
-    flows, settled = flow(files, facts, seeds, marker_modules, configured=configured)
-    functions = entities.join(seeds.select("qualname", "path", "body", "ret", "source"), ["qualname", "path"]).join(
+    seeds = keep(_cut(merged(seed(entities, (*untrusted, *sources)), clash)))
+    matched, mode = None, None
+    if scope is not None:
+        matched = keep(_cut(match_scope(scope, entities, seis)))
+        mode = matched.filter("path IS NOT NULL").limit(1).count() > 0
+    part, some = files, facts
+    if mode:
+        paths = keep(_cut(files_to_scan(matched, file_edges(facts, seeds), callees=clash)))
+        part, some = files.join(paths, "path", "left_semi"), facts.join(paths, "path", "left_semi")
+        entities = entities.join(paths, "path", "left_semi")
+    done = flow(part, some, seeds, marker_modules, configured=configured, clash=clash, held=None if held is None else held.filter("flows IS NOT NULL").select("path", "env", "met", "flows"))
+    flows, settled = done.rows, done.settled
+    scratch += [*done.scratch, done.seeds]
+    seeds = done.seeds
+    functions = entities.join(seeds.select("qualname", "path", "body", "ret", "source", "via"), ["qualname", "path"]).join(
         flows.select("qualname", "path", "status", F.col("ret").alias("actual"), "ret_callee", "stored_returns"), ["qualname", "path"], "left"
     )
-    functions = _cut(functions)
+    functions = keep(_cut(functions))
     calls = flows.select("path", "qualname", F.explode("calls").alias("c")).select("path", "qualname", "c.*")
     found, failed = apply_rules(functions, calls, seeds, rules if rules is not None else patterns, severities)
-    about = diagnostics(facts, flows, settled)
+    about = diagnostics(some, flows, settled)
+    out = {"functions": functions, "calls": calls, "facts": facts, "work": work.unionByName(done.ran.select("path", F.col("round").alias("step"))), "scratch": scratch}
+    if secret is not None:
+        rows = flows.groupBy("path").agg(F.collect_list(F.struct(*[f.name for f in flows.schema.fields])).alias("flows"))
+        # Files without functions have no flows, and files out of scope none that could be kept.
+        ok = facts.join(files.select("path", "cache_key"), "path").select("cache_key", "path", F.struct(*facts.columns).alias("facts"))
+        ok = ok.join(done.env, "path", "left").join(done.met, "path", "left").join(rows, "path", "left")
+        covered = F.lit(settled) & (F.col("facts.status") == "ok") & (F.col("env").isNotNull())
+        out["cache"] = signed(ok.withColumn("flows", F.when(covered, F.coalesce("flows", F.array().cast(flows_type(flows))))), secret)
     if not diagnose:
-        return {"findings": about if found is None else found.unionByName(about), "functions": functions, "calls": calls, "facts": facts, "scratch": [functions, flows, seeds, facts]}
-    about = about.unionByName(project_diagnostics(facts, entities, functions, calls, marker_modules))
+        return _scoped(out, about if found is None else found.unionByName(about), matched, mode, whole, part, changed, since)
+    about = about.unionByName(project_diagnostics(some, entities, functions, calls, marker_modules))
     told = [("WLN-ENGINE-POLICY-CONFIG", text, "ERROR", "defect", ENGINE_PATH, key, {"reason": reason}) for text, reason, key in wrong]
     told += [("WLN-ENGINE-RULE-FAILED", f"rule {r} aborted ({why})", "ERROR", "defect", ENGINE_PATH, r, {"rule": r}) for r, why in failed.items()]
     about = about.unionByName(_told(facts, told))
+    if "source_roots" in settings:
+        about = about.unionByName(lost_roots(whole, roots))
     if configured:
         about = about.unionByName(unused_settings(facts, sources, sanitisers))
-    every = _cut(about if found is None else found.unionByName(about))
+    every = keep(_cut(about if found is None else found.unionByName(about)))
     twice = fingerprint_collisions(every.withColumn("properties", F.to_json("properties"))).select("fingerprint", "members")
     rule = F.lit("WLN-ENGINE-FINGERPRINT-COLLISION")
     clashes = twice.select(
         *_columns(rule, F.concat(F.col("members").cast("string"), F.lit(" findings share a fingerprint")), "ERROR", "defect", F.lit(ENGINE_PATH), F.lit(None), F.lit(None).cast("string"), F.col("fingerprint"), F.create_map(F.lit("fingerprint"), F.col("fingerprint")))
     )
-    return {"findings": every.unionByName(clashes), "functions": functions, "calls": calls, "facts": facts, "scratch": [every, functions, flows, seeds, facts]}
+    return _scoped(out, every.unionByName(clashes), matched, mode, whole, part, changed, since)
+
+
+def flows_type(flows: DataFrame) -> str:
+    return f"array<{flows.schema.simpleString()}>"
+
+
+def _scoped(out: dict, findings: DataFrame, matched: DataFrame | None, mode: bool | None, files: DataFrame, part: DataFrame, changed: DataFrame | None, since: str) -> dict:
+    """The result of a scan: all its findings, or those of its scope with a report."""
+    if matched is not None:
+        named = matched.filter("path IS NOT NULL")
+        if mode:
+            findings = display_filter(findings, named.select("qualname"), named.select("path"))
+        if changed is not None:
+            findings = delta_relabel(findings, changed, named.select("qualname"), since)
+        out |= {"scope": matched, "report": delta_report(matched, files.select("path"), part.select("path"), findings)}
+    return {"findings": findings, **out}
 
 
 def finish(out: Mapping) -> None:
@@ -262,6 +428,12 @@ def _told(facts: DataFrame, rows: list[tuple]) -> DataFrame:
     return out.withColumn("severity", F.col("__severity")).withColumn("kind", F.col("__kind")).drop("__severity", "__kind")
 
 
+def lost_roots(files: DataFrame, roots: tuple[str, ...]) -> DataFrame:
+    """A fact for each configured root below which there is nothing."""
+    root = F.col("root")
+    return missing_roots(files, roots).select(*_columns(F.lit("WLN-ENGINE-SOURCE-ROOT-MISSING"), F.concat(F.lit("source root "), root, F.lit(" holds no file")), "NONE", "fact", root, F.lit(None), F.lit(None).cast("string"), root, F.create_map(F.lit("root"), root)))
+
+
 def unused_settings(facts: DataFrame, sources: tuple[str, ...], sanitisers: tuple[str, ...]) -> DataFrame:
     """A fact for each configured name that no call of the project may mean."""
     rows = [("WLN-CONFIG-UNUSED-SOURCE", "source", s) for s in sources] + [("WLN-CONFIG-UNUSED-SANITISER", "sanitiser", s) for s in sanitisers]

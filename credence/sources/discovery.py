@@ -20,21 +20,26 @@ def _below(root: str):
     return F.lit(True) if root in ("", ".") else (F.col("path") == root) | F.col("path").startswith(f"{root}/")
 
 
-def discovered(files: DataFrame, roots: tuple[str, ...] = (".",), excluded: tuple[str, ...] = (), suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
-    """The files below ``roots`` with one of ``suffixes``, each path once, without those in skipped
-    directories or build output and those that an ``excluded`` glob matches.  ``path`` is relative."""
+def in_project(files: DataFrame, roots: tuple[str, ...] = (".",), excluded: tuple[str, ...] = ()) -> DataFrame:
+    """The files below ``roots``, without those in skipped directories or build output and those that an
+    ``excluded`` glob matches.  ``path`` is relative."""
     dirs = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1))
     wanted = F.lit(False)
     for root in roots:
         wanted = wanted | _below(root)
+    kept = files.filter(wanted & ~F.arrays_overlap(dirs, F.array(*map(F.lit, SKIP_DIRS)))).filter(~F.coalesce(top.isin(*ROOT_BUILD) | top.endswith(".egg-info"), F.lit(False)))
+    for glob in excluded:
+        kept = kept.filter(~F.col("path").rlike(glob_pattern(glob)))
+    return kept
+
+
+def discovered(files: DataFrame, roots: tuple[str, ...] = (".",), excluded: tuple[str, ...] = (), suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+    """The files of the project with one of ``suffixes``, each path once."""
     named = F.lit(False)
     for s in suffixes:
         named = named | F.col("path").endswith(s)
-    kept = files.filter(wanted & named & ~F.arrays_overlap(dirs, F.array(*map(F.lit, SKIP_DIRS)))).filter(~F.coalesce(top.isin(*ROOT_BUILD) | top.endswith(".egg-info"), F.lit(False)))
-    for glob in excluded:
-        kept = kept.filter(~F.col("path").rlike(glob_pattern(glob)))
-    return kept.dropDuplicates(["path"])
+    return in_project(files.filter(named), roots, excluded).dropDuplicates(["path"])
 
 
 def missing_roots(files: DataFrame, roots: tuple[str, ...]) -> DataFrame:
