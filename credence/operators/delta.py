@@ -28,10 +28,14 @@ def match_scope(scope: DataFrame, entities: DataFrame, seis: DataFrame | None =
     return joined.select("locator", "sei", F.col("best.name").alias("qualname"), F.col("best.path").alias("path"), F.col("best.how").alias("how"))
 
 
-def file_edges(facts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(caller, callee) paths: a file and those with a function that one of its calls may mean.  Files of one module
+def file_edges(facts: DataFrame, seeds: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """(caller, callee) paths: a file and those with a function that one of its calls may mean, by its own name or
+    one bound to it (``means``: name, qualname).  Files of one module
     share its names, and hang together by a node of the module's."""
-    refs = facts.select(F.col("path").alias("caller"), F.explode("references").alias("qualname")).join(seeds.select("qualname", F.col("path").alias("callee")).distinct(), "qualname").select("caller", "callee")
+    names = facts.select(F.col("path").alias("caller"), F.explode("references").alias("qualname"))
+    if means is not None:
+        names = names.unionByName(names.withColumnRenamed("qualname", "name").join(means, "name").select("caller", "qualname"))
+    refs = names.join(seeds.select("qualname", F.col("path").alias("callee")).distinct(), "qualname").select("caller", "callee")
     of = facts.select("path", F.explode("entities.module").alias("module")).filter("module IS NOT NULL").distinct().select("path", F.concat(F.lit("\0"), F.col("module")).alias("node"))
     shared = of.select(F.col("path").alias("caller"), F.col("node").alias("callee")).unionByName(of.select(F.col("node").alias("caller"), F.col("path").alias("callee")))
     return refs.unionByName(shared).filter("caller <> callee").distinct()

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from credence.functions import identity, lattice
 from credence.operators import findings as fo
-from credence.operators import delta, graphs
+from credence.operators import delta, graphs, ordered
+from credence.operators.graphs import _cut
 from credence.sources import discovery as source_discovery
+from credence.sources import sinks
 
 TODAY = "1996-01-01"
 
@@ -450,3 +452,33 @@ def module_reachability(spark, sf_dir):
     p, edges = _part_edges(spark, sf_dir)
     entities = p.select(F.col("p_partkey").alias("qualname"), F.concat(F.lit("k"), F.floor(F.col("p_partkey") / 4).cast("string")).alias("module"))
     return graphs.reachable(spark.createDataFrame([("k0",)], "node string"), delta.module_edges(edges, entities))
+
+
+@query(f"""WITH {FINDINGS_SQL}, kept AS (SELECT * FROM f WHERE kind <> 'metric'), r AS (SELECT rule_id, row_number() OVER (ORDER BY min(k)) - 1 AS rule_index FROM kept GROUP BY 1)
+SELECT row_number() OVER (ORDER BY k) AS line, '{{"ruleId":"' || rule_id || '","ruleIndex":' || rule_index || ',"level":"' || CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'ERROR' THEN 'error' WHEN 'WARN' THEN 'warning' WHEN 'INFO' THEN 'note' ELSE 'none' END
+|| '","partialFingerprints":{{"v2":"' || fingerprint || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || path || '"}},"region":{{"startLine":' || line_start || '}}}}}}]}}' AS result FROM kept JOIN r USING (rule_id)""")
+def sarif_document_lines(spark, sf_dir):
+    """The results of a SARIF document in its order, as the executors write them."""
+    lines = ordered.numbered(_cut(sinks.sarif_lines(_findings(spark, sf_dir))), [F.col("ordinal")], "line")
+    return lines.filter(F.col("value").startswith('{"ruleId"') | F.col("value").startswith(",")).select("line", F.regexp_replace("value", "^,", "").alias("result"))
+
+
+@query(f"WITH {FINDINGS_SQL} SELECT fingerprint, false AS valid, true AS valid_before FROM f WHERE k % 50 = 7")
+def signed_findings(spark, sf_dir):
+    """All findings in one signed table; of a copy in which some were changed, the rows that don't match."""
+    rows = _findings(spark, sf_dir).select("ordinal", "rule_id", "path", "line_start", "qualname", "severity", "fingerprint")
+    kept, signature = sinks.signed_rows(rows, ["ordinal"], b"a key of the query's own")
+    before, _ = sinks.verify_rows(kept, signature, b"a key of the query's own")
+    forged = kept.withColumn("severity", F.when(F.col("ordinal") % 50 == 7, "NOTHING").otherwise(F.col("severity")))
+    valid, changed = sinks.verify_rows(forged, signature, b"a key of the query's own")
+    return changed.select("fingerprint", F.lit(valid).alias("valid"), F.lit(before).alias("valid_before"))
+
+
+@query(f"""WITH {FINDINGS_SQL}, s AS (SELECT fingerprint, sum(length(qualname) + length(path) + 4 * length(rule_id)) OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'ERROR' THEN 1 WHEN 'WARN' THEN 2 WHEN 'INFO' THEN 3 ELSE 99 END, path, line_start, rule_id, fingerprint)::BIGINT AS spent,
+  (SELECT sum(length(qualname) + length(path) + 4 * length(rule_id)) FROM f) // 3 AS budget FROM f) SELECT fingerprint, spent FROM s WHERE spent <= budget""")
+def token_budget_trim(spark, sf_dir):
+    """The findings that fit into a third of what all of them cost, in display order."""
+    f = _findings(spark, sf_dir)
+    cost = (F.length("qualname") + F.length("path") + 4 * F.length("rule_id")).cast("long")
+    budget = f.agg(F.sum(cost)).first()[0] // 3
+    return ordered.within_budget(f, fo.display_order(), cost, budget).select("fingerprint", "spent")

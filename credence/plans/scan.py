@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from credence.functions.identity import fingerprint, glob_pattern, module_name
 from credence.functions.lattice import RANK, provenance_clash
+from credence.operators.bindings import injected as injected_params
+from credence.operators.bindings import meanings, model_closure, project_aliases, request_bodies
 from credence.operators.delta import delta_report, file_edges, files_to_scan, match_scope
 from credence.operators.graphs import _cut, _drop, semi_naive
 from credence.operators.findings import ENGINE_PATH, delta_relabel, display_filter, duplicate_names, fingerprint_collisions, low_resolution, unused_directives
 from credence.operators.rules import EXTRA, RULES, apply_rules, selected
 from credence.sources.cache import cache_key, policy_hash, signed, verified
 from credence.sources.discovery import in_project, missing_roots
-from credence.sources.python_code import MARKER_MODULES, flow_rows, module_of, parsed
+from credence.sources.python_code import MARKER_MODULES, UNREADABLE, flow_rows, module_of, parsed
 
 BATCH_ROWS = 64
 #: How often a parameter's rank can rise.
@@ -36,9 +38,9 @@ RISES = 7
 ENTITY = (
     "path string, module string, qualname string, owner string, line_start int, line_end int, params array<string>, "
     "markers array<struct<marker:string,ordinal:int,level:string,readable:boolean,allowed:boolean>>, real_rejection boolean, any_rejection boolean, assert_only boolean, degenerate boolean, "
-    "fails_open boolean, leaks_none boolean, handlers array<struct<line:int,broad:boolean,silent:boolean,span:string>>, helpers array<string>, body_sha string"
+    "fails_open boolean, leaks_none boolean, handlers array<struct<line:int,broad:boolean,silent:boolean,span:string>>, helpers array<string>, depends array<struct<param:string,provider:string>>, typed array<struct<param:string,types:array<string>>>, body_sha string"
 )
-FACTS = f"path string, status string, message string, references array<string>, imports array<string>, entities array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in ENTITY.split(', '))}>>"
+FACTS = f"path string, status string, message string, module string, statements int, stars array<string>, exports array<string>, bindings array<struct<name:string,target:string>>, classes array<struct<qualname:string,bases:array<string>>>, references array<string>, imports array<string>, entities array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in ENTITY.split(', '))}>>"
 SLOT = "struct<key:string,rank:int,guarded:boolean,constant_text:boolean>"
 CALL = f"struct<line:int,span:string,fqn:string,dotted:string,attr:string,receiver:string,receiver_type:string,callee:string,slots:array<{SLOT}>,built:array<{SLOT}>,star:boolean,literal:array<string>,stored:boolean>"
 MEETS = "array<struct<callee:string,param:string,rank:int>>"
@@ -66,7 +68,7 @@ def extract(files: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES)
                 for r in batch.slice(at, BATCH_ROWS).to_pylist():
                     src, status, message = parsed(r["path"], r["source"], marker_modules)
                     try:
-                        rows.append({"path": r["path"], "status": status, "message": message, "references": sorted(src.references()) if src else [], "imports": sorted(src.imports()) if src else [], "entities": list(src.entity_rows()) if src else []})
+                        rows.append({"path": r["path"], "status": status, "message": message, "references": sorted(src.references()) if src else [], "imports": sorted(src.imports()) if src else [], "entities": list(src.entity_rows()) if src else [], **(src.module_facts() if src else {})})
                     except RecursionError:
                         rows.append({"path": r["path"], "status": "skipped", "message": "nested too deeply", "references": [], "imports": [], "entities": []})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -103,18 +105,23 @@ def merged(seeds: DataFrame, clash: bool = False) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal files over all cores by name: a few bytes of source are much work, so neither the sizes of the stored files
-    nor those after a join say how many tasks there should be."""
+    nor those after a join say how many tasks there should be.  By a hash of the name: dealt by the name itself, the
+    rows of a join on it would stay where they are."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("path"))
 
 
-def environment(facts: DataFrame, seeds: DataFrame) -> DataFrame:
+def environment(facts: DataFrame, seeds: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """(path, seeds, env) of each file: the seeds of its own functions and of those that its calls may mean, and
-    a digest of them."""
-    own = seeds.select("path", "qualname", "body", "ret", "params")
-    refs = facts.select("path", F.explode("references").alias("qualname")).join(own.drop("path"), "qualname").select(own.columns)
-    rows = refs.unionByName(own).groupBy("path", "qualname").agg(F.max(F.struct("body", "ret", "params")).alias("s"))
-    env = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("qualname", "s.body", "s.ret", "s.params"))).alias("seeds"))
+    a digest of them.  ``means`` (name, qualname): names that are bound to functions of other modules."""
+    own = seeds.select("path", "qualname", "body", "ret", "params", F.lit(None).cast("string").alias("real"))
+    refs = facts.select("path", F.explode("references").alias("qualname"))
+    rows = own.unionByName(refs.join(own.drop("path"), "qualname").select(own.columns))
+    if means is not None:
+        bound = means.join(seeds.select("qualname", "body", "ret", "params"), "qualname").select(F.col("name").alias("__name"), "body", "ret", "params", F.col("qualname").alias("real"))
+        rows = rows.unionByName(refs.join(bound, F.col("qualname") == F.col("__name")).select(own.columns))
+    rows = rows.groupBy("path", "qualname").agg(F.max(F.struct("body", "ret", "params", "real")).alias("s"))
+    env = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("qualname", "s.body", "s.ret", "s.params", "s.real"))).alias("seeds"))
     return env.withColumn("env", F.sha2(F.to_json("seeds"), 256))
 
 
@@ -133,8 +140,9 @@ class Flows(NamedTuple):
 
 
 def flow(
-    files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES, rounds: int | None = None, configured: Mapping[str, int] | None = None, clash: bool = False, held: DataFrame | None = None
-) -> Flows:
+    files: DataFrame, facts: DataFrame, seeds: DataFrame, marker_modules: tuple[str, ...] = MARKER_MODULES, rounds: int | None = None, configured: Mapping[str, int] | None = None, clash: bool = False, held: DataFrame | None = None, keep: bool = False,
+    means: DataFrame | None = None, inputs: DataFrame | None = None, injected: DataFrame | None = None,
+) -> Flows:
     """Return ranks and argument ranks of every function of ``files``.
 
     Known ranks only rise, so the default bound - as often as all parameters can rise, and one more - is
@@ -144,13 +152,19 @@ def flow(
     the file's calls still mean the same, and if the rows that count tell it the same: rows that don't are left
     out until that holds.  Only the other files are run, and those that they tell more.
 
+    ``means``: as in ``environment``.  ``inputs`` (callee, param, rank): what parameters are given from outside.
+    ``injected`` (callee, param, provider): parameters that are given what another function returns; they take
+    part in the rounds like arguments.
+
+    ``keep``: whether what a later scan needs is wanted; ``met`` is null without.
+
     ``clash``: values of different provenance are mixed, and so is a function without a declaration whose
     callees differ: their ranks are found on the call graph, and the files that they matter to run again.
     """
     if rounds is None:
         cells = seeds.agg(F.sum(F.greatest(F.size("params"), F.lit(0)))).first()[0]
         rounds = RISES * max(1, cells or 0) + 1
-    env = _cut(environment(facts, seeds))
+    env = _cut(environment(facts, seeds, means))
     sources = files.select("path", "source").join(facts.filter("status = 'ok'").select("path"), "path", "left_semi")
     # Where a fact counts, and from which rank on: functions; attributes of a class and names of a module
     # from the strongest function that can read them.
@@ -176,11 +190,19 @@ def flow(
                     meets: dict[str, dict[str, int]] = {}
                     for m in r["meets"] or []:
                         meets.setdefault(m["callee"], {})[m["param"]] = m["rank"]
-                    out += flow_rows(src, seeds_, meets, library, clash)
+                    real = {s["qualname"]: s["real"] for s in r["seeds"] or [] if s["real"]}
+                    out += flow_rows(src, seeds_, meets, library, clash, real)
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     def told_by(rows: DataFrame) -> DataFrame:
-        return rows.select(F.explode("meets").alias("m")).select("m.*")
+        told = rows.select(F.explode("meets").alias("m")).select("m.*")
+        if injected is None:
+            return told
+        given = rows.filter("ret IS NOT NULL").select(F.col("qualname").alias("provider"), F.col("ret").alias("rank"))
+        return told.unionByName(injected.join(given, "provider").select("callee", "param", "rank"))
+
+    def with_inputs(told: DataFrame) -> DataFrame:
+        return told if inputs is None else told.unionByName(inputs)
 
     def folded(told: DataFrame) -> DataFrame:
         return told.groupBy("callee", "param").agg(_joined(F.col("rank"), clash).alias("rank"))
@@ -201,7 +223,7 @@ def flow(
     if held is not None:
         good = _cut(held.join(sources.select("path"), "path", "left_semi").join(env.select("path", "env"), ["path", "env"], "left_semi"))
         while True:
-            known = _cut(folded(told_by(good.select(F.explode("flows").alias("f")).select("f.*"))))
+            known = _cut(folded(with_inputs(told_by(good.select(F.explode("flows").alias("f")).select("f.*")))))
             now = by_path(known).select("path", F.col("met").alias("now"))
             still = _cut(good.join(now, "path", "left").filter(F.col("met").eqNullSafe(F.col("now"))).drop("now"))
             same = still.count() == good.count()
@@ -220,16 +242,20 @@ def flow(
         rose = semi_naive(nodes, edges, clashing=True).changes.select(F.col("node").alias("qualname"), F.col("rank").alias("to"), F.col("via").alias("by"))
         to = lambda c, new: F.coalesce(F.col(new), F.col(c)).alias(c)
         seeds = _cut(seeds.join(rose, "qualname", "left").select("qualname", "path", to("body", "to"), to("ret", "to"), F.when(F.col("to").isNotNull(), "callgraph").otherwise(F.col("source")).alias("source"), "params", to("via", "by")))
-        before, env = env, _cut(environment(facts, seeds))
+        before, env = env, _cut(environment(facts, seeds, means))
         given.append(ran(env.join(before.select("path", "env"), ["path", "env"], "left_anti").select("path"), known))
         _drop(before)
     settled, first = False, True
     for done in range(rounds + 1):
         told = told_by(reduce(DataFrame.unionByName, given if first else given[-1:]))
-        told = _cut(folded(told if known is None else told.unionByName(known)))
+        told = _cut(folded(with_inputs(told) if known is None else told.unionByName(known)))
         fresh = told if known is None else told.join(known, ["callee", "param", "rank"], "left_anti")
         weaker = F.col("rank") != F.col("body") if clash else F.col("rank") > F.col("body")
-        dirty = _cut(fresh.join(targets, "callee").filter(weaker).select("path").distinct())
+        aim = fresh.join(targets, "callee")
+        if injected is not None:  # nothing was known of these parameters before
+            aim = aim.join(injected.select("callee", "param", F.lit(True).alias("__in")).distinct(), ["callee", "param"], "left")
+            weaker = weaker | F.col("__in").isNotNull()
+        dirty = _cut(aim.filter(weaker).select("path").distinct())
         if known is not None:
             _drop(known)
         known, first = told, False
@@ -240,12 +266,13 @@ def flow(
             break
         given.append(ran(dirty, known))
         _drop(dirty)
-    met = _cut(by_path(known).select("path", "met"))
+    met = _cut(by_path(known).select("path", "met")) if keep else env.select("path", F.lit(None).cast("string").alias("met"))
     _drop(known)
     _drop(targets)
     every = reduce(DataFrame.unionByName, [g.withColumn("round", F.lit(k)) for k, g in enumerate(given)])
-    told_when = _cut(every.select("path", "round").distinct())
-    out = given[0]
+    told_when, out = every.select("path", "round").distinct(), given[0]
+    if len(given) > 1 or good is not None:
+        told_when = _cut(told_when)
     if len(given) > 1:  # of each file, the last round that ran it
         last = told_when.groupBy("path").agg(F.max("round").alias("round"))
         out = _cut(every.join(last, ["path", "round"]).drop("round"))
@@ -344,16 +371,29 @@ def _scan(files, untrusted, marker_modules, rules, settings, diagnose, cached, s
         facts = facts.unionByName(held.select("facts.*"))
     entities = facts.select(F.explode("entities").alias("e")).select("e.*")
     seeds = keep(_cut(merged(seed(entities, (*untrusted, *sources)), clash)))
+    aliases = project_aliases(facts)
+    means = None
+    if aliases is not None:
+        keep(aliases)
+        means = keep(_cut(meanings(facts.select(F.explode("references").alias("name")), aliases, seeds)))
+    given = injected_params(entities, seeds, aliases)
+    if given is not None:
+        keep(given)
+    bodies, degraded = None, None
+    if entities.filter(F.size("typed") > 0).limit(1).count():
+        found_models = model_closure(facts, aliases)
+        degraded = found_models.degraded
+        bodies = keep(_cut(request_bodies(entities, found_models.models, aliases, UNREADABLE, RANK["EXTERNAL_RAW"])))
     matched, mode = None, None
     if scope is not None:
         matched = keep(_cut(match_scope(scope, entities, seis)))
         mode = matched.filter("path IS NOT NULL").limit(1).count() > 0
     part, some = files, facts
     if mode:
-        paths = keep(_cut(files_to_scan(matched, file_edges(facts, seeds), callees=clash)))
+        paths = keep(_cut(files_to_scan(matched, file_edges(facts, seeds, means), callees=clash or given is not None)))
         part, some = files.join(paths, "path", "left_semi"), facts.join(paths, "path", "left_semi")
         entities = entities.join(paths, "path", "left_semi")
-    done = flow(part, some, seeds, marker_modules, configured=configured, clash=clash, held=None if held is None else held.filter("flows IS NOT NULL").select("path", "env", "met", "flows"))
+    done = flow(part, some, seeds, marker_modules, configured=configured, clash=clash, held=None if held is None else held.filter("flows IS NOT NULL").select("path", "env", "met", "flows"), keep=secret is not None, means=means, inputs=bodies, injected=given)
     flows, settled = done.rows, done.settled
     scratch += [*done.scratch, done.seeds]
     seeds = done.seeds
@@ -376,6 +416,8 @@ def _scan(files, untrusted, marker_modules, rules, settings, diagnose, cached, s
         return _scoped(out, about if found is None else found.unionByName(about), matched, mode, whole, part, changed, since)
     about = about.unionByName(project_diagnostics(some, entities, functions, calls, marker_modules))
     told = [("WLN-ENGINE-POLICY-CONFIG", text, "ERROR", "defect", ENGINE_PATH, key, {"reason": reason}) for text, reason, key in wrong]
+    if degraded:
+        told.append(("WLN-ENGINE-PYDANTIC-DISCOVERY-LIMIT", f"the search for models went past its budget; every class counts as one ({degraded['reason']})", "ERROR", "defect", ENGINE_PATH, degraded["reason"], {k: str(v) for k, v in degraded.items()}))
     told += [("WLN-ENGINE-RULE-FAILED", f"rule {r} aborted ({why})", "ERROR", "defect", ENGINE_PATH, r, {"rule": r}) for r, why in failed.items()]
     about = about.unionByName(_told(facts, told))
     if "source_roots" in settings:

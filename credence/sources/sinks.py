@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.operators import findings as fo
+from credence.operators import ordered
+from credence.operators.graphs import _cut
 
 #: Fixed value: the version of the format that is written.
 SARIF_VERSION = "2.1.0"
@@ -39,6 +41,61 @@ def sarif_document(findings: DataFrame, most: int = 100_000) -> dict:
     return {"version": SARIF_VERSION, "runs": [{"tool": {"driver": {"name": "credence", "rules": [{"id": r} for r in rules]}}, "results": results}]}
 
 
+def sarif_lines(findings: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """(ordinal, value): the lines of one SARIF document of any size, a result on each, rules numbered by first
+    appearance.  ``flows`` (fingerprint, code_flow) gives results the steps that their data took, source first."""
+    rows = findings if "ordinal" in findings.columns else findings.withColumn("ordinal", F.monotonically_increasing_id())
+    rows = _cut(fo.sarif_results(rows))
+    steps = F.lit(None).cast("array<string>")
+    if flows is not None:
+        rows = rows.join(flows.select("fingerprint", "code_flow").dropDuplicates(["fingerprint"]), "fingerprint", "left")
+        steps = F.col("code_flow")
+    name = lambda q: F.struct(F.struct(F.array(F.struct(q.alias("fullyQualifiedName"))).alias("logicalLocations")).alias("location"))
+    region = F.when(F.col("line_start") > 0, F.struct(F.col("line_start").alias("startLine")))
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), "level", F.struct(F.col("fingerprint").alias("v2")).alias("partialFingerprints"),
+        F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))).alias("locations"),
+        F.when(F.col("suppressed"), F.array(F.struct(F.lit("external").alias("kind")))).alias("suppressions"),
+        F.when(F.size(steps) > 0, F.array(F.struct(F.array(F.struct(F.transform(steps, name).alias("locations"))).alias("threadFlows")))).alias("codeFlows"),
+    )
+    # The first result has no comma before it; there is one row for each rule.
+    top = rows.agg(F.min("ordinal").alias("__top"))
+    lines = rows.join(F.broadcast(top)).select("ordinal", F.concat(F.when(F.col("ordinal") == F.col("__top"), "").otherwise(","), F.to_json(result)).alias("value"))
+    rules = [r["rule_id"] for r in rows.select("rule_id", "rule_index").distinct().orderBy("rule_index").collect()]
+    head = f'{{"version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":"credence","rules":{json.dumps([{"id": r} for r in rules])}}}}},"results":['
+    ends = rows.sparkSession.createDataFrame([(None, head), (2**63 - 1, "]}]}")], "ordinal long, value string")
+    return lines.unionByName(ends)
+
+
+def write_sarif(findings: DataFrame, path: str, flows: DataFrame | None = None) -> None:
+    """The document as text files, written by the executors; in the order of their names they are one document."""
+    lines = _cut(sarif_lines(findings, flows))
+    lines.orderBy(F.asc_nulls_first("ordinal")).select("value").write.text(path)
+
+
+def signed_rows(rows: DataFrame, order: list[str], key: bytes) -> tuple[DataFrame, dict]:
+    """``rows`` in order with ``number`` and ``digest``, and a signature over all of them; of any size.  The table is to
+    be kept with the signature.  ``order`` names columns that tell all rows apart."""
+    told = ordered.numbered(rows, [F.col(c) for c in order]).withColumn("digest", ordered.row_digest(rows.columns))
+    told = _cut(told)
+    return told, _signature(told, key)
+
+
+def _signature(rows: DataFrame, key: bytes) -> dict:
+    count, root = ordered.digest(rows)
+    body = {"version": 1, "count": count, "root": root}
+    return {**body, "signature": sign(body, key)}
+
+
+def verify_rows(rows: DataFrame, signature: dict, key: bytes) -> tuple[bool, DataFrame]:
+    """(whether the table is the signed one, the rows that don't match their own digest)."""
+    own = [c for c in rows.columns if c not in ("number", "digest")]
+    now = ordered.row_digest(own)
+    changed = rows.filter(~F.col("digest").eqNullSafe(now))
+    again = _signature(rows.withColumn("digest", now), key)
+    return hmac.compare_digest(json.dumps(again, sort_keys=True), json.dumps(signature, sort_keys=True)), changed
+
+
 def agent_summary(findings: DataFrame, offset: int = 0, limit: int = 50) -> dict:
     """A bounded summary: counts, and one page of active defects in display order."""
     active = findings.filter("kind = 'defect' AND suppression_state = 'active'")
