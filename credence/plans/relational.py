@@ -181,7 +181,7 @@ def reverse_reachability(spark, sf_dir):
 
 
 def explain_chain(spark, sf_dir):
-    """From every part, with the operator's own bound of hops; no SQL, a test walks by brute force."""
+    """From every part, with the operator's own bound of hops."""
     p = _t(spark, sf_dir, "part")
     n = p.agg(F.count(F.lit(1)).alias("m"))
     nexts = p.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("node"), ((F.col("p_partkey") * 7) % F.col("m")).alias("next"))
@@ -189,6 +189,11 @@ def explain_chain(spark, sf_dir):
 
 
 QUERIES["explain_chain"] = explain_chain
+ORACLES["explain_chain"] = """WITH RECURSIVE e AS (SELECT p_partkey AS node, (p_partkey * 7) % (SELECT count(*) FROM part) AS next FROM part),
+w AS (SELECT p_partkey AS start, 0 AS depth, p_partkey AS node, [p_partkey] AS path FROM part
+  UNION ALL SELECT start, depth + 1, e.next, list_append(path, e.next) FROM w JOIN e ON e.node = w.node WHERE depth < 20 AND NOT list_contains(path, e.next)),
+more AS (SELECT DISTINCT start AS s FROM w JOIN e ON e.node = w.node WHERE depth = 20 AND NOT list_contains(path, e.next))
+SELECT start, depth::INT AS depth, node, more.s IS NOT NULL AS truncated FROM w LEFT JOIN more ON more.s = w.start"""
 
 
 @query(f"""WITH {FINDINGS_SQL}, {STATE_SQL} SELECT fingerprint, state AS suppression_state, CASE state WHEN 'waived' THEN 'w' || k WHEN 'judged' THEN 'j' || k END AS suppression_reason FROM s""")
