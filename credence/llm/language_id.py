@@ -3,7 +3,7 @@
 Subwords are runs of 2 to 4 characters inside words (with a mark at the ends of a word), hashed to
 BUCKETS rows of an embedding.  A text is the mean of its subwords' rows; a linear softmax reads the label.
 Both are trained together by stochastic gradient descent in numpy, in one task, from a bounded sample:
-at most SAMPLE_ROWS rows in all, spread evenly over the labels (at most MOST_LABELS) and picked by a hash of the id, each as a
+at most SAMPLE_ROWS rows in all, spread evenly over the labels (more labels than rows are an error) and picked by a hash of the id, each as a
 whole and as two short passages.  That task gets hashed counts, not texts; the driver gets the two factors.  A fifth of the sample is
 not trained on: there the temperature of the softmax is fitted, and from there comes the score below which
 a text is rejected (at most REJECT_CORRECT of correct validation rows fall below it).
@@ -29,8 +29,8 @@ from credence.llm.common import give_back, refuse_clash, small_batches, table, w
 
 BUCKETS = 1 << 15
 WIDTH = 16
-#: The bound on the training sample, over all labels, and the most labels that are learned: of more, the most frequent.
-SAMPLE_ROWS, MOST_LABELS = 1600, 160
+#: The bound on the training sample, over all labels, and so on the number of labels: with more, training is an error.
+SAMPLE_ROWS = 1600
 EPOCHS, RATE = 12, 0.5
 REJECT_CORRECT = 0.002
 UNKNOWN = "und"
@@ -218,8 +218,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str
     """Train on rows that are not held out and have a label and a text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     rows = rows.filter(~held_out(F.col("id")) & F.col("label").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    # The most frequent labels, at most MOST_LABELS.
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()
+    # All labels, each of which has a row in the sample.
+    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(SAMPLE_ROWS + 1).collect()
+    if len(sizes) > SAMPLE_ROWS:
+        raise ValueError(f"more than {SAMPLE_ROWS} labels")
     quota = SAMPLE_ROWS // max(1, len(sizes))
     # A label's rows below this share of the hash are about twice its quota, so that only those are ranked.
     shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, (2 * quota + 100) / r["count"])) for r in sizes], "__label string, share double")

@@ -130,8 +130,9 @@ def _templates() -> tuple[tuple[str, str], ...]:
 TEMPLATES = _templates()
 #: Words that tell versions and variants of one license apart.
 _VARIANTS = frozenset("1 2 3 1.0 1.1 1.2 1.3 2.0 2.1 2.5 3.0 4.0 nc sa nd noncommercial sharealike noderivatives lesser library affero 0".split())
-#: A notice with its years and holder, which are words of no template.
-_NOTICE = re.compile(r"(?:\bcopyright\b|\(c\)|\u00a9)[^\n]{0,120}?\ball\s+rights\s+reserved\b")
+#: A notice with its years and holder, which are words of no template, on one line and of any length.  Each attempt
+#: ends at the next sign of its own kind, so that a line is read a few times at most.
+_NOTICE = re.compile(r"\bcopyright\b(?:(?!\bcopyright\b)[^\n])*?\ball\s+rights\s+reserved\b|(?:\(c\)|\u00a9)(?:(?!\(c\)|\u00a9)[^\n])*?\ball\s+rights\s+reserved\b")
 #: Paragraphs, lines, sentences, and sentences of one line.
 _CUTS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?:])\s"), re.compile(r"\n|(?<=[.!?:])\s"))
 #: "v2.0" names version 2.0.

@@ -238,3 +238,32 @@ def test_fingerprints_as_a_column(spark):
     assert both.select(fingerprints.likeness(both.a, both.a).alias("x")).distinct().collect()[0].x == 1.0
     with pytest.raises(ValueError):
         fingerprints.fingerprint(df.withColumnRenamed("k", "Fingerprint"))
+
+
+# Mended bounds of earlier operators
+
+
+def test_a_notice_of_any_length_is_one():
+    import time
+
+    from credence.llm.license_scan import _NOTICE
+
+    for text in (f"copyright 2019 {'holder ' * 300}all rights reserved", "(c) 2020 x. all  rights reserved", f"© {'y' * 5000} all rights reserved", "copyright (c) 2019 copyright holders. all rights reserved"):
+        assert _NOTICE.search(text)
+    assert not _NOTICE.search("copyright 2019 x\nall rights reserved") and not _NOTICE.search("all rights reserved")
+    began = time.perf_counter()
+    assert not _NOTICE.search("copyright (c) x " * 60_000) and time.perf_counter() - began < 5
+
+
+def test_every_label_is_learned_or_none(spark, monkeypatch):
+    from credence.llm import language_id
+
+    words = {f"l{k:03d}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{j}" for j in range(30)) for k in range(170)}
+    rows = [(k * 200 + j, text, label) for k, (label, text) in enumerate(words.items()) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    names = next(v for v in vars(model).values() if isinstance(v, (list, tuple)) and "l000" in v)
+    assert len(names) == 170
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 100)
+    with pytest.raises(ValueError):
+        language_id.fit(docs)
