@@ -122,6 +122,8 @@ def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
         wider = _cut(seen.unionByName(fresh))
         _drop(seen)
         seen = wider
+    if fresh is not seen:
+        _drop(fresh)
     return seen
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from credence.functions.identity import fingerprint
 from credence.functions.lattice import RAW_FROM, modulate, state_name
-from credence.operators.graphs import enclosing_tier
+from credence.operators.graphs import _cut, enclosing_tier
 
 #: Parts of the sinks' names.
 _PATHS = "read_text read_bytes write_text write_bytes open unlink rmdir mkdir".split()
@@ -241,8 +241,8 @@ def selected(patterns: tuple[str, ...] | None) -> tuple[str, ...]:
 
 
 def apply_rules(functions: DataFrame, calls: DataFrame, seeds: DataFrame, rules: tuple[str, ...] | None = None, severities: Severities | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """Findings of the selected rules (None if there are none), and the rules that could not be planned, with
-    why; only what is selected is planned, and the rules after a failed one still run."""
+    """Findings of the selected rules (None if there are none), and the rules that could not be planned or, of those
+    added by callers, run, with why; only what is selected is planned, and the rules after a failed one still run."""
     wanted = selected(rules)
     own = {**BASE, **(severities or {})}
     entities = functions.select("qualname", F.col("body").alias("rank")).distinct()
@@ -255,7 +255,8 @@ def apply_rules(functions: DataFrame, calls: DataFrame, seeds: DataFrame, rules:
         plans[",".join(sinks)] = lambda: sink_rules(calls, tiers, own, sinks)
     one = {"PY-WL-105": lambda: callee_rule(calls, seeds, own), "PY-WL-118": lambda: sql_rule(calls, tiers, own), "PY-WL-120": lambda: stored_rule(functions, calls, seeds, "PY-WL-101" in wanted, own)}
     plans |= {r: plan for r, plan in one.items() if r in wanted}
-    plans |= {r: lambda rule=rule: rule(functions, calls, seeds) for r, rule in EXTRA.items() if r in wanted}
+    # A caller's rule is run by itself, so that one that fails in a task fails alone.
+    plans |= {r: lambda rule=rule: _cut(rule(functions, calls, seeds)) for r, rule in EXTRA.items() if r in wanted}
     frames, failed, columns = [], {}, None
     for name, plan in plans.items():
         try:

@@ -105,8 +105,9 @@ def test_a_rule_that_fails_is_a_finding(spark, monkeypatch):
     from credence.operators import rules
 
     monkeypatch.setitem(rules.EXTRA, "XX-1", lambda functions, calls, seeds: functions.select("no_such_column"))
+    monkeypatch.setitem(rules.EXTRA, "XX-2", lambda functions, calls, seeds: functions.selectExpr("raise_error('in a task') AS rule_id"))
     out = scan(spark.createDataFrame([("a.py", HEAD + "@trusted\ndef f(p):\n    return raw(p)\n")], "path string, source string"))
-    assert sorted(r.rule_id for r in out["findings"].filter("kind = 'defect'").collect()) == ["PY-WL-101", "WLN-ENGINE-RULE-FAILED"]
+    assert sorted(r.rule_id for r in out["findings"].filter("kind = 'defect'").collect()) == ["PY-WL-101", "WLN-ENGINE-RULE-FAILED", "WLN-ENGINE-RULE-FAILED"]
     finish(out)
 
 
