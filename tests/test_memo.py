@@ -1,7 +1,11 @@
 """Texts that a worker has met before: the same rows as by reading each file, with less reading."""
 
+import json
+
+import pyarrow as pa
 import pytest
 
+from credence.plans import scan
 from credence.plans.rescans import MEETING, PASSES, RINGS, ROUTES, SINK, STARS, TAKES, WEB
 from credence.plans.synthetic import HEAD, SHAPES
 from credence.sources import memo, python_code
@@ -41,3 +45,29 @@ def test_what_is_kept_is_bounded():
     for k in range(memo.MOST + 50):
         memo.facts("src/n1.py", f"def f(p):\n    return {k}\n", MARKS)
     assert len(memo._kept) <= memo.MOST and 0 < memo._chars <= memo.MOST_CHARS
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_batches_hold_the_rows_of_each_file(spark, clash):
+    """Also where files that share a text, those that are read by themselves and parse errors are mixed."""
+    facts_schema, flow_schema = scan._arrow(scan.FACTS), scan._arrow(scan.FLOW)
+    files = [{"path": p, "source": t} for t in [*TEXTS, *TEXTS[:7]] for p in PATHS] + [{"path": "src/raw.py", "source": None}]
+    batch = pa.RecordBatch.from_pylist(files, schema=pa.schema([("path", "string"), ("source", "string")]))
+    same = lambda rows: sorted(json.dumps(r | {"references": sorted(r["references"])} if "references" in r else r, sort_keys=True) for r in rows)
+    plain = lambda rows, schema: pa.RecordBatch.from_pylist(rows, schema=schema).to_pylist()
+    want = [memo._facts(f["path"], f["source"], MARKS) for f in files]
+    assert same(r for b in memo.fact_batches(batch, MARKS, facts_schema) for r in b.to_pylist()) == same(plain(want, facts_schema))
+    for f, w in zip(files, want):
+        seeds = [{"qualname": e["qualname"], "body": 6 - k % 2, "ret": 6, "params": e["params"]} for k, e in enumerate(w["entities"])] + [{"qualname": "q{k}.run", "body": 0, "ret": 0, "params": ["c"], "real": "m{k}.sink"}]
+        f["seeds"], f["meets"] = json.dumps(seeds, ensure_ascii=False), json.dumps([{"callee": e["qualname"], "param": p, "rank": 7} for e in w["entities"][:1] for p in e["params"][:1]]) if len(f["path"]) % 2 else None
+    batch = pa.RecordBatch.from_pylist(files, schema=pa.schema([(c, "string") for c in ("path", "source", "seeds", "meets")]))
+    flows = [r for f in files for r in memo._flows(f["path"], f["source"], json.loads(f["seeds"]), json.loads(f["meets"] or "[]"), MARKS, {"near.g": 5}, clash)]
+    assert same(r for b in memo.flow_batches(batch, MARKS, {"near.g": 5}, clash, flow_schema) for r in b.to_pylist()) == same(plain(flows, flow_schema))
+
+
+def test_rows_of_a_text_are_made_once_for_many_files(spark, monkeypatch):
+    made, own, schema = [], json.loads, scan._arrow(scan.FACTS)
+    monkeypatch.setattr(memo.json, "loads", lambda text: made.append(text) or own(text))
+    files = pa.RecordBatch.from_pylist([{"path": f"src/n{k}.py", "source": HEAD + SHAPES[120][1][k % 5]} for k in range(4_000)])
+    assert sum(b.num_rows for b in memo.fact_batches(files, MARKS, schema)) == 4_000
+    assert len(made) <= 5 * (4_000 // memo.FILES + 1)
