@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.operators import findings as fo
-from credence.plans.scan import scan
+from credence.plans.scan import scan, spread
 
 HEAD = "from credence.markers import trusted, external_boundary, trust_boundary\nimport os, subprocess, shlex, pickle, pathlib, requests, importlib, logging, ctypes, jinja2, smtplib, io\nimport xml.etree.ElementTree as ET\n@external_boundary\ndef raw(p):\n    return p\n"
 
@@ -25,7 +25,8 @@ ORACLES: dict[str, str] = {}
 
 
 def _files(spark: SparkSession, sf_dir: str, text) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # The table is small, and its texts aren't: they are made on all cores.
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), "p_partkey")
     return part.select(F.concat(F.lit("src/m"), F.col("p_partkey"), F.lit(".py")).alias("path"), F.concat(F.lit(HEAD), text).alias("source"))
 
 

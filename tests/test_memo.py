@@ -71,3 +71,11 @@ def test_rows_of_a_text_are_made_once_for_many_files(spark, monkeypatch):
     files = pa.RecordBatch.from_pylist([{"path": f"src/n{k}.py", "source": HEAD + SHAPES[120][1][k % 5]} for k in range(4_000)])
     assert sum(b.num_rows for b in memo.fact_batches(files, MARKS, schema)) == 4_000
     assert len(made) <= 5 * (4_000 // memo.FILES + 1)
+
+
+def test_of_functions_only_what_is_named_is_read(spark):
+    facts = scan._cut(scan.extract(spark.createDataFrame([("src/n.py", HEAD + "class A:\n    def go(self, p):\n        return p\n")], "path string, source string")))
+    rows = scan.members(facts, "qualname", "owner", "params")
+    assert sorted(map(tuple, rows.collect())) == [("src/n.py", "n", "n.A.go", "n.A", ["self", "p"]), ("src/n.py", "n", "n.raw", None, ["p"])]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "qualname" in plan and "body_sha" not in plan
