@@ -3,6 +3,7 @@
 import pytest
 
 from credence.operators import rules
+from credence.operators.findings import duplicate_names
 from credence.operators.graphs import enclosing_tier
 from credence.plans import scan as plans
 from credence.plans.synthetic import HEAD
@@ -60,3 +61,11 @@ def test_skipped_directories(spark):
     found = in_project(files)
     assert sorted(r.path for r in found.collect()) == sorted(p for p in paths if kept(p))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+
+
+def test_only_repeated_names_are_sorted(spark):
+    rows = spark.createDataFrame([("a", "x.py", 2), ("a", "x.py", 1), ("b", "y.py", 1), ("c", "z.py", 1), ("c", "y.py", 7)], "qualname string, path string, line_start int")
+    twice = duplicate_names(rows)
+    assert {r.qualname: (r.definitions, [tuple(p) for p in r.places]) for r in twice.collect()} == {"a": (2, [("x.py", 1), ("x.py", 2)]), "c": (2, [("y.py", 7), ("z.py", 1)])}
+    plan = twice._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
