@@ -43,3 +43,18 @@ def test_meanings_are_looked_up_by_dealt_names(spark):
     found = bindings.meanings(spark.createDataFrame([("c.h",), ("a.f",), ("os.x",)], "name string"), spark.createDataFrame([("c.h", "b.g")], "name string, target string"), known)
     assert broadcasts(found) == 0
     assert [tuple(r) for r in found.collect()] == [("c.h", "b.g")]
+
+
+def test_what_very_many_names_are_bound_to_is_not_dealt_to_one_task(spark, monkeypatch):
+    texts = {f"src/r{i}.py": f"import os\nfrom order import Order, os as o\nfrom d{i % 2} import f\n" for i in range(6)} | {f"src/d{i}.py": "def f():\n    pass\n" for i in range(2)} | {"src/order.py": "import os\nclass Order:\n    pass\n"}
+    facts = graphs._cut(plans.extract(spark.createDataFrame(list(texts.items()), "path string, source string")))
+    rows = lambda: sorted(map(tuple, bindings.project_aliases(facts).select("name", "target").collect()))
+    plain = rows()
+    assert plain == sorted([(f"r{i}.Order", "order.Order") for i in range(6)] + [(f"r{i}.f", f"d{i % 2}.f") for i in range(6)])
+    monkeypatch.setattr(bindings, "HOT", 4)  # now the class and two modules are such, the functions aren't
+    assert rows() == plain
+    every = bindings.own_bindings(facts)
+    keys = graphs._cut(spark.createDataFrame([("order.Order",), ("d0.f",)], "target string"))
+    counts = every.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    found = bindings.bound_to(every, keys, counts)
+    assert broadcasts(found) == 2 and sorted(r.name for r in found.collect()) == sorted([f"r{i}.Order" for i in range(6)] + [f"r{i}.f" for i in (0, 2, 4)])
